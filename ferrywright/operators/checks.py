@@ -192,7 +192,7 @@ def mark_duplicates(
         .agg(F.count(F.lit(1)).alias("n"), F.min(_place(order)).alias("_first"))
         .filter(F.col("n") > 1)
     )
-    marked = attach_facts(checked, facts, [(k, k) for k in keys], F.col("_first"), "_first", "n", hot_rows)
+    marked = attach_facts(checked, facts, keys, F.col("_first"), "_first", "n", hot_rows)
     late = (F.size(REASONS) == 0) & F.col("_first").isNotNull() & (_place(order) > F.col("_first"))
     value = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     return _append(marked, late, reason(code, ",".join(keys), value)).drop("_first")
@@ -208,7 +208,7 @@ def mark_orphans(
 ) -> DataFrame:
     """Add a reason to rows whose foreign key has no parent."""
     orphans = orphan_keys(checked, parent, fk)
-    marked = attach_facts(checked, orphans, [(c, c) for c in fk.columns], F.lit(True), "_orphan", "n", hot_rows)
+    marked = attach_facts(checked, orphans, fk.columns, F.lit(True), "_orphan", "n", hot_rows)
     value = F.concat_ws("|", *[F.col(k).cast("string") for k in fk.columns])
     return _append(marked, F.col("_orphan").isNotNull(), reason(code, ",".join(fk.columns), value)).drop("_orphan")
 
@@ -216,7 +216,7 @@ def mark_orphans(
 def apply_delete_rule(child: DataFrame, parent: DataFrame, fk: ForeignKey, hot_rows: int = HOT_ROWS) -> DataFrame:
     """What remains of child rows whose parent is gone: SET NULL clears the key, CASCADE drops the row."""
     orphans = orphan_keys(child, parent, fk)
-    marked = attach_facts(child, orphans, [(c, c) for c in fk.columns], F.lit(True), "_orphan", "n", hot_rows)
+    marked = attach_facts(child, orphans, fk.columns, F.lit(True), "_orphan", "n", hot_rows)
     rule = fk.delete_rule.upper()
     if rule == "CASCADE":
         return marked.filter(F.col("_orphan").isNull()).drop("_orphan")

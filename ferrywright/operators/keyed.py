@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrywright.functions.predicates import conjunction
+from ferrywright.functions.predicates import all_present, conjunction
+from ferrywright.session import stage
 
 # A key with this many rows is spread over tasks instead of meeting in one.
 HOT_ROWS = 100_000
@@ -19,7 +20,7 @@ _SALTS = 4096
 def attach_facts(
     rows: DataFrame,
     facts: DataFrame,
-    on: Sequence[tuple[str, str]],
+    keys: Sequence[str],
     fact: Column,
     name: str,
     weight: str,
@@ -27,30 +28,31 @@ def attach_facts(
 ) -> DataFrame:
     """Left join of `rows` with one fact per key; `name` is NULL where there is none.
 
-    `facts` has one row per key and says in `weight` how many rows share it. The most
-    frequent keys are looked up in a broadcast map of at most `MAX_HOT_KEYS` entries, and
-    their rows, like rows without a key, take a salt no fact has, so the shuffle spreads
-    them over all tasks. Every
-    other key is joined by an ordinary shuffle, or by a broadcast if adaptive execution
-    measures the facts as small. The result does not depend on which way a key took.
+    `facts` has one row per key and says in `weight` how many rows share it. They are
+    staged first, so the planner knows their real size: few enough are broadcast and the
+    rows do not move at all. Otherwise both sides are shuffled by key, and then a frequent
+    key must not end up in one task: the most frequent keys are looked up in a broadcast
+    map of at most `MAX_HOT_KEYS` entries, and their rows, like rows without a key, take a
+    salt no fact has. The result does not depend on which way a key took.
     """
-    fact_keys = [f for _, f in on]
-    keyed = facts.select(*[F.col(f).alias(f"_k{i}") for i, f in enumerate(fact_keys)], fact.alias("_fact"), weight)
-    row_keys = [F.col(r) for r, _ in on]
-
-    hot = keyed.filter(F.col(weight) >= hot_rows).orderBy(F.desc(weight)).limit(MAX_HOT_KEYS)
-    hot = hot.select(*[F.col(f"_k{i}").alias(f"_h{i}") for i in range(len(on))], F.struct("_fact").alias("_hot"))
-    first = conjunction([k == F.col(f"_h{i}") for i, k in enumerate(row_keys)])
-    looked_up = rows.join(F.broadcast(hot), first, "left")
+    stored = stage(
+        facts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], fact.alias("_fact"), weight), "facts"
+    )
+    hot = stored.filter(F.col(weight) >= hot_rows)
+    if hot.isEmpty():
+        looked_up = rows.withColumn("_hot", F.lit(None).cast(f"struct<_fact:{stored.schema['_fact'].dataType.simpleString()}>"))
+    else:
+        top = hot.orderBy(F.desc(weight)).limit(MAX_HOT_KEYS)
+        top = top.select(*[F.col(f"_k{i}").alias(f"_h{i}") for i in range(len(keys))], F.struct("_fact").alias("_hot"))
+        same = conjunction([F.col(k) == F.col(f"_h{i}") for i, k in enumerate(keys)])
+        looked_up = rows.join(F.broadcast(top), same, "left")
 
     # The partition id is fixed for a task and its retries, and copies of one row differ in it.
     spread = F.lit(1) + F.pmod(F.spark_partition_id(), F.lit(_SALTS))
-    settled = F.col("_hot").isNotNull() | ~conjunction([k.isNotNull() for k in row_keys])
-    salt = F.when(settled, spread).otherwise(0)
-    salted = looked_up.withColumn("_salt", salt)
-    # Keeping the weight alive makes both readers of the facts share one shuffle.
-    cold = keyed.filter(F.col(weight) > 0).withColumn("_zero", F.lit(0))
-    second = conjunction([k == F.col(f"_k{i}") for i, k in enumerate(row_keys)] + [F.col("_salt") == F.col("_zero")])
-    joined = salted.join(cold, second, "left")
+    settled = F.col("_hot").isNotNull() | ~all_present(keys)
+    salted = looked_up.withColumn("_salt", F.when(settled, spread).otherwise(0))
+    cold = stored.drop(weight).withColumn("_zero", F.lit(0))
+    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)] + [F.col("_salt") == F.col("_zero")]
+    joined = salted.join(cold, conjunction(on), "left")
     value = F.when(F.col("_hot").isNotNull(), F.col("_hot._fact")).otherwise(F.col("_fact"))
     return joined.select(*[F.col(c) for c in rows.columns], value.alias(name))

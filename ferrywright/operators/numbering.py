@@ -12,23 +12,40 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrywright.session import scratch_path
 
 ROW_NUMBER = "row_num"
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], column: str = ROW_NUMBER) -> DataFrame:
+def range_ordered(df: DataFrame, keys: Sequence[str], unique: bool = False) -> DataFrame:
+    """Rows in key order over all partitions, equal amounts in each.
+
+    Range partitioning keeps equal keys together, so a key on a third of all rows would
+    fill one partition. Unless the keys are declared unique, a hash of the row and the
+    number of its input partition break ties; the latter also separates exact copies.
+    """
+    if unique:
+        return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tied = df.withColumns({"_tie": F.xxhash64(*hashable), "_part": F.spark_partition_id()})
+    by = [*keys, "_tie", "_part"]
+    return tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie", "_part")
+
+
+def number_rows(
+    df: DataFrame, keys: Sequence[str], column: str = ROW_NUMBER, unique: bool = False
+) -> DataFrame:
     """Rows with a dense 1-based number in key order.
 
-    `keys` should identify a row; rows equal in all of them are numbered in any order.
-    Add tie-breaking columns to spread a key that many rows share, since rows with equal
-    keys stay in one range. The ordered copy goes to the shared scratch folder, so every
-    later reader sees the same numbers even when executors are lost.
+    Rows equal in all keys are numbered in an order of their own; say `unique` when
+    there are none. The ordered copy goes to the shared scratch folder, so every later
+    reader sees the same numbers even when executors are lost.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "ordered")
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+    range_ordered(df, keys, unique).write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
 
     file = F.col("_metadata.file_name").alias("_part_file")

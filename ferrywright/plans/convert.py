@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ferrywright.operators.numbering import range_ordered
 from ferrywright.session import stage
 from ferrywright.sinks.files import write_csv
 from ferrywright.sinks.insert_script import STATEMENT_ROWS, write_insert_script
@@ -39,8 +40,7 @@ def convert_table(
     order = list(keys) or list(POSITION)
     if format == "csv":
         out = f"{target_folder.rstrip('/')}/{name}"
-        ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        write_csv(ordered.select(*columns), out, layout)
+        write_csv(range_ordered(rows, order, unique=not keys).select(*columns), out, layout)
         return out
     if format == "sql":
         return write_insert_script(

@@ -104,15 +104,12 @@ def check_table(
     """Typed columns, `order` columns and `reasons` for every landing row.
 
     `order` sorts the rows as they arrived and tells them apart; without it the key does
-    both, and whole-row order decides between rows with the same key. The frame after
-    the row checks is staged once when checks across rows have to read it again.
+    both, and whole-row order decides between rows with the same key. The text is parsed
+    and tested once: the typed rows are staged, and the checks across rows, like every
+    reader of the result, come back for the columns they need.
     """
     extra = [c for c in order if c.lower() not in {x.name.lower() for x in table.columns}]
-    rows = checks.check_rows(transform(text, table, steps), table, extra)
-    across = table.primary_key or table.unique_keys or table.foreign_keys
-    if not across:
-        return rows
-    rows = stage(rows, "checked")
+    rows = stage(checks.check_rows(transform(text, table, steps), table, extra), "checked")
     place = list(order) or [*table.primary_key, *[c.name for c in table.ordered() if c.name not in table.primary_key]]
     for fk in table.foreign_keys:
         parent = (parents or {}).get(fk.ref_table)
@@ -135,12 +132,8 @@ def load_table(
     parents: Mapping[str, DataFrame] | None = None,
     order: Sequence[str] = (),
 ) -> LoadResult:
-    """Split landing rows into accepted rows and rejects under an error policy.
-
-    The checked frame feeds three results, so it is staged; each of them then reads only
-    the columns it needs.
-    """
-    checked = stage(check_table(text, table, steps, parents, order), "load")
+    """Split landing rows into accepted rows and rejects under an error policy."""
+    checked = check_table(text, table, steps, parents, order)
     place = list(order) or list(table.primary_key)
     if policy.error_limit and not place:
         raise ValueError(f"{table.full_name}: policy {policy.kind} needs a row order")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrywright.functions import values as V
+from ferrywright.operators.numbering import range_ordered
 from ferrywright.operators.report import report_document
 from ferrywright.sources.landing import CsvLayout
 
@@ -36,7 +37,7 @@ def write_csv(
     mode: str = "errorifexists",
 ) -> None:
     """A folder of CSV part files; with `order`, part files follow each other in key order."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    rows = range_ordered(df, order) if order else df
     text = as_text(rows, null_overrides, layout.null_marker)
     if newline is not None:
         text = text.select(*[V.newline_to(F.col(c), newline).alias(c) for c in text.columns])

@@ -147,7 +147,8 @@ def priced(t: Tables) -> DataFrame:
 
 @query(
     "policy_stop",
-    f"SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < (SELECT min(o_orderkey) FROM ({_SOME}))",
+    f"""SELECT o_orderkey, o_orderstatus FROM orders
+        WHERE NOT EXISTS ({_SOME}) OR o_orderkey < (SELECT min(o_orderkey) FROM ({_SOME}))""",
 )
 def policy_stop(t: Tables) -> DataFrame:
     return P.loaded_rows(priced(t), P.ErrorPolicy("stop"), KEY).select("o_orderkey", "o_orderstatus")
@@ -174,13 +175,14 @@ def policy_skip_limit(t: Tables) -> DataFrame:
 _COUNTS = 'SELECT \'tpch\' AS "schema", \'orders_{0}\' AS "table", count(*) AS expected, {1} AS actual, {2} AS skipped, {3} AS errors FROM orders'
 _IS_BAD = "count(*) FILTER (WHERE o_totalprice > 499000)"
 _IS_GOOD = "count(*) FILTER (WHERE NOT o_totalprice > 499000)"
-_BEFORE_FIRST = f"count(*) FILTER (WHERE o_orderkey < (SELECT min(o_orderkey) FROM ({_SOME})))"
-_BEFORE_FIFTH = f"count(*) FILTER (WHERE NOT o_totalprice > 499000 AND o_orderkey < {_FIFTH})"
+_FEW = f"(SELECT count(*) FROM ({_SOME})) < "
+_BEFORE_FIRST = f"count(*) FILTER (WHERE {_FEW} 1 OR o_orderkey < (SELECT min(o_orderkey) FROM ({_SOME})))"
+_BEFORE_FIFTH = f"count(*) FILTER (WHERE NOT o_totalprice > 499000 AND ({_FEW} 5 OR o_orderkey < {_FIFTH}))"
 _IMPORTS = " UNION ALL ".join(
     [
-        _COUNTS.format("stop", _BEFORE_FIRST, "0", "1"),
+        _COUNTS.format("stop", _BEFORE_FIRST, "0", f"least(1, {_IS_BAD})"),
         _COUNTS.format("skip", _IS_GOOD, _IS_BAD, _IS_BAD),
-        _COUNTS.format("limit", _BEFORE_FIFTH, "5", "5"),
+        _COUNTS.format("limit", _BEFORE_FIFTH, f"least(5, {_IS_BAD})", f"least(5, {_IS_BAD})"),
         _COUNTS.format("log", _IS_GOOD, "0", _IS_BAD),
     ]
 )

@@ -71,10 +71,26 @@ def offset_page(t: Tables) -> DataFrame:
        FROM orders""",
 )
 def page_numbers(t: Tables) -> DataFrame:
-    numbered = N.number_rows(t.orders.select(*ORDER_KEY), ORDER_KEY)
+    numbered = N.number_rows(t.orders.select(*ORDER_KEY), ORDER_KEY, unique=True)
     return numbered.withColumn("page", N.page_of(500))
 
 
+@query(
+    "row_numbers_shared_key",
+    """WITH n AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) AS rn FROM lineitem)
+       SELECT l_returnflag, min(rn) AS lowest, max(rn) AS highest, count(DISTINCT rn) AS numbers
+       FROM n GROUP BY l_returnflag""",
+)
+def row_numbers_shared_key(t: Tables) -> DataFrame:
+    # Every key covers a third of the rows.
+    numbered = N.number_rows(t.lineitem, ["l_returnflag"])
+    return numbered.groupBy("l_returnflag").agg(
+        F.min(N.ROW_NUMBER).alias("lowest"),
+        F.max(N.ROW_NUMBER).alias("highest"),
+        F.countDistinct(N.ROW_NUMBER).alias("numbers"),
+    )
+
+
 @query(
     "page_cursors",
     """WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS rn FROM orders)
@@ -83,7 +99,7 @@ def page_numbers(t: Tables) -> DataFrame:
        FROM n GROUP BY 1""",
 )
 def page_cursors(t: Tables) -> DataFrame:
-    return N.page_cursors(N.number_rows(t.orders.select(*ORDER_KEY), ORDER_KEY), ORDER_KEY, 500)
+    return N.page_cursors(N.number_rows(t.orders.select(*ORDER_KEY), ORDER_KEY, unique=True), ORDER_KEY, 500)
 
 
 @query(
@@ -95,7 +111,7 @@ def page_cursors(t: Tables) -> DataFrame:
        FROM n""",
 )
 def sequence_keys(t: Tables) -> DataFrame:
-    numbered = N.number_rows(t.customer.select("c_custkey"), ["c_custkey"])
+    numbered = N.number_rows(t.customer.select("c_custkey"), ["c_custkey"], unique=True)
     rn = F.col(N.ROW_NUMBER)
     return numbered.select(
         "c_custkey",

@@ -254,6 +254,14 @@ def jdbc_parallel(t: Tables) -> DataFrame:
     return plain(jdbc.scan_by_range(t.spark, db, table, "c_custkey", 4))
 
 
+@query("jdbc_balanced", "SELECT c_custkey * c_custkey AS c_custkey, c_name FROM customer")
+def jdbc_balanced(t: Tables) -> DataFrame:
+    # Squares: most keys crowd at the low end of their range.
+    db, table = filled(t, priced_customer(t).withColumn("c_custkey", F.col("c_custkey") * F.col("c_custkey")))
+    ranges = jdbc.balanced_ranges(t.spark, db, table, "c_custkey", 4)
+    return jdbc.scan_by_predicates(t.spark, db, table, ranges, ["c_custkey", "c_name"])
+
+
 @query("jdbc_text_ranges", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def jdbc_text_ranges(t: Tables) -> DataFrame:
     db, table = filled(t)
