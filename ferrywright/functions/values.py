@@ -22,6 +22,9 @@ FALSE_WORDS = ("false", "f", "no", "n")
 COMPACT_DATETIME = "yyyyMMddHHmmss"
 COMPACT_DATE = "yyyyMMdd"
 
+# The characters of the Unicode property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 # Optional minus, digits, at most one dot; a lone dot is not a number.
 NUMERIC_TEXT = r"^-?[0-9]+\.?[0-9]*$|^-?\.[0-9]+$"
 
@@ -91,7 +94,7 @@ def empty_to_null(c: Column) -> Column:
 
 def trim_text(c: Column) -> Column:
     """Strip Unicode white space at both ends; `trim` alone only knows the blank."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def newline_to(c: Column, replacement: str = " ") -> Column:
@@ -103,12 +106,23 @@ def newline_to(c: Column, replacement: str = " ") -> Column:
 
 def expand_datetime(c: Column) -> Column:
     """14 digits as `yyyy-MM-dd HH:mm:ss` text; other values unchanged, no calendar check."""
-    return F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")
+    day = _joined(c, "-", (1, 4), (5, 2), (7, 2))
+    time = _joined(c, ":", (9, 2), (11, 2), (13, 2))
+    return F.when(_compact(c, 14), F.concat(day, F.lit(" "), time)).otherwise(c)
 
 
 def expand_date(c: Column) -> Column:
     """8 digits as `yyyy-MM-dd` text; other values unchanged."""
-    return F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    return F.when(_compact(c, 8), _joined(c, "-", (1, 4), (5, 2), (7, 2))).otherwise(c)
+
+
+def _compact(c: Column, digits: int) -> Column:
+    # The length test is cheap and spares most values the pattern.
+    return (F.octet_length(c) == digits) & is_digits(c, digits)
+
+
+def _joined(c: Column, sep: str, *spans: tuple[int, int]) -> Column:
+    return F.concat_ws(sep, *[F.substring(c, start, length) for start, length in spans])
 
 
 def parse_datetime(c: Column, formats: Iterable[str] = (COMPACT_DATETIME,)) -> Column:

@@ -8,7 +8,7 @@ so a frequent key is reduced before it moves, and attach their finding through
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,29 +68,25 @@ def outside_domain(c: Column, domain: Iterable[str]) -> Column:
 # --- checks on one row ----------------------------------------------------------------
 
 
-def row_tests(table: TableSpec, raw: Mapping[str, Column] | None = None) -> list[tuple[Column, Column]]:
-    """(condition, reason) for every declared property of every column, over text values."""
-    tests: list[tuple[Column, Column]] = []
-    for c in table.ordered():
-        value = raw[c.name] if raw else F.col(c.name)
-        tests += _column_tests(c, value, column_type(table, c))
-    return tests
-
+def _column_tests(c: ColumnSpec, logical: LogicalType, value: Column, typed: Column) -> list[tuple[Column, Column]]:
+    """(condition, reason) for every declared property of one column.
 
-def _column_tests(c: ColumnSpec, value: Column, logical: LogicalType) -> list[tuple[Column, Column]]:
+    `value` is the text as it came, `typed` what it became; only values that did not
+    become anything are looked at again.
+    """
     tests = []
     dtype = spark_type(logical)
+    failed = value.isNotNull() & typed.isNull()
     if not c.nullable:
         tests.append((not_null_violation(value), reason("NOT_NULL", c.name, value)))
     if isinstance(dtype, T.BinaryType):
-        tests.append((invalid_hex(value), reason("BAD_HEX", c.name, value)))
+        tests.append((failed, reason("BAD_HEX", c.name, value)))
     elif isinstance(dtype, T.NumericType):
-        # A number too large for its declaration is told apart from text that is no number.
-        too_large = _too_large(value, dtype, logical)
+        too_large = _too_large(value, typed, dtype, logical)
         tests.append((too_large, reason("PRECISION", c.name, value)))
-        tests.append((cast_failure(value, logical) & ~too_large, reason("CAST", c.name, value)))
+        tests.append((failed & ~too_large, reason("CAST", c.name, value)))
     elif not isinstance(dtype, T.StringType):
-        tests.append((cast_failure(value, logical), reason("CAST", c.name, value)))
+        tests.append((failed, reason("CAST", c.name, value)))
     if isinstance(dtype, T.StringType) and c.length > 0:
         tests.append((length_overflow(value, c.length, c.length_in_bytes), reason("LENGTH", c.name, value)))
     if c.enum_values:
@@ -98,12 +94,15 @@ def _column_tests(c: ColumnSpec, value: Column, logical: LogicalType) -> list[tu
     return tests
 
 
-def _too_large(value: Column, dtype: T.DataType, logical: LogicalType) -> Column:
+def _too_large(value: Column, typed: Column, dtype: T.DataType, logical: LogicalType) -> Column:
+    """A number, but too large for its declaration; text that is no number is not."""
     if isinstance(dtype, T.DecimalType):
-        found = precision_overflow(value, dtype.precision, dtype.scale)
+        found = value.isNotNull() & typed.isNull() & value.try_cast("double").isNotNull()
     elif logical.precision > 0:
         # NUMBER(4) fits a short with room to spare; its own limit is 9999.
-        found = F.abs(value.try_cast("decimal(38,0)")) >= F.lit(10**logical.precision)
+        limit = F.lit(10**logical.precision).cast("decimal(38,0)")
+        wide = F.when(typed.isNotNull(), typed.cast("decimal(38,0)")).otherwise(value.try_cast("decimal(38,0)"))
+        found = F.abs(wide) >= limit
     else:
         return F.lit(False)
     return F.coalesce(found, F.lit(False))
@@ -119,16 +118,24 @@ def collect_reasons(tests: Sequence[tuple[Column, Column]]) -> Column:
 
 
 def check_rows(df: DataFrame, table: TableSpec, extra: Sequence[str] = ()) -> DataFrame:
-    """Typed columns plus `reasons`; text in, one projection, no shuffle."""
-    tests = row_tests(table)
-    malformed = F.lit(False)
-    if CORRUPT in df.columns:
-        malformed = F.col(CORRUPT).isNotNull()
-    shape = F.array(reason("CSV_SHAPE", "", F.col(CORRUPT))) if CORRUPT in df.columns else no_reasons()
-    typed = [conform_value(F.col(c.name), column_type(table, c)).alias(c.name) for c in table.ordered()]
+    """Typed columns plus `reasons`; text in, no shuffle.
+
+    Values are cast in a first projection and tested in a second, so no cast is repeated
+    by the tests. The optimizer keeps the two apart because the casts are used twice.
+    """
+    columns = table.ordered()
+    logical = [column_type(table, c) for c in columns]
+    typed = [conform_value(F.col(c.name), lt).alias(f"_typed{i}") for i, (c, lt) in enumerate(zip(columns, logical))]
+    shaped = F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None).cast("string")
+    both = df.select(*[F.col(c.name) for c in columns], *typed, shaped.alias("_shape"), *extra)
+
+    tests = []
+    for i, (c, lt) in enumerate(zip(columns, logical)):
+        tests += _column_tests(c, lt, F.col(c.name), F.col(f"_typed{i}"))
     # A misshapen row has no values to test.
-    reasons = F.when(malformed, shape).otherwise(collect_reasons(tests)).alias(REASONS)
-    return df.select(*typed, *extra, reasons)
+    misshapen = F.array(reason("CSV_SHAPE", "", F.col("_shape"))).cast(REASON_TYPE)
+    reasons = F.when(F.col("_shape").isNotNull(), misshapen).otherwise(collect_reasons(tests)).alias(REASONS)
+    return both.select(*[F.col(f"_typed{i}").alias(c.name) for i, c in enumerate(columns)], *extra, reasons)
 
 
 # --- checks across rows ----------------------------------------------------------------

@@ -48,10 +48,12 @@ class Transforms:
             out = V.null_identifiers(out, self.null_words, self.null_words_case_sensitive, self.null_regex)
         if self.trim:
             out = V.trim_text(out)
-        if self.datetime_format == V.COMPACT_DATETIME:
-            out = V.expand_datetime(out)
-        elif self.datetime_format == V.COMPACT_DATE:
-            out = V.expand_date(out)
+        if not isinstance(dtype, T.NumericType):
+            # A number of 14 digits is a number.
+            if self.datetime_format == V.COMPACT_DATETIME:
+                out = V.expand_datetime(out)
+            elif self.datetime_format == V.COMPACT_DATE:
+                out = V.expand_date(out)
         if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
             out = self._datetime(out, dtype)
         if logical.base == "BOOLEAN":
@@ -75,6 +77,10 @@ class Transforms:
         return c
 
 
+# Where a row stands in the staged table: unique and stored, so it stays the same for all readers.
+PLACE = "_place"
+
+
 @dataclass(frozen=True)
 class LoadResult:
     checked: DataFrame
@@ -101,16 +107,16 @@ def check_table(
     parents: Mapping[str, DataFrame] | None = None,
     order: Sequence[str] = (),
 ) -> DataFrame:
-    """Typed columns, `order` columns and `reasons` for every landing row.
+    """Typed columns, `order` columns, `reasons` and `_place` for every landing row.
 
-    `order` sorts the rows as they arrived and tells them apart; without it the key does
-    both, and whole-row order decides between rows with the same key. The text is parsed
-    and tested once: the typed rows are staged, and the checks across rows, like every
-    reader of the result, come back for the columns they need.
+    The text is parsed and tested once: the typed rows are staged, and the checks across
+    rows, like every reader of the result, come back for the columns they need. `_place`
+    is stored with them and tells even exact copies apart; `order` says how the rows
+    arrived, without it they count as arriving in that place.
     """
     extra = [c for c in order if c.lower() not in {x.name.lower() for x in table.columns}]
-    rows = stage(checks.check_rows(transform(text, table, steps), table, extra), "checked")
-    place = list(order) or [*table.primary_key, *[c.name for c in table.ordered() if c.name not in table.primary_key]]
+    rows = checks.check_rows(transform(text, table, steps), table, extra)
+    rows = stage(rows.withColumn(PLACE, F.monotonically_increasing_id()), "checked")
     for fk in table.foreign_keys:
         parent = (parents or {}).get(fk.ref_table)
         if parent is None and fk.ref_table.lower() in (table.name.lower(), table.full_name.lower()):
@@ -118,9 +124,9 @@ def check_table(
         if parent is not None:
             rows = checks.mark_orphans(rows, parent, fk)
     if table.primary_key:
-        rows = checks.mark_duplicates(rows, table.primary_key, place)
+        rows = checks.mark_duplicates(rows, table.primary_key, [*order, PLACE])
     for unique in table.unique_keys:
-        rows = checks.mark_duplicates(rows, unique, place, code="DUP_UNIQUE")
+        rows = checks.mark_duplicates(rows, unique, [*order, PLACE], code="DUP_UNIQUE")
     return rows
 
 
@@ -134,15 +140,14 @@ def load_table(
 ) -> LoadResult:
     """Split landing rows into accepted rows and rejects under an error policy."""
     checked = check_table(text, table, steps, parents, order)
-    place = list(order) or list(table.primary_key)
-    if policy.error_limit and not place:
-        raise ValueError(f"{table.full_name}: policy {policy.kind} needs a row order")
+    # Compared as a tuple, so a row without a key has its place as well.
+    place = [*(order or table.primary_key), PLACE]
     seen = apply_policy(checked, policy, place)
     names = [c.name for c in table.ordered()]
     return LoadResult(
         checked=checked,
         accepted=checks.accepted(seen).select(*names),
-        rejects=checks.rejects(seen, place or names, table),
+        rejects=checks.rejects(seen, table.primary_key or order or [PLACE], table),
         counts=import_counts(checked, policy, place, table.schema, table.name),
     )
 
