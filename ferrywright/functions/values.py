@@ -79,12 +79,6 @@ def null_identifiers(
     return F.when(~hit, c)
 
 
-def markers_per_column(columns: Iterable[str], overrides: Mapping[str, str], marker: str = NULL_MARKER) -> list[Column]:
-    """NULL as text, with a marker of its own for some columns."""
-    by_name = {name.lower(): m for name, m in overrides.items()}
-    return [null_to_marker(F.col(n).cast("string"), by_name.get(n.lower(), marker)).alias(n) for n in columns]
-
-
 def empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

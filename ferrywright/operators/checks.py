@@ -199,7 +199,7 @@ def mark_duplicates(
         .agg(F.count(F.lit(1)).alias("n"), F.min(_place(order)).alias("_first"))
         .filter(F.col("n") > 1)
     )
-    marked = attach_facts(checked, facts, keys, F.col("_first"), "_first", "n", hot_rows)
+    marked = attach_facts(checked, facts, keys, F.col("_first"), "_first", "n", hot_rows, order)
     late = (F.size(REASONS) == 0) & F.col("_first").isNotNull() & (_place(order) > F.col("_first"))
     value = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     return _append(marked, late, reason(code, ",".join(keys), value)).drop("_first")
@@ -211,11 +211,16 @@ def _place(order: Sequence[str]) -> Column:
 
 
 def mark_orphans(
-    checked: DataFrame, parent: DataFrame, fk: ForeignKey, code: str = "FK_ORPHAN", hot_rows: int = HOT_ROWS
+    checked: DataFrame,
+    parent: DataFrame,
+    fk: ForeignKey,
+    code: str = "FK_ORPHAN",
+    hot_rows: int = HOT_ROWS,
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Add a reason to rows whose foreign key has no parent."""
     orphans = orphan_keys(checked, parent, fk)
-    marked = attach_facts(checked, orphans, fk.columns, F.lit(True), "_orphan", "n", hot_rows)
+    marked = attach_facts(checked, orphans, fk.columns, F.lit(True), "_orphan", "n", hot_rows, spread_by)
     value = F.concat_ws("|", *[F.col(k).cast("string") for k in fk.columns])
     return _append(marked, F.col("_orphan").isNotNull(), reason(code, ",".join(fk.columns), value)).drop("_orphan")
 

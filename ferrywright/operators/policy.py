@@ -1,9 +1,10 @@
 """What a bad row does to the rest of its table: stop, skip or only log.
 
 The order of rows matters for `stop` and for a limit on errors. It is given by columns
-that identify a row: the key of a table, or the position columns of landing files. No
-row is numbered for it: the place where a load ends is a single key, found by a minimum
-or a top-n over the bad rows.
+that identify a row: the key of a table, or the position columns of landing files. A
+single column must not be NULL; a tuple may have NULLs, which come first. No row is
+numbered for it: the place where a load ends is a single tuple, found by a minimum or a
+top-n over the bad rows.
 """
 
 from __future__ import annotations
@@ -44,45 +45,56 @@ def is_bad() -> Column:
     return F.size(REASONS) > 0
 
 
-def last_place(checked: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
-    """One row: the place of the `limit`-th bad row, NULL when there are fewer."""
+def load_end(checked: DataFrame, policy: ErrorPolicy, order: Sequence[str]) -> Column | None:
+    """Place of the bad row that ends the load, or None when the load runs through.
+
+    A job of its own that returns one tuple; its readers then compare with a literal.
+    """
+    limit = policy.error_limit
+    if not limit:
+        return None
     bad = checked.filter(is_bad()).select(place(order).alias("_place"))
-    if limit == 1:
-        return bad.agg(F.min("_place").alias("_end"))
-    reached = F.count(F.lit(1)) >= F.lit(limit)
-    return bad.orderBy("_place").limit(limit).agg(F.when(reached, F.max("_place")).alias("_end"))
+    if limit > 1:
+        bad = bad.orderBy("_place").limit(limit)
+    last, met = bad.agg((F.min if limit == 1 else F.max)("_place"), F.count(F.lit(1))).first()
+    if met < limit:
+        return None
+    if len(order) == 1:
+        return F.lit(last)
+    return F.struct(*[F.lit(v).cast(checked.schema[n].dataType).alias(n) for n, v in zip(order, last)])
 
 
-def apply_policy(checked: DataFrame, policy: ErrorPolicy, order: Sequence[str]) -> DataFrame:
+def rows_met(checked: DataFrame, order: Sequence[str], end: Column | None) -> DataFrame:
     """Rows the load gets to see: all of them, or those up to the row that ended it.
 
     The result keeps `reasons`; its clean rows are loaded, its bad rows are the errors
-    that were met. `checked` is read twice, so pass a staged frame if it is costly.
+    that were met.
     """
-    if not policy.error_limit:
-        return checked
-    # A one-row result used as a literal of the main query.
-    end = last_place(checked, order, policy.error_limit).scalar()
-    return checked.filter(end.isNull() | (place(order) <= end))
+    return checked if end is None else checked.filter(place(order) <= end)
 
 
 def loaded_rows(checked: DataFrame, policy: ErrorPolicy, order: Sequence[str]) -> DataFrame:
     """The rows that reach the target."""
-    return apply_policy(checked, policy, order).filter(~is_bad()).drop(REASONS)
+    met = rows_met(checked, order, load_end(checked, policy, order))
+    return met.filter(~is_bad()).drop(REASONS)
 
 
 def import_counts(
     checked: DataFrame, policy: ErrorPolicy, order: Sequence[str], schema: str, table: str
 ) -> DataFrame:
-    """Expected, actual, skipped and error counts of one table, in one pass.
+    """Expected, actual, skipped and error counts of one table."""
+    return counts_until(checked, policy, order, load_end(checked, policy, order), schema, table)
+
+
+def counts_until(
+    checked: DataFrame, policy: ErrorPolicy, order: Sequence[str], end: Column | None, schema: str, table: str
+) -> DataFrame:
+    """The counts in one pass, given where the load ended.
 
     `stop` reports its one error and skips nothing; `skip_row` counts a bad row as both;
     `log_only` counts it as an error only.
     """
-    met = F.lit(True)
-    if policy.error_limit:
-        end = last_place(checked, order, policy.error_limit).scalar()
-        met = F.coalesce(place(order) <= end, F.lit(True))
+    met = F.lit(True) if end is None else place(order) <= end
     errors = F.count_if(met & is_bad())
     return checked.agg(
         F.count(F.lit(1)).alias("expected"),

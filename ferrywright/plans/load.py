@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ferrywright.dialects import column_type, takes_numeric_booleans
 from ferrywright.functions import values as V
 from ferrywright.operators import checks
-from ferrywright.operators.policy import ErrorPolicy, apply_policy, import_counts
+from ferrywright.operators.policy import ErrorPolicy, counts_until, load_end, rows_met
 from ferrywright.session import stage
 from ferrywright.spec import ColumnSpec, TableSpec, spark_type
 
@@ -122,7 +122,7 @@ def check_table(
         if parent is None and fk.ref_table.lower() in (table.name.lower(), table.full_name.lower()):
             parent = rows.select(*fk.ref_columns)
         if parent is not None:
-            rows = checks.mark_orphans(rows, parent, fk)
+            rows = checks.mark_orphans(rows, parent, fk, spread_by=[PLACE])
     if table.primary_key:
         rows = checks.mark_duplicates(rows, table.primary_key, [*order, PLACE])
     for unique in table.unique_keys:
@@ -142,12 +142,13 @@ def load_table(
     checked = check_table(text, table, steps, parents, order)
     # Compared as a tuple, so a row without a key has its place as well.
     place = [*(order or table.primary_key), PLACE]
-    seen = apply_policy(checked, policy, place)
+    end = load_end(checked, policy, place)
+    seen = rows_met(checked, place, end)
     names = [c.name for c in table.ordered()]
     return LoadResult(
         checked=checked,
         accepted=checks.accepted(seen).select(*names),
         rejects=checks.rejects(seen, table.primary_key or order or [PLACE], table),
-        counts=import_counts(checked, policy, place, table.schema, table.name),
+        counts=counts_until(checked, policy, place, end, table.schema, table.name),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +13,10 @@ from ferrywright.operators.report import report_document
 from ferrywright.sources.landing import CsvLayout
 
 
-def as_text(df: DataFrame, null_overrides: Mapping[str, str] | None = None, marker: str = V.NULL_MARKER) -> DataFrame:
+def as_text(df: DataFrame, layout: CsvLayout = CsvLayout()) -> DataFrame:
     """Every column as landing text: compact date-times, hex, marker for NULL."""
-    overrides = {k.lower(): m for k, m in (null_overrides or {}).items()}
-    return df.select(
-        *[
-            V.null_to_marker(
-                V.value_text(F.col(f.name), f.dataType), overrides.get(f.name.lower(), marker)
-            ).alias(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    texts = [(f.name, V.value_text(F.col(f.name), f.dataType)) for f in df.schema.fields]
+    return df.select(*[V.null_to_marker(text, layout.marker_of(name)).alias(name) for name, text in texts])
 
 
 def write_csv(
@@ -31,20 +24,19 @@ def write_csv(
     path: str,
     layout: CsvLayout = CsvLayout(),
     order: Sequence[str] = (),
-    null_overrides: Mapping[str, str] | None = None,
     newline: str | None = None,
     quote_all: bool = False,
     mode: str = "errorifexists",
 ) -> None:
     """A folder of CSV part files; with `order`, part files follow each other in key order."""
     rows = range_ordered(df, order) if order else df
-    text = as_text(rows, null_overrides, layout.null_marker)
+    text = as_text(rows, layout)
     if newline is not None:
         text = text.select(*[V.newline_to(F.col(c), newline).alias(c) for c in text.columns])
     writer = text.write.mode(mode).options(
         sep=layout.sep,
         quote=layout.quote,
-        escape=layout.quote,
+        escape=layout.escape or layout.quote,
         header=layout.header,
         emptyValue="",
         quoteAll=quote_all,

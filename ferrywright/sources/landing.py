@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +27,18 @@ class CsvLayout:
     encoding: str = ""
     line_sep: str | None = None
     multi_line: bool = True
+    escape: str = ""
+    null_overrides: Mapping[str, str] = field(default_factory=dict)
+
+    def marker_of(self, column: str) -> str:
+        """Text that stands for NULL in one column."""
+        return {k.lower(): m for k, m in self.null_overrides.items()}.get(column.lower(), self.null_marker)
 
     def read_options(self) -> dict[str, str]:
         options = {
             "sep": self.sep,
             "quote": self.quote,
-            "escape": self.quote,
+            "escape": self.escape or self.quote,
             "header": str(self.header).lower(),
             "multiLine": str(self.multi_line).lower(),
             "ignoreLeadingWhiteSpace": "true",
@@ -68,7 +74,7 @@ def read_landing(
     raw = spark.read.schema(schema).options(**layout.read_options()).csv(path)
     good = F.col(CORRUPT).isNull()
     out = [
-        F.when(good, V.marker_to_null(F.coalesce(F.col(_tick(n)), F.lit("")), layout.null_marker)).alias(n)
+        F.when(good, V.marker_to_null(F.coalesce(F.col(_tick(n)), F.lit("")), layout.marker_of(n))).alias(n)
         for n in names
     ]
     # The NULL half keeps a value column in the scan: Spark refuses to read only `_corrupt`.

@@ -28,7 +28,7 @@ def stream_landing(
         reader = reader.option("maxFilesPerTrigger", max_files)
     good = F.col(CORRUPT).isNull()
     text = [
-        F.when(good, V.marker_to_null(F.coalesce(F.col(n), F.lit("")), layout.null_marker)).alias(n) for n in names
+        F.when(good, V.marker_to_null(F.coalesce(F.col(n), F.lit("")), layout.marker_of(n))).alias(n) for n in names
     ]
     return reader.csv(path).select(*text, CORRUPT)
 

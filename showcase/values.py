@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ferrywright.functions import literals as L
 from ferrywright.functions import values as V
+from ferrywright.sinks.files import as_text
+from ferrywright.sources.landing import CsvLayout
 from showcase.registry import Tables, query
 
 
@@ -105,7 +107,7 @@ def null_marker_write(t: Tables) -> DataFrame:
         V.null_if(F.col("o_orderstatus"), ["P"]).alias("o_orderstatus"),
         V.null_if(F.col("o_orderpriority"), ["5-LOW"]).alias("o_orderpriority"),
     )
-    return holes.select(*V.markers_per_column(holes.columns, {"O_ORDERPRIORITY": "(null)"}))
+    return as_text(holes, CsvLayout(null_overrides={"O_ORDERPRIORITY": "(null)"}))
 
 
 @query(
