@@ -88,7 +88,10 @@ def empty_to_null(c: Column) -> Column:
 
 def trim_text(c: Column) -> Column:
     """Strip Unicode white space at both ends; `trim` alone only knows the blank."""
-    return F.btrim(c, F.lit(WHITE_SPACE))
+    # Most values have nothing to strip; looking at both ends is cheaper than trying.
+    blanks = list(WHITE_SPACE)
+    padded = F.left(c, F.lit(1)).isin(blanks) | F.right(c, F.lit(1)).isin(blanks)
+    return F.when(padded, F.btrim(c, F.lit(WHITE_SPACE))).otherwise(c)
 
 
 def newline_to(c: Column, replacement: str = " ") -> Column:

@@ -100,9 +100,11 @@ def _too_large(value: Column, typed: Column, dtype: T.DataType, logical: Logical
         found = value.isNotNull() & typed.isNull() & value.try_cast("double").isNotNull()
     elif logical.precision > 0:
         # NUMBER(4) fits a short with room to spare; its own limit is 9999.
-        limit = F.lit(10**logical.precision).cast("decimal(38,0)")
-        wide = F.when(typed.isNotNull(), typed.cast("decimal(38,0)")).otherwise(value.try_cast("decimal(38,0)"))
-        found = F.abs(wide) >= limit
+        limit = F.lit(10**logical.precision)
+        inside = (typed >= limit) | (typed <= -limit)
+        # What did not even fit the type may still be a number.
+        outside = F.abs(value.try_cast("decimal(38,0)")) >= limit.cast("decimal(38,0)")
+        found = F.when(typed.isNotNull(), inside).otherwise(outside)
     else:
         return F.lit(False)
     return F.coalesce(found, F.lit(False))

@@ -9,7 +9,7 @@ from ferrywright.functions.values import COMPACT_DATETIME
 from ferrywright.operators import reconcile as R
 from ferrywright.plans.load import Transforms
 from ferrywright.plans.views import refresh_materialized
-from ferrywright.sinks.tables import write_lake_table
+from ferrywright.sinks.tables import append_table, require_values, write_lake_table
 from ferrywright.sources import jdbc
 from ferrywright.sources.catalog import load_specs
 from ferrywright.spec import ColumnSpec, TableSpec
@@ -121,6 +121,22 @@ def test_database_ranges(spark):
     ]
 
 
+def test_required_columns_are_created_not_null(spark):
+    db = database(spark)
+    kinds = ["BIGINT", "VARCHAR", "NUMERIC", "TIMESTAMP", "DATE", "BOOLEAN", "DOUBLE PRECISION"]
+    spec = TableSpec("s", "strict", tuple(ColumnSpec(f"c{i}", k, length=9, nullable=False) for i, k in enumerate(kinds)), "postgres")
+    row = spark.sql("SELECT 1L c0, 'x' c1, 1.5 c2, TIMESTAMP_NTZ'2001-01-01' c3, DATE'2001-01-01' c4, true c5, 1d c6")
+    assert not any(f.nullable for f in require_values(row.selectExpr("*"), spec).schema.fields)
+    append_table(row, db, "strict", spec=spec)
+    with pytest.raises(Exception):
+        row.selectExpr("nullif(c0, 1) c0", "c1", "c2", "c3", "c4", "c5", "c6").write.format("jdbc").options(
+            **db.writer_options()
+        ).option("dbtable", "strict").mode("append").save()
+    with pytest.raises(Exception, match="NULL in s.strict.c1"):
+        append_table(row.selectExpr("c0", "nullif(c1, 'x') c1", "c2", "c3", "c4", "c5", "c6"), db, "strict", spec=spec)
+    assert jdbc.scan(spark, db, "strict").count() == 1
+
+
 def test_pushdown_reaches_the_database(spark):
     db = database(spark)
     spark.range(50).selectExpr("id AS a", "id AS b").write.format("jdbc").options(**db.writer_options()).option(
