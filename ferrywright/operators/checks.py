@@ -207,6 +207,22 @@ def mark_duplicates(
     return _append(marked, late, reason(code, ",".join(keys), value)).drop("_first")
 
 
+def mark_existing(
+    checked: DataFrame,
+    target: DataFrame,
+    keys: Sequence[str],
+    code: str = "DUP_PK",
+    hot_rows: int = HOT_ROWS,
+    spread_by: Sequence[str] = (),
+) -> DataFrame:
+    """Add a reason to rows whose key the target table already holds."""
+    arriving = checked.filter(all_present(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    taken = arriving.join(target.select(*keys), list(keys), "left_semi")
+    marked = attach_facts(checked, taken, keys, F.lit(True), "_taken", "n", hot_rows, spread_by)
+    value = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    return _append(marked, F.col("_taken").isNotNull(), reason(code, ",".join(keys), value)).drop("_taken")
+
+
 def _place(order: Sequence[str]) -> Column:
     # A plain column keeps the aggregate hash-based.
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)

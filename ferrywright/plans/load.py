@@ -106,13 +106,15 @@ def check_table(
     steps: Transforms = Transforms(),
     parents: Mapping[str, DataFrame] | None = None,
     order: Sequence[str] = (),
+    existing: DataFrame | None = None,
 ) -> DataFrame:
     """Typed columns, `order` columns, `reasons` and `_place` for every landing row.
 
     The text is parsed and tested once: the typed rows are staged, and the checks across
     rows, like every reader of the result, come back for the columns they need. `_place`
     is stored with them and tells even exact copies apart; `order` says how the rows
-    arrived, without it they count as arriving in that place.
+    arrived, without it they count as arriving in that place. `existing` are the rows an
+    append will meet in the target.
     """
     extra = [c for c in order if c.lower() not in {x.name.lower() for x in table.columns}]
     rows = checks.check_rows(transform(text, table, steps), table, extra)
@@ -124,6 +126,8 @@ def check_table(
         if parent is not None:
             rows = checks.mark_orphans(rows, parent, fk, spread_by=[PLACE])
     if table.primary_key:
+        if existing is not None:
+            rows = checks.mark_existing(rows, existing, table.primary_key, spread_by=[PLACE])
         rows = checks.mark_duplicates(rows, table.primary_key, [*order, PLACE])
     for unique in table.unique_keys:
         rows = checks.mark_duplicates(rows, unique, [*order, PLACE], code="DUP_UNIQUE")
@@ -137,9 +141,10 @@ def load_table(
     policy: ErrorPolicy = ErrorPolicy(),
     parents: Mapping[str, DataFrame] | None = None,
     order: Sequence[str] = (),
+    existing: DataFrame | None = None,
 ) -> LoadResult:
     """Split landing rows into accepted rows and rejects under an error policy."""
-    checked = check_table(text, table, steps, parents, order)
+    checked = check_table(text, table, steps, parents, order, existing)
     # Compared as a tuple, so a row without a key has its place as well.
     place = [*(order or table.primary_key), PLACE]
     end = load_end(checked, policy, place)

@@ -10,8 +10,10 @@ from ferrywright.operators import checks as C
 from ferrywright.operators import policy as P
 from ferrywright.operators import report as R
 from ferrywright.plans.load import Transforms, check_table, load_table
+from ferrywright.plans.migrate import from_landing, migrate_tables
 from ferrywright.session import scratch_path, stage
-from ferrywright.sinks.files import write_report
+from ferrywright.sinks.files import write_csv, write_rejects, write_report
+from ferrywright.sinks.tables import write_lake_table
 from ferrywright.spec import ColumnSpec, ForeignKey, TableSpec
 from showcase.registry import Tables, query
 
@@ -132,6 +134,64 @@ def load_lineitem(t: Tables) -> DataFrame:
     return load_table(text, LINES, Transforms()).counts
 
 
+CUSTOMERS = TableSpec(
+    "tpch",
+    "customer",
+    (
+        ColumnSpec("c_custkey", "BIGINT", nullable=False),
+        ColumnSpec("c_name", "VARCHAR", length=25),
+        ColumnSpec("c_mktsegment", "VARCHAR", length=9),
+    ),
+    dialect="mysql",
+    primary_key=("c_custkey",),
+)
+RUN = (
+    CUSTOMERS,
+    TableSpec(
+        "tpch",
+        "orders",
+        ORDERS.columns,
+        primary_key=("o_orderkey",),
+        foreign_keys=(ForeignKey(("o_custkey",), "tpch.customer", ("c_custkey",)),),
+    ),
+    TableSpec(
+        "tpch",
+        "lineitem",
+        LINES.columns,
+        dialect="mysql",
+        foreign_keys=(ForeignKey(("l_orderkey",), "tpch.orders", ("o_orderkey",)),),
+    ),
+)
+_NO_CUSTOMER = "(o_custkey IN (SELECT c_custkey FROM customer WHERE length(c_mktsegment) > 9))"
+_BAD_ORDER = f"({_MISSING} OR {_NO_CUSTOMER} OR {_LONG} OR {_WORD})"
+_RUN_COUNTS = """SELECT 'tpch' AS "schema", '{0}' AS "table", count(*) AS expected, count(*) FILTER (WHERE NOT {1}) AS actual,
+    count(*) FILTER (WHERE {1}) AS skipped, count(*) FILTER (WHERE {1}) AS errors FROM {0}"""
+
+
+@query(
+    "migrate_tables",
+    " UNION ALL ".join(
+        [
+            _RUN_COUNTS.format("customer", "(length(c_mktsegment) > 9)"),
+            _RUN_COUNTS.format("orders", _BAD_ORDER),
+            _RUN_COUNTS.format("lineitem", f"(l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_BAD_ORDER}))"),
+        ]
+    ),
+)
+def migrate(t: Tables) -> DataFrame:
+    root = scratch_path(t.spark, "run")
+    write_csv(t.customer.select(*[c.name for c in CUSTOMERS.columns]), f"{root}/in/tpch.customer.csv")
+    write_csv(landed_orders(t), f"{root}/in/tpch.orders.csv")
+    write_csv(t.lineitem.select(*[c.name for c in LINES.columns]), f"{root}/in/tpch.lineitem.csv")
+    return migrate_tables(
+        RUN,
+        from_landing(t.spark, f"{root}/in"),
+        lambda rows, table: write_lake_table(rows, f"{root}/out/{table.full_name}"),
+        lambda rows, table: write_rejects(rows, f"{root}/rejects/{table.full_name}"),
+        STEPS,
+    )
+
+
 # --- error policies -------------------------------------------------------------------
 
 PRICED = TableSpec("tpch", "orders", ORDERS.columns[:5], primary_key=("o_orderkey",))
@@ -343,8 +403,6 @@ def report_json(t: Tables) -> DataFrame:
             UNION ALL SELECT 'CAST', 'o_totalprice' FROM orders WHERE {_WORD}) GROUP BY ALL""",
 )
 def reject_sink(t: Tables) -> DataFrame:
-    from ferrywright.sinks.files import write_rejects
-
     plain = TableSpec("tpch", "orders", ORDERS.columns, primary_key=())
     checked = check_table(landed_orders(t), plain, STEPS)
     path = scratch_path(t.spark, "rejects")

@@ -12,6 +12,7 @@ from ferrywright.operators import checks as C
 from ferrywright.operators import policy as P
 from ferrywright.operators import report as R
 from ferrywright.plans.load import Transforms, load_table
+from ferrywright.plans.migrate import from_tables, migrate_tables
 from ferrywright.plans.views import well_paid
 from ferrywright.spec import ColumnSpec, TableSpec
 from tests.emp import DEPT, DEPT_ROWS, EMP, EMP_ROWS, text_frame
@@ -93,6 +94,32 @@ def test_exact_copies_count_once(spark):
     assert counts(result) == (700, 14, 686, 686)
 
 
+def test_an_append_meets_existing_rows(spark):
+    before = spark.createDataFrame([(7369,), (7499,)], "EMPNO int")
+    dept = text_frame(spark, DEPT, DEPT_ROWS)
+    result = load_table(text_frame(spark, EMP, EMP_ROWS), EMP, STEPS, parents={"SCOTT.DEPT": dept}, existing=before)
+    assert counts(result) == (14, 12, 2, 2)
+    assert {(k, r) for k, r, _, _ in reasons(result)} == {("7369", "DUP_PK"), ("7499", "DUP_PK")}
+
+
+def test_a_run_over_typed_tables(spark, tmp_path):
+    emp = load_emp(spark).accepted
+    dept = load_table(text_frame(spark, DEPT, DEPT_ROWS), DEPT, STEPS).accepted
+    tables = {"EMP": emp, "DEPT": dept.filter("DEPTNO <> 10")}
+    out = migrate_tables(
+        [DEPT, EMP],
+        from_tables(lambda t: tables[t.name]),
+        lambda rows, t: rows.write.parquet(str(tmp_path / t.name)),
+        lambda rows, t: rows.write.parquet(str(tmp_path / f"{t.name}.bad")),
+        STEPS,
+    )
+    got = {r["table"]: (r["expected"], r["actual"]) for r in out.collect()}
+    # Everyone in department 10 is refused.
+    assert got == {"DEPT": (3, 3), "EMP": (14, 11)}
+    assert spark.read.parquet(str(tmp_path / "EMP")).count() == 11
+    assert spark.read.parquet(str(tmp_path / "EMP.bad")).select("row_key").distinct().count() == 3
+
+
 SIMPLE = TableSpec(
     "s",
     "t",
