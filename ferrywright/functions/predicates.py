@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterable
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def conjunction(tests: Iterable[Column]) -> Column:
@@ -21,3 +24,11 @@ def disjunction(tests: Iterable[Column]) -> Column:
 
 def all_present(names: Iterable[str]) -> Column:
     return conjunction(F.col(n).isNotNull() for n in names)
+
+
+def literal(value: Any, dtype: T.DataType) -> Column:
+    """A collected value as a literal of the column type it came from."""
+    if isinstance(dtype, T.TimestampNTZType) and isinstance(value, datetime.datetime):
+        # As a timestamp it would pass through the time zone of the Python process.
+        value = value.isoformat(sep=" ")
+    return F.lit(value).cast(dtype)

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrywright.functions.predicates import literal
 from ferrywright.operators.checks import REASONS
 
 
@@ -60,8 +61,8 @@ def load_end(checked: DataFrame, policy: ErrorPolicy, order: Sequence[str]) -> C
     if met < limit:
         return None
     if len(order) == 1:
-        return F.lit(last)
-    return F.struct(*[F.lit(v).cast(checked.schema[n].dataType).alias(n) for n, v in zip(order, last)])
+        return literal(last, checked.schema[order[0]].dataType)
+    return F.struct(*[literal(v, checked.schema[n].dataType).alias(n) for n, v in zip(order, last)])
 
 
 def rows_met(checked: DataFrame, order: Sequence[str], end: Column | None) -> DataFrame:

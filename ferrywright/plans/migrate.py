@@ -12,7 +12,7 @@ from ferrywright.operators.report import union_all
 from ferrywright.plans.load import Transforms, load_table
 from ferrywright.session import stage
 from ferrywright.sinks.files import as_text
-from ferrywright.sources.landing import CsvLayout, read_landing
+from ferrywright.sources.landing import CsvLayout, read_table
 from ferrywright.spec import TableSpec
 
 
@@ -44,11 +44,7 @@ def migrate_tables(
 def from_landing(spark: SparkSession, folder: str, layout: CsvLayout = CsvLayout()) -> Callable[[TableSpec], DataFrame]:
     """Reader of `{schema}.{table}.csv` below a folder."""
 
-    def read(table: TableSpec) -> DataFrame:
-        path = f"{folder.rstrip('/')}/{table.landing_name}"
-        return read_landing(spark, path, [c.name for c in table.ordered()], layout)
-
-    return read
+    return lambda table: read_table(spark, folder, table, layout)
 
 
 def from_tables(scan: Callable[[TableSpec], DataFrame]) -> Callable[[TableSpec], DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrywright.functions import values as V
+from ferrywright.spec import TableSpec
 
 CORRUPT = "_corrupt"
 # Where a row stood: file, block in the file, position in the task that read the block.
@@ -42,6 +43,10 @@ class CsvLayout:
             "header": str(self.header).lower(),
             "multiLine": str(self.multi_line).lower(),
             "ignoreLeadingWhiteSpace": "true",
+            # A stray quote inside a quoted field belongs to the value.
+            "unescapedQuoteHandling": "STOP_AT_CLOSING_QUOTE",
+            # Header names that differ from the columns asked for fail the read.
+            "enforceSchema": "false",
             "mode": "PERMISSIVE",
             "columnNameOfCorruptRecord": CORRUPT,
             # A pruned parse does not notice short and long rows.
@@ -89,6 +94,29 @@ def read_landing(
     return raw.select(*out)
 
 
+def read_table(
+    spark: SparkSession, folder: str, table: TableSpec, layout: CsvLayout = CsvLayout(), position: bool = False
+) -> DataFrame:
+    """Landing rows of a declared table, matched by the names in the header line.
+
+    The file may order its columns as it likes and leave some out, which are NULL then;
+    a column nobody declared is an error.
+    """
+    path = f"{folder.rstrip('/')}/{table.landing_name}"
+    declared = [c.name for c in table.ordered()]
+    header = read_header(spark, path, layout) if layout.header else declared
+    known = {h.lower(): h for h in header}
+    unknown = [h for h in header if h.lower() not in {d.lower() for d in declared}]
+    if unknown:
+        raise ValueError(f"{path} has columns {table.full_name} does not declare: {unknown}")
+    rows = read_landing(spark, path, header, layout, position)
+    values = [
+        F.col(_tick(known[d.lower()])).alias(d) if d.lower() in known else F.lit(None).cast("string").alias(d)
+        for d in declared
+    ]
+    return rows.select(*values, *rows.columns[len(header) :])
+
+
 def read_header(spark: SparkSession, path: str, layout: CsvLayout = CsvLayout()) -> list[str]:
     """Column names from the header line; no value is looked at."""
     options = layout.read_options() | {"header": "true", "inferSchema": "false"}
@@ -112,6 +140,7 @@ def landing_rows(spark: SparkSession, folder: str, layout: CsvLayout = CsvLayout
     raw = (
         spark.read.schema("first_field string")
         .options(**options)
+        .option("enforceSchema", "true")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")
         .csv(folder)

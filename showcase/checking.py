@@ -42,7 +42,7 @@ def length_overflow(t: Tables) -> DataFrame:
     c = F.col("text")
     return t.documents.select(
         "doc_id",
-        F.char_length(c).alias("chars"),
+        F.char_length(c).cast("long").alias("chars"),
         C.length_overflow(c, 1000).alias("too_many_chars"),
         C.length_overflow(c, 1000, in_bytes=True).alias("too_many_bytes"),
     )

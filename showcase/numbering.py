@@ -50,7 +50,7 @@ def first_page(t: Tables) -> DataFrame:
        WHERE (o_custkey, o_orderkey) > (40, 700)""",
 )
 def rows_after_key(t: Tables) -> DataFrame:
-    rest = t.orders.filter(P.after_key({"o_custkey": 40, "o_orderkey": 700}))
+    rest = t.orders.filter(P.after_key(t.orders, {"o_custkey": 40, "o_orderkey": 700}))
     return rest.agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("lowest"), F.max("o_custkey").alias("highest")
     )

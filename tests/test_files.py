@@ -11,6 +11,7 @@ from ferrywright.plans.convert import convert_table
 from ferrywright.sinks.files import as_text, write_csv
 from ferrywright.sinks.insert_script import insert_statements, write_insert_script
 from ferrywright.sources import landing as L
+from ferrywright.spec import ColumnSpec, TableSpec
 
 
 def text_of(path):
@@ -75,6 +76,31 @@ def test_reading_what_others_write(spark, tmp_path):
     }
 
 
+def test_stray_quotes_belong_to_the_value(spark, tmp_path):
+    path = put(tmp_path, "s.t.csv", 'a,b\nx"y,1\n"p"q",2\n')
+    assert [tuple(r) for r in L.split_malformed(L.read_landing(spark, path, ["a", "b"]))[0].collect()] == [
+        ('x"y', "1"), ('p"q', "2"),
+    ]
+
+
+SPEC = TableSpec("S", "T", (ColumnSpec("A", "INT"), ColumnSpec("B", "INT"), ColumnSpec("C", "INT")), "postgres")
+
+
+def test_columns_are_matched_by_header(spark, tmp_path):
+    put(tmp_path, "s.t.csv", "c,a\n3,1\n")
+    assert L.read_table(spark, str(tmp_path), SPEC).drop(L.CORRUPT).collect() == [("1", None, "3")]
+    put(tmp_path, "s.t.csv", "c,x\n3,1\n")
+    with pytest.raises(ValueError, match="'x'"):
+        L.read_table(spark, str(tmp_path), SPEC)
+
+
+def test_a_swapped_header_is_not_read_by_position(spark, tmp_path):
+    path = put(tmp_path, "s.t.csv", "b,a\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        L.read_landing(spark, path, ["a", "b"]).collect()
+    assert L.read_landing(spark, path, ["B", "A"]).count() == 1
+
+
 def test_rows_keep_file_order(spark, tmp_path):
     put(tmp_path, "a.csv", "k\n" + "".join(f"{i}\n" for i in range(50)))
     put(tmp_path, "b.csv", "k\n" + "".join(f"{i}\n" for i in range(50, 80)))

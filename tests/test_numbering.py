@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import datetime
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,18 @@ def test_keyset_filter_reaches_the_file(spark, tmp_path):
     assert "GreaterThanOrEqual(b,3)" in plan and "TakeOrderedAndProject" in plan
 
 
+def test_a_time_cursor_does_not_depend_on_the_process_zone(spark, monkeypatch):
+    hours = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ'2020-01-01', TIMESTAMP_NTZ'2020-01-02', INTERVAL 1 HOUR)) AS h")
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        page = P.keyset_page(hours, ["h"], 2, {"h": datetime.datetime(2020, 1, 1, 5)}).collect()
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert [r["h"].hour for r in page] == [6, 7]
+
+
 def test_colliding_names_are_refused(spark):
     with pytest.raises(ValueError):
         P.fold_columns(spark.range(1).selectExpr("id AS a", "id AS A"), "postgres")
