@@ -262,6 +262,14 @@ def jdbc_balanced(t: Tables) -> DataFrame:
     return jdbc.scan_by_predicates(t.spark, db, table, ranges, ["c_custkey", "c_name"])
 
 
+@query("jdbc_keyless", "SELECT c_name, c_mktsegment, CASE WHEN c_nationkey <> 3 THEN c_nationkey END AS c_nationkey FROM customer")
+def jdbc_keyless(t: Tables) -> DataFrame:
+    nation = F.when(F.col("c_nationkey") != 3, F.col("c_nationkey"))
+    db, table = filled(t, priced_customer(t).withColumn("c_nationkey", nation))
+    buckets = jdbc.bucket_predicates(db.quoted("c_nationkey"), 5)
+    return jdbc.scan_by_predicates(t.spark, db, table, buckets, ["c_name", "c_mktsegment", "c_nationkey"])
+
+
 @query("jdbc_text_ranges", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def jdbc_text_ranges(t: Tables) -> DataFrame:
     db, table = filled(t)
