@@ -232,7 +232,8 @@ def policy_skip_limit(t: Tables) -> DataFrame:
     return P.loaded_rows(priced(t), limited, KEY).select("o_orderkey", "o_orderstatus")
 
 
-_COUNTS = 'SELECT \'tpch\' AS "schema", \'orders_{0}\' AS "table", count(*) AS expected, {1} AS actual, {2} AS skipped, {3} AS errors FROM orders'
+_COUNTS = """SELECT 'tpch' AS "schema", 'orders_{0}' AS "table", count(*) AS expected, {1} AS actual,
+    {2} AS skipped, {3} AS errors FROM orders"""
 _IS_BAD = "count(*) FILTER (WHERE o_totalprice > 499000)"
 _IS_GOOD = "count(*) FILTER (WHERE NOT o_totalprice > 499000)"
 _FEW = f"(SELECT count(*) FROM ({_SOME})) < "
