@@ -5,7 +5,7 @@ word shingles. The fingerprints form a binary trie. Pairs of its nodes are follo
 together from the root: each step adds the bits in which the two nodes differ, and a
 pair that differs in more bits than allowed is given up with all that lies below it.
 
-The upper part of the trie is walked with joins over tables of nodes, four levels at a
+The upper part of the trie is walked with joins over tables of nodes, two levels at a
 time, until a pair of nodes has so few fingerprints that one task can follow it to the
 end. So dense parts of the trie are split further, however many fingerprints they have.
 Below, a task hands on a spanning forest of the links it finds, never the pairs of a group.
@@ -26,7 +26,7 @@ SHINGLE = 3
 MAX_BITS = 2
 # Fingerprints that one task follows together, and levels of the trie per step above.
 LEAF = 8192
-STEP = 4
+STEP = 2
 # Node pairs that a task holds at once, and fingerprint pairs below which nodes are compared directly.
 _FRONTIER = 200_000
 _DIRECT = 48
