@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywright.llm import line_frequency, simhash_trie
+from ferrywright.llm import line_frequency, secrets, simhash_trie, toxicity
 from ferrywright.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_frequency(docs).drop("source")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near-duplicates of every document."""
     found = simhash_trie.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -32,6 +37,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.secrets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_line_frequency"] = op1_line_frequency
 ORACLES["op1_line_frequency"] = line_frequency.ORACLE
+QUERIES["op5_toxicity"] = op5_toxicity
 QUERIES["op6_simhash"] = op6_simhash
+QUERIES["op8_secrets"] = op8_secrets
