@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywright.llm import line_frequency, secrets, simhash_trie, toxicity
+from ferrywright.llm import line_frequency, pseudonyms, secrets, simhash_trie, toxicity
 from ferrywright.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,12 +19,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.ferrywright.pseudonym.key", pseudonyms.DEMO_KEY)
+
+
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict per document from its own measures and from lines that its source repeats."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_frequency.line_frequency(docs).drop("source")
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses replaced by pseudonyms."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, pseudonym_key(spark))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels that are not held out."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -44,6 +54,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_line_frequency"] = op1_line_frequency
 ORACLES["op1_line_frequency"] = line_frequency.ORACLE
+QUERIES["op3_pseudonyms"] = op3_pseudonyms
 QUERIES["op5_toxicity"] = op5_toxicity
 QUERIES["op6_simhash"] = op6_simhash
 QUERIES["op8_secrets"] = op8_secrets
