@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywright.llm import line_frequency, pseudonyms, secrets, simhash_trie, toxicity
+from ferrywright.llm import line_frequency, packing, pseudonyms, secrets, simhash_trie, toxicity
 from ferrywright.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_frequency(docs).drop("source")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every piece of every document, without two duplicates in a bin."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal numbers, dates and addresses replaced by pseudonyms."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +59,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_line_frequency"] = op1_line_frequency
 ORACLES["op1_line_frequency"] = line_frequency.ORACLE
+QUERIES["op2_packing"] = op2_packing
 QUERIES["op3_pseudonyms"] = op3_pseudonyms
 QUERIES["op5_toxicity"] = op5_toxicity
 QUERIES["op6_simhash"] = op6_simhash
