@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywright.llm import line_frequency, packing, pseudonyms, secrets, simhash_trie, toxicity
+from ferrywright.llm import line_frequency, line_join, packing, pseudonyms, secrets, simhash_trie, toxicity
 from ferrywright.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, pseudonym_key(spark))
 
 
+def op4_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that match an earlier line of the table."""
+    return line_join.line_matches(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels that are not held out."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -61,6 +66,8 @@ QUERIES["op1_line_frequency"] = op1_line_frequency
 ORACLES["op1_line_frequency"] = line_frequency.ORACLE
 QUERIES["op2_packing"] = op2_packing
 QUERIES["op3_pseudonyms"] = op3_pseudonyms
+QUERIES["op4_line_join"] = op4_line_join
+ORACLES["op4_line_join"] = line_join.ORACLE
 QUERIES["op5_toxicity"] = op5_toxicity
 QUERIES["op6_simhash"] = op6_simhash
 QUERIES["op8_secrets"] = op8_secrets
