@@ -18,8 +18,9 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrywright.llm.common import fresh, numbered, settled, words_of
 from ferrywright.session import stage
@@ -29,6 +30,8 @@ SIMILARITY = 0.8
 LEAST_WORDS = 5
 # Counters of words; a word's rarity is that of its counter, the order of rare words is refined by their length.
 COUNTERS = 1 << 16
+# Words of a line by which it is first compared with the first and the previous line that has them.
+EARLY_WORDS = 4
 # Broadcast no more lines than this when candidates are looked up.
 MOST_BROADCAST = 500_000
 
@@ -98,50 +101,60 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, t: float)
 def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIMILARITY) -> DataFrame:
     """Columns (row, line_no) of compared lines without a match among the earlier ones.
 
-    Lines are ordered by id, then by row, then by their place.
+    Lines are ordered by id, then by row, then by their place; where `row` is the id, it is the whole order.
     """
     lines = document_lines(rows, row, id_col, text)
     classes = word_classes(lines)
     sized = lines.withColumn("keys", F.sort_array(F.transform("words", lambda w: _key(w, classes)))).withColumn("n", F.size("keys"))
-    one = F.lit(1).cast("long")
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    one, low = F.lit(1).cast("long"), F.lit(63).cast("long")
+    flips = lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(low).cast("int")))
+    order = ["row", "line_no"] if row == id_col else ["id", "row", "line_no"]
     sets = sized.select(
-        "id", "row", "line_no", "n",
+        *order, "n",
         F.xxhash64("keys").alias("set"),
-        parity.alias("bits"),
+        F.aggregate("keys", F.lit(0).cast("long"), flips).alias("bits"),
         F.slice("keys", F.lit(1), _prefix_size(F.col("n"), t)).alias("prefix"),
     )
-    order = ["id", "row", "line_no"]
     # Equal sets are one line, the first of them; copies are reduced before the shuffle.
     first = sets.withColumn("place", F.row_number().over(W.partitionBy("set").orderBy(*order))).filter("place = 1")
     first = stage(first.drop("place", "set"), "line_sets")
-    tokens = first.select(*order, "n", "bits", F.posexplode("prefix").alias("at", "token"))
+    settled_lines = _settled_early(first, rows, row, text, order, t)
+    tokens = first.select(*order, "n", "bits", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    earlier = F.struct(*[F.col(f"o.{c}") for c in order]) < F.struct(*[F.col(f"me.{c}") for c in order])
+    small = settled_lines.count() <= MOST_BROADCAST
+    rest = tokens.join(F.broadcast(settled_lines) if small else settled_lines, ["row", "line_no"], "left_anti")
+    pairs = rest.alias("me").join(tokens.alias("o"), F.col("me.token") == F.col("o.token")).filter(earlier & _possible("me", "o", t))
+    names = [F.col(f"me.{c}") for c in ("row", "line_no")] + [F.col(f"o.{c}").alias(f"{c}2") for c in ("row", "line_no")]
+    gone = settled_lines.union(_verified(stage(pairs.select(*names).distinct(), "pairs"), rows, row, text, t))
+    return first.select("row", "line_no").join(gone, ["row", "line_no"], "left_anti")
+
+
+def _settled_early(first: DataFrame, rows: DataFrame, row: str, text: str, order: list[str], t: float) -> DataFrame:
+    """Columns (row, line_no) of lines that match the first or the previous line with one of their rarest words."""
+    tokens = first.select(*order, "n", "bits", F.posexplode(F.slice("prefix", 1, EARLY_WORDS)).alias("at", "token"))
     by_token = W.partitionBy("token").orderBy(*order)
     me = F.struct(*order, "n", "bits", "at")
-    seen = tokens.select(
-        "token", me.alias("me"), F.first(me).over(by_token).alias("head"), F.lag(me).over(by_token).alias("last"), F.lead("n").over(by_token).alias("next")
-    )
-    shared = stage(seen.filter("last is not null or next is not null").drop("next"), "shared_words")
-    near = shared.filter("last is not null").select("me", F.explode(F.array("head", "last")).alias("o"))
+    seen = tokens.select(me.alias("me"), F.first(me).over(by_token).alias("head"), F.lag(me).over(by_token).alias("last"))
+    near = seen.filter("last is not null").select("me", F.explode(F.array("head", "last")).alias("o"))
     near = near.filter(_possible("me", "o", t))
     names = [F.col(f"me.{c}") for c in ("row", "line_no")] + [F.col(f"o.{c}").alias(f"{c}2") for c in ("row", "line_no")]
-    settled_lines = stage(_verified(stage(near.select(*names).distinct(), "near_pairs"), rows, row, text, t), "settled_lines")
-    rest = shared.filter("last is not null").select("token", "me", "me.row", "me.line_no")
-    rest = rest.join(settled_lines, ["row", "line_no"], "left_anti").select("token", "me")
-    others = shared.select("token", F.col("me").alias("o"))
-    earlier = F.struct(*[F.col(f"o.{c}") for c in order]) < F.struct(*[F.col(f"me.{c}") for c in order])
-    pairs = rest.join(others, "token").filter(earlier & _possible("me", "o", t)).select(*names).distinct()
-    gone = settled_lines.union(_verified(stage(pairs, "pairs"), rows, row, text, t))
-    return first.select("row", "line_no").join(gone, ["row", "line_no"], "left_anti")
+    pairs = stage(near.select(*names).distinct(), "near_pairs")
+    return stage(_verified(pairs, rows, row, text, t), "settled_lines")
 
 
-def _reviewed(docs: DataFrame, id_col: str, text: str, t: float) -> tuple[DataFrame, str, str]:
-    """`docs` with the numbers of their lines, and of those that stay of the compared ones."""
+def _reviewed(docs: DataFrame, id_col: str, text: str, t: float) -> tuple[DataFrame, str]:
+    """`docs` with the numbers of those of their compared lines that stay, and that column's name."""
     docs = settled(docs)
     row, kept = fresh(docs, "_row", "_kept")
-    rows = numbered(docs, row)
+    ids = docs.select(F.col(id_col).alias("id"))
+    repeated = ids.groupBy("id").count().filter("id is null or count > 1").limit(1).count()
+    # Ids that tell the rows apart are used as they are; else rows get numbers.
+    if not repeated and docs.schema[id_col].dataType == T.LongType():
+        row, rows = id_col, docs
+    else:
+        rows = numbered(docs, row)
     by_row = kept_lines(rows, row, id_col, text, t).groupBy("row").agg(F.collect_list("line_no").alias(kept))
-    return rows.join(by_row.withColumnRenamed("row", row), row, "left"), row, kept
+    return rows.join(by_row.withColumnRenamed("row", row), row, "left"), kept
 
 
 def _removed(text: Column, kept: Column) -> Column:
@@ -160,7 +173,7 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t:
     with words. Rows that repeat match each other, the first in the table stays. A null id
     comes before all others. An empty table gives no rows.
     """
-    rows, row, kept = _reviewed(docs, id_col, text, t)
+    rows, kept = _reviewed(docs, id_col, text, t)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     out = rows.select(F.col(id_col), F.size(F.split(body, "\n")).alias("n_lines"), _removed(body, F.col(kept)).alias("gone"))
     return out.select(id_col, "n_lines", F.size("gone").alias("n_removed"), F.array_join("gone", ",").alias("removed"))
@@ -168,7 +181,7 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t:
 
 def drop_matching_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: float = SIMILARITY) -> DataFrame:
     """`docs` with the removed lines taken out of their texts, as `line_matches` says; null texts stay null."""
-    rows, row, kept = _reviewed(docs, id_col, text, t)
+    rows, kept = _reviewed(docs, id_col, text, t)
     body = F.col(text).cast("string")
     (gone,) = fresh(rows, "_gone")
     rows = rows.withColumn(gone, _removed(body, F.col(kept)))
