@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywright.llm import line_frequency, line_join, packing, pseudonyms, secrets, simhash_trie, toxicity
+from ferrywright.llm import (
+    line_frequency,
+    line_join,
+    packing,
+    pieces,
+    pseudonyms,
+    secrets,
+    simhash_trie,
+    toxicity,
+    vector_graph,
+)
 from ferrywright.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +72,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
 
+def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of near-duplicates of every vector."""
+    return vector_graph.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document, decoded again."""
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_line_frequency"] = op1_line_frequency
 ORACLES["op1_line_frequency"] = line_frequency.ORACLE
 QUERIES["op2_packing"] = op2_packing
@@ -71,3 +91,5 @@ ORACLES["op4_line_join"] = line_join.ORACLE
 QUERIES["op5_toxicity"] = op5_toxicity
 QUERIES["op6_simhash"] = op6_simhash
 QUERIES["op8_secrets"] = op8_secrets
+QUERIES["op9_vector_graph"] = op9_vector_graph
+QUERIES["op10_pieces"] = op10_pieces
