@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrywright.llm import (
+    license_scan,
     line_frequency,
     line_join,
     packing,
@@ -67,6 +68,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence family of every document and the lines that name it."""
+    return license_scan.licences(_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.secrets(_table(spark, sf_dir, "documents"))
@@ -90,6 +96,7 @@ QUERIES["op4_line_join"] = op4_line_join
 ORACLES["op4_line_join"] = line_join.ORACLE
 QUERIES["op5_toxicity"] = op5_toxicity
 QUERIES["op6_simhash"] = op6_simhash
+QUERIES["op7_licences"] = op7_licences
 QUERIES["op8_secrets"] = op8_secrets
 QUERIES["op9_vector_graph"] = op9_vector_graph
 QUERIES["op10_pieces"] = op10_pieces

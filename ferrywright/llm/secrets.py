@@ -22,6 +22,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # A string is random when it has fewer characters per token than this.
 MOST_CHARS_PER_TOKEN = 2.1
 LEAST_LENGTH = 16
+# Fewer letters among digits are dates and numbers with units.
+LEAST_LETTERS = 4
 KINDS = ("assign", "access", "hex", "random")
 
 _ASSIGN = re.compile(
@@ -79,7 +81,7 @@ def random_spans(text: str, path: str = VOCABULARY) -> list[tuple[int, str, int]
     found = []
     for m in _STRING.finditer(text):
         string = m.group()
-        if _is_known(string) or not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
+        if _is_known(string) or not any(c.isdigit() for c in string) or sum(c.isalpha() for c in string) < LEAST_LETTERS:
             continue
         if chars_per_token(string, path) < MOST_CHARS_PER_TOKEN:
             found.append((m.start(), "random", m.end()))
