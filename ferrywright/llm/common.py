@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ def small_batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """`stage`, after which Spark may delete the shuffle files of the jobs before.
+
+    They go when the driver's garbage is collected, which a driver with little to do puts off
+    for long; an operator of many jobs would keep the files of all of them.
+    """
+    out = stage(df, label)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, changed where `df` already has such a column."""
     taken = {c.lower() for c in df.columns}

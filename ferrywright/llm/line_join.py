@@ -22,8 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrywright.llm.common import fresh, numbered, settled, words_of
-from ferrywright.session import stage
+from ferrywright.llm.common import fresh, numbered, settled, staged, words_of
 
 SIMILARITY = 0.8
 # Lines with fewer different words are not compared and stay.
@@ -84,13 +83,13 @@ def _possible(a: str, b: str, t: float) -> Column:
 def _verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, t: float) -> DataFrame:
     """Of pairs (row, line_no, row2, line_no2), the lines (row, line_no) whose pair reaches the threshold."""
     ends = pairs.select("row", "line_no").union(pairs.select("row2", "line_no2")).distinct()
-    ends = stage(ends, "candidate_lines")
+    ends = staged(ends, "candidate_lines")
     small = ends.count() <= MOST_BROADCAST
     per_row = ends.groupBy("row").agg(F.collect_list("line_no").alias("nos"))
     docs = rows.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text"))
     found = docs.join(F.broadcast(per_row) if small else per_row, "row")
     lines = found.select("row", F.explode("nos").alias("line_no"), F.split("text", "\n").alias("all"))
-    words = stage(lines.select("row", "line_no", F.array_distinct(words_of(F.get("all", F.col("line_no")))).alias("words")), "words")
+    words = staged(lines.select("row", "line_no", F.array_distinct(words_of(F.get("all", F.col("line_no")))).alias("words")), "words")
     other = words.select(F.col("row").alias("row2"), F.col("line_no").alias("line_no2"), F.col("words").alias("words2"))
     both = pairs.join(words, ["row", "line_no"]).join(other, ["row2", "line_no2"])
     common = F.size(F.array_intersect("words", "words2"))
@@ -117,15 +116,19 @@ def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIM
     )
     # Equal sets are one line, the first of them; copies are reduced before the shuffle.
     first = sets.withColumn("place", F.row_number().over(W.partitionBy("set").orderBy(*order))).filter("place = 1")
-    first = stage(first.drop("place", "set"), "line_sets")
+    first = staged(first.drop("place", "set"), "line_sets")
     settled_lines = _settled_early(first, rows, row, text, order, t)
-    tokens = first.select(*order, "n", "bits", F.posexplode("prefix").alias("at", "token")).repartition("token")
-    earlier = F.struct(*[F.col(f"o.{c}") for c in order]) < F.struct(*[F.col(f"me.{c}") for c in order])
     small = settled_lines.count() <= MOST_BROADCAST
-    rest = tokens.join(F.broadcast(settled_lines) if small else settled_lines, ["row", "line_no"], "left_anti")
-    pairs = rest.alias("me").join(tokens.alias("o"), F.col("me.token") == F.col("o.token")).filter(earlier & _possible("me", "o", t))
+    early = settled_lines.withColumn("early", F.lit(True))
+    marked = first.join(F.broadcast(early) if small else early, ["row", "line_no"], "left").withColumn("open", F.col("early").isNull())
+    tokens = marked.select(*order, "n", "bits", "open", F.posexplode("prefix").alias("at", "token"))
+    earlier = F.struct(*[F.col(f"o.{c}") for c in order]) < F.struct(*[F.col(f"me.{c}") for c in order])
+    # Said of both sides, so that both read the same shuffle: the words are equal, so it says that `me` is open.
+    is_open = F.col("me.open") | (F.col("o.open") & (F.col("me.token") != F.col("o.token")))
+    same = F.col("me.token") == F.col("o.token")
+    pairs = tokens.alias("me").join(tokens.alias("o"), same & is_open & earlier & _possible("me", "o", t))
     names = [F.col(f"me.{c}") for c in ("row", "line_no")] + [F.col(f"o.{c}").alias(f"{c}2") for c in ("row", "line_no")]
-    gone = settled_lines.union(_verified(stage(pairs.select(*names).distinct(), "pairs"), rows, row, text, t))
+    gone = settled_lines.union(_verified(staged(pairs.select(*names).distinct(), "pairs"), rows, row, text, t))
     return first.select("row", "line_no").join(gone, ["row", "line_no"], "left_anti")
 
 
@@ -138,8 +141,8 @@ def _settled_early(first: DataFrame, rows: DataFrame, row: str, text: str, order
     near = seen.filter("last is not null").select("me", F.explode(F.array("head", "last")).alias("o"))
     near = near.filter(_possible("me", "o", t))
     names = [F.col(f"me.{c}") for c in ("row", "line_no")] + [F.col(f"o.{c}").alias(f"{c}2") for c in ("row", "line_no")]
-    pairs = stage(near.select(*names).distinct(), "near_pairs")
-    return stage(_verified(pairs, rows, row, text, t), "settled_lines")
+    pairs = staged(near.select(*names).distinct(), "near_pairs")
+    return staged(_verified(pairs, rows, row, text, t), "settled_lines")
 
 
 def _reviewed(docs: DataFrame, id_col: str, text: str, t: float) -> tuple[DataFrame, str]:
