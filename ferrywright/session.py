@@ -66,4 +66,20 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the staged copies behind these frames, which nothing may read any more.
+
+    Only what `stage` wrote for exactly these frames goes, through the file system that
+    holds it; frames that were not staged are left alone.
+    """
+    for frame in frames:
+        path = frame.__dict__.pop("staged_at", None)
+        if path:
+            context = frame.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
