@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrywright.llm.common import fresh, numbered, settled, staged, words_of
+from ferrywright.session import discard
 
 SIMILARITY = 0.8
 # Lines with fewer different words are not compared and stay.
@@ -94,7 +95,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, t: float)
     both = pairs.join(words, ["row", "line_no"]).join(other, ["row2", "line_no2"])
     common = F.size(F.array_intersect("words", "words2"))
     alike = common >= F.lit(t) * (F.size("words") + F.size("words2") - common) - 1e-9
-    return both.filter(alike).select("row", "line_no").distinct()
+    out = staged(both.filter(alike).select("row", "line_no").distinct(), "matched_lines")
+    discard(ends, words)
+    return out
 
 
 def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIMILARITY) -> DataFrame:
@@ -128,8 +131,11 @@ def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIM
     same = F.col("me.token") == F.col("o.token")
     pairs = tokens.alias("me").join(tokens.alias("o"), same & is_open & earlier & _possible("me", "o", t))
     names = [F.col(f"me.{c}") for c in ("row", "line_no")] + [F.col(f"o.{c}").alias(f"{c}2") for c in ("row", "line_no")]
-    gone = settled_lines.union(_verified(staged(pairs.select(*names).distinct(), "pairs"), rows, row, text, t))
-    return first.select("row", "line_no").join(gone, ["row", "line_no"], "left_anti")
+    pairs = staged(pairs.select(*names).distinct(), "pairs")
+    later = _verified(pairs, rows, row, text, t)
+    kept = staged(first.select("row", "line_no").join(settled_lines.union(later), ["row", "line_no"], "left_anti"), "kept_lines")
+    discard(first, settled_lines, pairs, later)
+    return kept
 
 
 def _settled_early(first: DataFrame, rows: DataFrame, row: str, text: str, order: list[str], t: float) -> DataFrame:
@@ -142,7 +148,9 @@ def _settled_early(first: DataFrame, rows: DataFrame, row: str, text: str, order
     near = near.filter(_possible("me", "o", t))
     names = [F.col(f"me.{c}") for c in ("row", "line_no")] + [F.col(f"o.{c}").alias(f"{c}2") for c in ("row", "line_no")]
     pairs = staged(near.select(*names).distinct(), "near_pairs")
-    return staged(_verified(pairs, rows, row, text, t), "settled_lines")
+    out = _verified(pairs, rows, row, text, t)
+    discard(pairs)
+    return out
 
 
 def _reviewed(docs: DataFrame, id_col: str, text: str, t: float) -> tuple[DataFrame, str]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrywright.llm.common import fresh, small_batches
-from ferrywright.session import stage
+from ferrywright.session import discard, stage
 
 # Most labelled texts that are learned from: the bound of the training sample.
 SAMPLE = 20_000
@@ -88,21 +88,24 @@ def learn(sample: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, np.n
     """(codes, weights, intercept) of the classifier; without both classes no codes and an even score."""
     small_batches(sample)
 
-    def code_rows(batches):
-        for batch in batches:
-            codes = [ngram_codes(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(codes, pa.list_(pa.int32())), batch.column("y")], ["codes", "y"]
-            )
-
     # Bounded, and often read from few files.
-    coded = stage(sample.repartition(24).mapInArrow(code_rows, "codes array<int>, y int"), "codes")
-    sizes = coded.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
+    texts = stage(sample.repartition(24), "labelled_texts")
+    sizes = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
+    nothing = np.array([], np.int64), np.array([]), 0.0
     if not 0 < sizes.toxic < sizes.n:
-        return np.array([], np.int64), np.array([]), 0.0
-    counts = coded.select("y", F.explode("codes").alias("code")).groupBy("code").agg(
-        F.sum("y").alias("toxic"), F.count("*").alias("n")
-    )
+        return nothing
+
+    def count(batches):
+        totals = np.zeros((2, CODES), np.int64)
+        for batch in batches:
+            for text, y in zip(batch.column("text"), batch.column("y")):
+                totals[y.as_py(), ngram_codes(text.as_py())] += 1
+        codes = np.flatnonzero(totals.any(axis=0))
+        columns = [codes.astype(np.int32), totals[1, codes], totals.sum(axis=0)[codes]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["code", "toxic", "n"])
+
+    counts = texts.mapInArrow(count, "code int, toxic long, n long").groupBy("code")
+    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     toxic_share = (F.col("toxic") + 1) / F.lit(sizes.toxic + 2)
     other_share = (F.col("n") - F.col("toxic") + 1) / F.lit(sizes.n - sizes.toxic + 2)
     ratio = F.log(toxic_share / other_share)
@@ -113,21 +116,25 @@ def learn(sample: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, np.n
     chosen = counts.filter(F.col("n") >= _LEAST_TEXTS).select("code", ratio.alias("r"), surety.alias("s"))
     top = sorted((row.code, row.r) for row in chosen.orderBy(F.desc("s"), "code").limit(features).collect())
     if not top:
-        return np.array([], np.int64), np.array([]), 0.0
-    names = [str(code) for code, _ in top]
-    session = sample.sparkSession
+        return nothing
+    known = np.array([code for code, _ in top])
+    names = [str(code) for code in known]
+
+    def name(batches):
+        for batch in batches:
+            codes = [np.intersect1d(ngram_codes(t.as_py()), known).astype(str).tolist() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(codes, pa.list_(pa.string())), batch.column("y").cast(pa.float64())], ["names", "label"]
+            )
+
+    rows = texts.mapInArrow(name, "names array<string>, label double")
     counted = CountVectorizerModel.from_vocabulary(names, inputCol="names", outputCol="seen").setBinary(True)
-    known = session.createDataFrame([(code,) for code, _ in top], "code int")
-    kept = coded.withColumn("row", F.monotonically_increasing_id())
-    words = kept.select("row", F.explode("codes").alias("code")).join(F.broadcast(known), "code")
-    words = words.groupBy("row").agg(F.collect_list(F.col("code").cast("string")).alias("names"))
-    rows = kept.select("row", F.col("y").cast("double").alias("label")).join(words, "row", "left")
-    rows = rows.withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     scale = ElementwiseProduct(scalingVec=Vectors.dense([r for _, r in top]), inputCol="seen", outputCol="features")
     ready = stage(scale.transform(counted.transform(rows)).select("label", "features"), "features")
     model = LogisticRegression(regParam=0.001, standardization=False, maxIter=40).fit(ready.coalesce(6))
+    discard(texts, ready)
     weights = model.coefficients.toArray() * np.array([r for _, r in top])
-    return np.array([code for code, _ in top], np.int64), weights, float(model.intercept)
+    return known.astype(np.int64), weights, float(model.intercept)
 
 
 def with_scores(docs: DataFrame, model, text: str = "text", name: str = "score") -> DataFrame:
