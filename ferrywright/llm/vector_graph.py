@@ -75,7 +75,9 @@ def shards_of(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
         place = F.row_number().over(W.partitionBy("shard").orderBy(F.xxhash64("node"), "node"))
         pivots = large.withColumn("p", place).filter(F.col("p") <= PIVOTS).filter(F.col("p") <= k)
         spread = F.ceil(F.col("n") / F.lit(DEALT)).cast("int")
-        pivots = pivots.select("shard", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), "p", "v")
+        pivots = pivots.select(
+            F.col("shard").alias("shard"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), "p", F.col("v").alias("v")
+        )
         dealt = large.select("shard", F.pmod(F.xxhash64("node", F.lit("salt")), spread).cast("int").alias("salt"), "node", "v")
 
         def deal(rows: pa.Table, pivots: pa.Table) -> pa.Table:
