@@ -39,7 +39,9 @@ def typed_literal(c: Column, dtype: T.DataType, dialect: str = "postgres") -> Co
     if isinstance(dtype, T.DateType):
         text = F.date_format(c, "yyyy-MM-dd")
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        text = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        whole = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        fraction = F.date_format(c, ".SSSSSS")
+        text = F.when(fraction == ".000000", whole).otherwise(F.concat(whole, fraction))
     else:
         text = V.value_text(c, dtype)
     return F.when(c.isNull(), null).otherwise(_quoted(text, dialect))

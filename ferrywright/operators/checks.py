@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrywright.dialects import column_type
+from ferrywright.functions import values as V
 from ferrywright.functions.predicates import all_present, conjunction, disjunction
 from ferrywright.operators.conform import conform_value
 from ferrywright.operators.keyed import HOT_ROWS, attach_facts
@@ -68,7 +69,9 @@ def outside_domain(c: Column, domain: Iterable[str]) -> Column:
 # --- checks on one row ----------------------------------------------------------------
 
 
-def _column_tests(c: ColumnSpec, logical: LogicalType, value: Column, typed: Column) -> list[tuple[Column, Column]]:
+def _column_tests(
+    c: ColumnSpec, logical: LogicalType, value: Column, typed: Column, required: bool
+) -> list[tuple[Column, Column]]:
     """(condition, reason) for every declared property of one column.
 
     `value` is the text as it came, `typed` what it became; only values that did not
@@ -77,10 +80,12 @@ def _column_tests(c: ColumnSpec, logical: LogicalType, value: Column, typed: Col
     tests = []
     dtype = spark_type(logical)
     failed = value.isNotNull() & typed.isNull()
-    if not c.nullable:
+    if required:
         tests.append((not_null_violation(value), reason("NOT_NULL", c.name, value)))
     if isinstance(dtype, T.BinaryType):
         tests.append((failed, reason("BAD_HEX", c.name, value)))
+        if c.length > 0:
+            tests.append((F.octet_length(typed) > c.length, reason("LENGTH", c.name, value)))
     elif isinstance(dtype, T.NumericType):
         too_large = _too_large(value, typed, dtype, logical)
         tests.append((too_large, reason("PRECISION", c.name, value)))
@@ -120,20 +125,29 @@ def collect_reasons(tests: Sequence[tuple[Column, Column]]) -> Column:
 
 
 def check_rows(df: DataFrame, table: TableSpec, extra: Sequence[str] = ()) -> DataFrame:
-    """Typed columns plus `reasons`; text in, no shuffle.
+    """Typed columns plus `reasons`; no shuffle. A column of the primary key is required.
+
+    Text is parsed, and columns that have a type already are cast to the declared one.
 
     Values are cast in a first projection and tested in a second, so no cast is repeated
     by the tests. The optimizer keeps the two apart because the casts are used twice.
     """
     columns = table.ordered()
     logical = [column_type(table, c) for c in columns]
-    typed = [conform_value(F.col(c.name), lt).alias(f"_typed{i}") for i, (c, lt) in enumerate(zip(columns, logical))]
+    kinds = {f.name.lower(): f.dataType for f in df.schema.fields}
+    given = [kinds.get(c.name.lower(), T.StringType()) for c in columns]
+    typed = [
+        (conform_value(F.col(c.name), lt) if isinstance(dt, T.StringType) else F.col(c.name).try_cast(spark_type(lt))).alias(f"_typed{i}")
+        for i, (c, lt, dt) in enumerate(zip(columns, logical, given))
+    ]
+    keyed = {k.lower() for k in table.primary_key}
     shaped = F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None).cast("string")
     both = df.select(*[F.col(c.name) for c in columns], *typed, shaped.alias("_shape"), *extra)
 
     tests = []
     for i, (c, lt) in enumerate(zip(columns, logical)):
-        tests += _column_tests(c, lt, F.col(c.name), F.col(f"_typed{i}"))
+        value = F.col(c.name) if isinstance(given[i], T.StringType) else V.value_text(F.col(c.name), given[i])
+        tests += _column_tests(c, lt, value, F.col(f"_typed{i}"), not c.nullable or c.name.lower() in keyed)
     # A misshapen row has no values to test.
     misshapen = F.array(reason("CSV_SHAPE", "", F.col("_shape"))).cast(REASON_TYPE)
     reasons = F.when(F.col("_shape").isNotNull(), misshapen).otherwise(collect_reasons(tests)).alias(REASONS)

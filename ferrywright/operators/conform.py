@@ -44,8 +44,11 @@ def target_value(c: Column, logical: LogicalType, target: str) -> Column:
 
 
 def target_overflow(c: Column, logical: LogicalType, target: str) -> Column:
-    """Whether a value exists but the target's type cannot hold it."""
-    return c.isNotNull() & target_value(c, logical, target).isNull() & ~_becomes_null(c, logical, target)
+    """Whether a value exists but the target's type cannot hold it, or not without losing its fraction."""
+    lost = target_value(c, logical, target).isNull() & ~_becomes_null(c, logical, target)
+    if family(target) in ("sqlite3", "duckdb") and logical.base == "NUMERIC" and logical.scale <= 0:
+        lost = lost | (c != F.floor(c))
+    return c.isNotNull() & lost
 
 
 def _becomes_null(c: Column, logical: LogicalType, target: str) -> Column:

@@ -121,16 +121,24 @@ def exhausted(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def fill_identity(df: DataFrame, column: str, keys: Sequence[str], increment: int = 1) -> DataFrame:
-    """BY DEFAULT identity: supplied values stay, missing ones continue after the largest.
+def fill_identity(
+    df: DataFrame, column: str, keys: Sequence[str], increment: int = 1, start: int | None = None
+) -> DataFrame:
+    """BY DEFAULT identity: supplied values stay, missing ones continue after the last.
+
+    The last is the largest value, or the smallest if the increment is negative. Without
+    one, or with one before it, the first is `start`, by default one increment from zero.
 
     Only the rows without a value are ordered and numbered; the others pass through.
     """
     supplied = df.filter(F.col(column).isNotNull())
     missing = number_rows(df.filter(F.col(column).isNull()), keys, "_missing_number")
-    largest = df.agg(F.coalesce(F.max(column), F.lit(0)).cast("long")).scalar()
+    first = increment if start is None else start
+    pick, further = (F.max, F.greatest) if increment > 0 else (F.min, F.least)
+    before = F.lit(first - increment).cast("long")
+    last = df.agg(further(F.coalesce(pick(column).cast("long"), before), before)).scalar()
     dtype = df.schema[column].dataType
-    generated = (largest + F.lit(increment) * F.col("_missing_number")).cast(dtype)
+    generated = (last + F.lit(increment) * F.col("_missing_number")).cast(dtype)
     filled = missing.withColumn(column, generated).drop("_missing_number")
     return supplied.unionByName(filled.select(*df.columns))
 

@@ -21,7 +21,7 @@ from ferrywright.spec import ColumnSpec, TableSpec, spark_type
 class Transforms:
     """Value steps of an import, applied in this order to every text column."""
 
-    null_marker: str = V.NULL_MARKER
+    null_marker: str | None = V.NULL_MARKER
     null_if: tuple[str, ...] = ()
     null_words: tuple[str, ...] = ()
     null_words_case_sensitive: bool = True
@@ -38,7 +38,7 @@ class Transforms:
         logical = column_type(table, column)
         dtype = spark_type(logical)
         # The marker is compared with the value as it came.
-        out = V.marker_to_null(c, self.null_marker)
+        out = c if self.null_marker is None else V.marker_to_null(c, self.null_marker)
         if isinstance(dtype, T.BinaryType):
             # Hex is decoded from the value as it came, too.
             return out
@@ -90,11 +90,12 @@ class LoadResult:
 
 
 def transform(df: DataFrame, table: TableSpec, steps: Transforms) -> DataFrame:
-    """Text in, text out: the value steps on every declared column, other columns kept."""
+    """Text in, text out: the value steps on every declared column of text, other columns kept."""
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     declared = {c.name.lower(): c for c in table.columns}
     return df.select(
         *[
-            steps.apply(F.col(n), declared[n.lower()], table).alias(n) if n.lower() in declared else F.col(n)
+            steps.apply(F.col(n), declared[n.lower()], table).alias(n) if n.lower() in declared and n in texts else F.col(n)
             for n in df.columns
         ]
     )
@@ -107,6 +108,7 @@ def check_table(
     parents: Mapping[str, DataFrame] | None = None,
     order: Sequence[str] = (),
     existing: DataFrame | None = None,
+    check_parents: bool = True,
 ) -> DataFrame:
     """Typed columns, `order` columns, `reasons` and `_place` for every landing row.
 
@@ -114,7 +116,8 @@ def check_table(
     rows, like every reader of the result, come back for the columns they need. `_place`
     is stored with them and tells even exact copies apart; `order` says how the rows
     arrived, without it they count as arriving in that place. `existing` are the rows an
-    append will meet in the target.
+    append will meet in the target. A foreign key needs its parent rows, unless
+    `check_parents` says that it is not to be checked.
     """
     extra = [c for c in order if c.lower() not in {x.name.lower() for x in table.columns}]
     rows = checks.check_rows(transform(text, table, steps), table, extra)
@@ -123,6 +126,8 @@ def check_table(
         parent = (parents or {}).get(fk.ref_table)
         if parent is None and fk.ref_table.lower() in (table.name.lower(), table.full_name.lower()):
             parent = rows.select(*fk.ref_columns)
+        if parent is None and check_parents:
+            raise ValueError(f"{table.full_name} refers to {fk.ref_table}, whose rows are not given")
         if parent is not None:
             rows = checks.mark_orphans(rows, parent, fk, spread_by=[PLACE])
     if table.primary_key:
@@ -130,6 +135,8 @@ def check_table(
             rows = checks.mark_existing(rows, existing, table.primary_key, spread_by=[PLACE])
         rows = checks.mark_duplicates(rows, table.primary_key, [*order, PLACE])
     for unique in table.unique_keys:
+        if existing is not None and {u.lower() for u in unique} <= {c.lower() for c in existing.columns}:
+            rows = checks.mark_existing(rows, existing, unique, spread_by=[PLACE], code="DUP_UNIQUE")
         rows = checks.mark_duplicates(rows, unique, [*order, PLACE], code="DUP_UNIQUE")
     return rows
 
@@ -142,9 +149,10 @@ def load_table(
     parents: Mapping[str, DataFrame] | None = None,
     order: Sequence[str] = (),
     existing: DataFrame | None = None,
+    check_parents: bool = True,
 ) -> LoadResult:
     """Split landing rows into accepted rows and rejects under an error policy."""
-    checked = check_table(text, table, steps, parents, order, existing)
+    checked = check_table(text, table, steps, parents, order, existing, check_parents)
     # Compared as a tuple, so a row without a key has its place as well.
     place = [*(order or table.primary_key), PLACE]
     end = load_end(checked, policy, place)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from ferrywright.operators.policy import ErrorPolicy
 from ferrywright.operators.report import union_all
 from ferrywright.plans.load import Transforms, load_table
 from ferrywright.session import stage
-from ferrywright.sinks.files import as_text
 from ferrywright.sources.landing import CsvLayout, read_table
 from ferrywright.spec import TableSpec
 
@@ -32,7 +32,10 @@ def migrate_tables(
     """
     parents: dict[str, DataFrame] = {}
     counts = []
-    for table in tables:
+    if getattr(read, "typed", False):
+        # Values that never were text have no marker for NULL.
+        steps = replace(steps, null_marker=None)
+    for table in by_reference(tables):
         result = load_table(read(table), table, steps, policy, parents)
         write(result.accepted, table)
         write_rejects(result.rejects, table)
@@ -41,6 +44,22 @@ def migrate_tables(
     return union_all(counts)
 
 
+def by_reference(tables: Iterable[TableSpec]) -> list[TableSpec]:
+    """The tables, each after those it refers to; a circle of references is an error."""
+    waiting, out = list(tables), []
+    while waiting:
+        left = {t.full_name.lower() for t in waiting}
+        ready = [
+            t for t in waiting
+            if not any(fk.ref_table.lower() in left - {t.full_name.lower()} for fk in t.foreign_keys)
+        ]
+        if not ready:
+            raise ValueError(f"tables refer to each other in a circle: {sorted(left)}")
+        out += ready
+        waiting = [t for t in waiting if t not in ready]
+    return out
+
+
 def from_landing(spark: SparkSession, folder: str, layout: CsvLayout = CsvLayout()) -> Callable[[TableSpec], DataFrame]:
     """Reader of `{schema}.{table}.csv` below a folder."""
 
@@ -48,10 +67,10 @@ def from_landing(spark: SparkSession, folder: str, layout: CsvLayout = CsvLayout
 
 
 def from_tables(scan: Callable[[TableSpec], DataFrame]) -> Callable[[TableSpec], DataFrame]:
-    """Reader of typed tables, handed on as text without a file in between."""
+    """Reader of typed tables: their values stay as they are, no text lies in between."""
 
     def read(table: TableSpec) -> DataFrame:
-        text = as_text(scan(table).select(*[F.col(c.name) for c in table.ordered()]))
-        return text.toDF(*[c.name for c in table.ordered()])
+        return scan(table).select(*[F.col(c.name).alias(c.name) for c in table.ordered()])
 
+    read.typed = True
     return read
