@@ -4,8 +4,8 @@ Lines are sets of words. Two match when the Jaccard similarity of their sets rea
 threshold. The words of a line are ordered by rarity, so that matching lines must share
 one of the first, rare words of both. Lines with equal sets are one line to the join.
 What shares such a word is tested by the sizes, by the places of the word and by a
-parity bitmap of the sets, which bounds their difference; what passes is verified on the
-words themselves.
+parity bitmap of the sets, which bounds their difference; what passes is verified on
+the whole sets, whose words are 64-bit hashes.
 
 In a group of many similar lines almost all are close to the first one that has the same
 rare word. Such pairs of a line and the first or the previous one are tried before any
@@ -90,7 +90,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, t: float)
     docs = rows.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text"))
     found = docs.join(F.broadcast(per_row) if small else per_row, "row")
     lines = found.select("row", F.explode("nos").alias("line_no"), F.split("text", "\n").alias("all"))
-    words = staged(lines.select("row", "line_no", F.array_distinct(words_of(F.get("all", F.col("line_no")))).alias("words")), "words")
+    # Pairs carry numbers of eight bytes, not the words.
+    hashed = F.transform(F.array_distinct(words_of(F.get("all", F.col("line_no")))), lambda w: F.xxhash64(w))
+    words = staged(lines.select("row", "line_no", hashed.alias("words")), "words")
     other = words.select(F.col("row").alias("row2"), F.col("line_no").alias("line_no2"), F.col("words").alias("words2"))
     both = pairs.join(words, ["row", "line_no"]).join(other, ["row2", "line_no2"])
     common = F.size(F.array_intersect("words", "words2"))
