@@ -144,6 +144,12 @@ def test_line_frequency_of_odd_rows(odd, empty):
     assert line_frequency.line_frequency(empty).count() == 0
 
 
+def test_measures_replace_columns_of_their_names(odd):
+    renamed = odd.withColumnsRenamed({"extra": "n_words", "fp": "kept"})
+    rows = {r.doc_id: r for r in line_frequency.line_frequency(renamed).collect()}
+    assert rows[6].n_words == 30_000 and rows[6].kept is True and rows[3].kept is False
+
+
 def test_frequent_lines_are_removed(spark):
     body = [(i, f"shared line number {i}\nown words of document {chr(97 + i % 26)}{i} only", "h") for i in range(25)]
     df = spark.createDataFrame(body, "doc_id long, text string, source string")
