@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrywright.llm.common import fresh, numbered, settled, staged, words_of
+from ferrywright.llm.common import SPACES, fresh, numbered, settled, staged, words_of
 from ferrywright.session import discard
 
 SIMILARITY = 0.8
@@ -37,30 +37,42 @@ MOST_BROADCAST = 500_000
 
 
 def document_lines(rows: DataFrame, row: str, id_col: str, text: str) -> DataFrame:
-    """Columns id, row, line_no and words, the different words of each line that is compared."""
+    """Columns id, row, line_no and codes, those of the different words of each line that is compared."""
     lines = rows.select(
         F.col(id_col).alias("id"), F.col(row).alias("row"), F.posexplode(F.split(F.col(text).cast("string"), "\n"))
     )
-    lines = lines.withColumn("words", F.array_distinct(words_of(F.col("col"))))
-    return lines.filter(F.size("words") >= LEAST_WORDS).select("id", "row", F.col("pos").alias("line_no"), "words")
+    lines = lines.withColumn("codes", line_codes(F.col("col")))
+    return lines.filter(F.size("codes") >= LEAST_WORDS).select("id", "row", F.col("pos").alias("line_no"), "codes")
 
 
-def word_classes(lines: DataFrame) -> Column:
-    """An array with the class of rarity of each counter, as a literal of fixed size."""
-    words = lines.select(F.explode("words").alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).cast("int").alias("c")).agg(F.count("*").alias("n"))
+def _code(word: Column) -> Column:
+    """A word's hash of 48 bits, below a byte that is smaller for longer words."""
+    shortness = F.lit(255) - F.least(F.octet_length(word), F.lit(255))
+    return F.shiftleft(shortness.cast("long"), 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 16))
+
+
+def _counter(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(COUNTERS - 1).cast("long")).cast("int")
+
+
+def line_codes(line: Column) -> Column:
+    """The codes of the different words of a line; numbers are compared faster than words."""
+    return F.array_distinct(F.transform(words_of(line), _code))
+
+
+def word_classes(rows: DataFrame, text: str) -> Column:
+    """An array with the class of rarity of each counter of all words, as a literal of fixed size."""
+    words = rows.select(F.explode(F.split(F.col(text).cast("string"), SPACES)).alias("w")).filter("w <> ''")
+    counts = words.groupBy(_counter(_code(F.col("w"))).alias("c")).agg(F.count("*").alias("n"))
     known = dict(counts.collect())  # at most COUNTERS rows, whatever the input
     usual = sorted(known.values())[len(known) // 2] if known else 1
     classes = (max(0, math.ceil(math.log2(known.get(c, 1) / (2 * usual)))) for c in range(COUNTERS))
     return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
 
 
-def _key(word: Column, classes: Column) -> Column:
+def _key(code: Column, classes: Column) -> Column:
     """A word's number; smaller numbers are rarer words."""
-    h = F.xxhash64(word)
-    rarity = F.get(classes, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long")
-    shortness = F.lit(255) - F.least(F.octet_length(word), F.lit(255))
-    return F.shiftleft(rarity, 56).bitwiseOR(F.shiftleft(shortness.cast("long"), 48)).bitwiseOR(F.shiftrightunsigned(h, 16))
+    return F.shiftleft(F.get(classes, _counter(code)).cast("long"), 56).bitwiseOR(code)
 
 
 def _prefix_size(n: Column, t: float) -> Column:
@@ -91,7 +103,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, t: float)
     found = docs.join(F.broadcast(per_row) if small else per_row, "row")
     lines = found.select("row", F.explode("nos").alias("line_no"), F.split("text", "\n").alias("all"))
     # Pairs carry numbers of eight bytes, not the words.
-    hashed = F.transform(F.array_distinct(words_of(F.get("all", F.col("line_no")))), lambda w: F.xxhash64(w))
+    hashed = F.array_distinct(F.transform(words_of(F.get("all", F.col("line_no"))), lambda w: F.xxhash64(w)))
     words = staged(lines.select("row", "line_no", hashed.alias("words")), "words")
     other = words.select(F.col("row").alias("row2"), F.col("line_no").alias("line_no2"), F.col("words").alias("words2"))
     both = pairs.join(words, ["row", "line_no"]).join(other, ["row2", "line_no2"])
@@ -108,8 +120,8 @@ def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIM
     Lines are ordered by id, then by row, then by their place; where `row` is the id, it is the whole order.
     """
     lines = document_lines(rows, row, id_col, text)
-    classes = word_classes(lines)
-    sized = lines.withColumn("keys", F.sort_array(F.transform("words", lambda w: _key(w, classes)))).withColumn("n", F.size("keys"))
+    classes = word_classes(rows, text)
+    sized = lines.withColumn("keys", F.sort_array(F.transform("codes", lambda c: _key(c, classes)))).withColumn("n", F.size("keys"))
     one, low = F.lit(1).cast("long"), F.lit(63).cast("long")
     flips = lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(low).cast("int")))
     order = ["row", "line_no"] if row == id_col else ["id", "row", "line_no"]
@@ -173,7 +185,7 @@ def _reviewed(docs: DataFrame, id_col: str, text: str, t: float) -> tuple[DataFr
 def _removed(text: Column, kept: Column) -> Column:
     """The numbers of removed lines of a text, in order."""
     compared = F.transform(
-        F.split(text, "\n"), lambda line, i: F.when(F.size(F.array_distinct(words_of(line))) >= LEAST_WORDS, i)
+        F.split(text, "\n"), lambda line, i: F.when(F.size(line_codes(line)) >= LEAST_WORDS, i)
     )
     numbers = F.filter(compared, lambda i: i.isNotNull())
     return F.coalesce(F.array_except(numbers, F.coalesce(kept, F.array().cast("array<int>"))), F.array().cast("array<int>"))
