@@ -30,8 +30,6 @@ SIMILARITY = 0.8
 LEAST_WORDS = 5
 # Counters of words; a word's rarity is that of its counter, the order of rare words is refined by their length.
 COUNTERS = 1 << 16
-# Words of a line by which it is first compared with the first and the previous line that has them.
-EARLY_WORDS = 4
 # Broadcast no more lines than this when candidates are looked up.
 MOST_BROADCAST = 500_000
 
@@ -153,8 +151,11 @@ def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIM
 
 
 def _settled_early(first: DataFrame, rows: DataFrame, row: str, text: str, order: list[str], t: float) -> DataFrame:
-    """Columns (row, line_no) of lines that match the first or the previous line with one of their rarest words."""
-    tokens = first.select(*order, "n", "bits", F.posexplode(F.slice("prefix", 1, EARLY_WORDS)).alias("at", "token"))
+    """Columns (row, line_no) of lines that match the first or the previous line with one of their prefix words.
+
+    Copies with words of their own share only later words of the prefix, so all of it is tried.
+    """
+    tokens = first.select(*order, "n", "bits", F.posexplode("prefix").alias("at", "token"))
     by_token = W.partitionBy("token").orderBy(*order)
     me = F.struct(*order, "n", "bits", "at")
     seen = tokens.select(me.alias("me"), F.first(me).over(by_token).alias("head"), F.lag(me).over(by_token).alias("last"))
