@@ -257,6 +257,14 @@ def mark_orphans(
     return _append(marked, F.col("_orphan").isNotNull(), reason(code, ",".join(fk.columns), value)).drop("_orphan")
 
 
+def mark_places(checked: DataFrame, places: DataFrame, place: str, fk: ForeignKey, code: str = "FK_ORPHAN") -> DataFrame:
+    """Add the reason of a missing parent to the rows in these places, each named once."""
+    marked = checked.join(places.withColumn("_orphan", F.lit(True)), place, "left")
+    value = F.concat_ws("|", *[F.col(k).cast("string") for k in fk.columns])
+    marked = _append(marked, F.col("_orphan").isNotNull(), reason(code, ",".join(fk.columns), value))
+    return marked.select(*checked.columns)
+
+
 def apply_delete_rule(child: DataFrame, parent: DataFrame, fk: ForeignKey, hot_rows: int = HOT_ROWS) -> DataFrame:
     """What remains of child rows whose parent is gone: SET NULL clears the key, CASCADE drops the row."""
     orphans = orphan_keys(child, parent, fk)

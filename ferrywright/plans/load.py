@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 from ferrywright.dialects import column_type, takes_numeric_booleans
 from ferrywright.functions import values as V
+from ferrywright.functions.predicates import all_present, conjunction
 from ferrywright.operators import checks
 from ferrywright.operators.policy import ErrorPolicy, counts_until, load_end, rows_met
+from ferrywright.operators.report import union_all
 from ferrywright.session import stage
-from ferrywright.spec import ColumnSpec, TableSpec, spark_type
+from ferrywright.spec import ColumnSpec, ForeignKey, TableSpec, spark_type
 
 
 @dataclass(frozen=True)
@@ -116,16 +118,19 @@ def check_table(
     rows, like every reader of the result, come back for the columns they need. `_place`
     is stored with them and tells even exact copies apart; `order` says how the rows
     arrived, without it they count as arriving in that place. `existing` are the rows an
-    append will meet in the target. A foreign key needs its parent rows, unless
+    append will meet in the target. A row below a refused row of the same table is refused as well. A foreign key needs its parent rows, unless
     `check_parents` says that it is not to be checked.
     """
     extra = [c for c in order if c.lower() not in {x.name.lower() for x in table.columns}]
     rows = checks.check_rows(transform(text, table, steps), table, extra)
     rows = stage(rows.withColumn(PLACE, F.monotonically_increasing_id()), "checked")
+    to_itself = []
     for fk in table.foreign_keys:
         parent = (parents or {}).get(fk.ref_table)
         if parent is None and fk.ref_table.lower() in (table.name.lower(), table.full_name.lower()):
-            parent = rows.select(*fk.ref_columns)
+            held = None if existing is None else existing.select(*fk.ref_columns)
+            to_itself.append((fk, held))
+            parent = rows.select(*fk.ref_columns) if held is None else rows.select(*fk.ref_columns).union(held)
         if parent is None and check_parents:
             raise ValueError(f"{table.full_name} refers to {fk.ref_table}, whose rows are not given")
         if parent is not None:
@@ -138,9 +143,37 @@ def check_table(
         if existing is not None and {u.lower() for u in unique} <= {c.lower() for c in existing.columns}:
             rows = checks.mark_existing(rows, existing, unique, spread_by=[PLACE], code="DUP_UNIQUE")
         rows = checks.mark_duplicates(rows, unique, [*order, PLACE], code="DUP_UNIQUE")
+    for fk, held in to_itself:
+        rows = _mark_below_refused(rows, fk, held)
     return rows
 
 
+def _mark_below_refused(rows: DataFrame, fk: ForeignKey, held: DataFrame | None) -> DataFrame:
+    """Refuse rows that refer to refused rows of their own table, and those that refer to these.
+
+    A round per step of the longest chain that is refused, over keys only.
+    """
+    rows = stage(rows, "marked")
+    child, ref = [f"_c{i}" for i in range(len(fk.columns))], [f"_r{i}" for i in range(len(fk.columns))]
+    clean = rows.filter(F.size(checks.REASONS) == 0)
+    left = clean.select(
+        PLACE, *[F.col(c).alias(a) for c, a in zip(fk.columns, child)], *[F.col(c).alias(a) for c, a in zip(fk.ref_columns, ref)]
+    )
+    left, refused = stage(left, "references"), []
+    while True:
+        keys = left.select(*ref) if held is None else left.select(*ref).union(held)
+        on = conjunction([F.col(c) == F.col(r) for c, r in zip(child, ref)])
+        below = left.filter(all_present(child)).drop(*ref).join(keys, on, "left_anti")
+        below = stage(below.select(PLACE), "below_refused")
+        if below.isEmpty():
+            break
+        refused.append(below)
+        left = stage(left.join(below, PLACE, "left_anti"), "references")
+    if not refused:
+        return rows
+    return checks.mark_places(rows, union_all(refused), PLACE, fk)
+
+
 def load_table(
     text: DataFrame,
     table: TableSpec,

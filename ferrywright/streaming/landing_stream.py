@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ferrywright.functions import values as V
 from ferrywright.operators import checks
-from ferrywright.plans.load import Transforms, transform
+from ferrywright.plans.load import Transforms, check_table
+from ferrywright.session import discard, stage
 from ferrywright.sources.landing import CORRUPT, CsvLayout
 from ferrywright.spec import TableSpec
 
@@ -44,29 +45,42 @@ def ingest_new_files(
     layout: CsvLayout = CsvLayout(),
     max_files: int | None = None,
     key: tuple[str, ...] = (),
+    parents: Mapping[str, DataFrame] | None = None,
+    check_parents: bool = True,
 ) -> None:
     """Load the files that arrived since the last call, then return.
 
     The checkpoint remembers which files were taken. A batch writes its own
     `batch_id=...` partition and replaces it when it is repeated after a failure, so a
-    row arrives once even if the job dies between writing and committing.
+    row arrives once even if the job dies between writing and committing. Keys and
+    references are checked within the batch and against what other batches have written.
+    A new checkpoint would count batches from zero again, so it needs an empty target.
     """
+    if not _holds(spark, f"{checkpoint.rstrip('/')}/metadata") and _holds(spark, f"{target.rstrip('/')}/{BATCH}=*"):
+        raise ValueError(f"{target} holds rows of an earlier checkpoint; go on with that one or take an empty target")
     names = [c.name for c in table.ordered()]
     row_key = key or table.primary_key or tuple(names)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        checked = checks.check_rows(transform(batch, table, steps), table)
-        # Both outputs come from one parse of the new files.
-        checked.persist()
-        try:
-            _replace_batch(checks.accepted(checked).select(*names), target, batch_id)
-            _replace_batch(checks.rejects(checked, row_key, table), rejects, batch_id)
-        finally:
-            checked.unpersist()
+        held = None
+        if _holds(spark, f"{target.rstrip('/')}/{BATCH}=*"):
+            held = spark.read.parquet(target).filter(F.col(BATCH) != batch_id).drop(BATCH)
+        # Staged, so both outputs come from one parse of the new files.
+        checked = stage(check_table(batch, table, steps, parents, existing=held, check_parents=check_parents), "ingest")
+        _replace_batch(checks.accepted(checked).select(*names), target, batch_id)
+        _replace_batch(checks.rejects(checked, row_key, table), rejects, batch_id)
+        discard(checked)
 
     _run(stream_landing(spark, path, names, layout, max_files), load, checkpoint)
 
 
+def _holds(spark: SparkSession, pattern: str) -> bool:
+    """Whether something lies under the path, through the file system that holds it."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(place.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(place))
+
+
 def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{BATCH}={batch_id}")
 

@@ -341,13 +341,11 @@ ORDERS = TableSpec(
 )
 
 
-def ingest_two_drops(t: Tables) -> tuple[str, str]:
-    """Two drops with a run after each and one run with nothing new; target and rejects."""
+def ingest_drops(t: Tables, drops: list[DataFrame]) -> tuple[str, str]:
+    """A run after each drop and one run with nothing new; target and rejects."""
     root = scratch_path(t.spark, "ingest")
     source, target, rejects = f"{root}/tpch.orders.csv", f"{root}/orders", f"{root}/rejects"
-    rows = t.orders.select(*[c.name for c in ORDERS.ordered()])
-    final = F.col("o_orderstatus") == "F"
-    for drop in (rows.filter(final), rows.filter(~final), None):
+    for drop in [*drops, None]:
         if drop is not None:
             write_csv(drop, source, mode="append")
         steps = Transforms(datetime_format=V.COMPACT_DATETIME)
@@ -355,6 +353,12 @@ def ingest_two_drops(t: Tables) -> tuple[str, str]:
     return target, rejects
 
 
+def ingest_two_drops(t: Tables) -> tuple[str, str]:
+    rows = t.orders.select(*[c.name for c in ORDERS.ordered()])
+    final = F.col("o_orderstatus") == "F"
+    return ingest_drops(t, [rows.filter(final), rows.filter(~final)])
+
+
 @query(
     "incremental_landing",
     """SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders
@@ -371,3 +375,19 @@ def incremental_landing(t: Tables) -> DataFrame:
 )
 def incremental_rejects(t: Tables) -> DataFrame:
     return read_ingested(t.spark, ingest_two_drops(t)[1]).select("row_key", "reason", "value")
+
+
+@query(
+    "incremental_duplicates",
+    """WITH o AS (SELECT o_orderkey, length(o_orderpriority) > 14 AS bad, o_orderstatus = 'F' AS old,
+         o_orderstatus = 'F' AND o_custkey % 3 = 0 AS twice FROM orders),
+       n AS (SELECT *, CAST(old AS BIGINT) + CAST(twice AS BIGINT) + CAST(bad AS BIGINT) AS n FROM o)
+       SELECT CAST(o_orderkey AS VARCHAR) AS row_key, CASE WHEN bad THEN 'LENGTH' ELSE 'DUP_PK' END AS reason, n
+       FROM n WHERE n > 0""",
+)
+def incremental_duplicates(t: Tables) -> DataFrame:
+    """One key twice in a drop, and again in the next one."""
+    rows = t.orders.select(*[c.name for c in ORDERS.ordered()])
+    final = rows.filter("o_orderstatus = 'F'")
+    _, rejects = ingest_drops(t, [final.union(final.filter("o_custkey % 3 = 0")), rows])
+    return read_ingested(t.spark, rejects).groupBy("row_key", "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -47,6 +47,20 @@ def test_each_file_is_taken_once(ingest):
     assert sorted(ingest()[1]) == [("", "CSV_SHAPE"), ("3", "CAST")]
 
 
+def test_keys_are_unique_within_and_across_drops(ingest):
+    assert ingest("1.csv", "k,d\n1,\\N\n1,\\N\n2,\\N\n") == ([1, 2], [("1", "DUP_PK")])
+    good, bad = ingest("2.csv", "k,d\n2,\\N\n3,\\N\n")
+    assert good == [1, 2, 3] and sorted(bad) == [("1", "DUP_PK"), ("2", "DUP_PK")]
+    assert ingest() == (good, bad)
+
+
+def test_a_new_checkpoint_needs_an_empty_target(ingest):
+    ingest("1.csv", "k,d\n1,\\N\n")
+    os.replace(ingest.root / "state", ingest.root / "old_state")
+    with pytest.raises(ValueError, match="earlier checkpoint"):
+        ingest("2.csv", "k,d\n2,\\N\n")
+
+
 def test_a_repeated_batch_replaces_itself(ingest):
     ingest("1.csv", "k,d\n1,\\N\n")
     # The run died after writing and before its commit.

@@ -94,3 +94,18 @@ def test_required_columns_are_not_nullable(spark, kind):
     df = spark.createDataFrame([("1",)], "s string").select(F.lit(None).cast(kind).alias("ID"))
     spec = TableSpec("S", "T", (ColumnSpec("ID", "INTEGER"),), dialect="postgres", primary_key=("ID",))
     assert not require_values(df, spec).schema["ID"].nullable
+
+
+def test_rows_below_refused_rows_are_refused(spark):
+    tree = TableSpec(
+        "S", "N", (ColumnSpec("ID", "INTEGER"), ColumnSpec("UP", "INTEGER"), ColumnSpec("V", "VARCHAR", length=1)),
+        dialect="postgres", primary_key=("ID",), foreign_keys=(ForeignKey(("UP",), "S.N", ("ID",)),),
+    )
+    rows = [("1", None, "x"), ("2", "1", "too long"), ("3", "2", "x"), ("4", "3", "x"), ("5", "1", "x"), ("6", "6", "x"), ("7", "90", "x")]
+    df = spark.createDataFrame(rows, "ID string, UP string, V string")
+    result = load_table(df, tree, policy=ErrorPolicy("skip_row"))
+    assert sorted(r.ID for r in result.accepted.collect()) == [1, 5, 6]
+    assert codes(result) == ["FK_ORPHAN", "FK_ORPHAN", "FK_ORPHAN", "LENGTH"]
+    held = spark.createDataFrame([(90, None, "x")], "ID int, UP int, V string")
+    result = load_table(df, tree, policy=ErrorPolicy("skip_row"), existing=held)
+    assert sorted(r.ID for r in result.accepted.collect()) == [1, 5, 6, 7]
