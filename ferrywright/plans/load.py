@@ -118,7 +118,8 @@ def check_table(
     rows, like every reader of the result, come back for the columns they need. `_place`
     is stored with them and tells even exact copies apart; `order` says how the rows
     arrived, without it they count as arriving in that place. `existing` are the rows an
-    append will meet in the target. A row below a refused row of the same table is refused as well. A foreign key needs its parent rows, unless
+    append will meet in the target. A row below a refused row of
+    the same table is refused as well, unless the reference's rule is SET NULL. A foreign key needs its parent rows, unless
     `check_parents` says that it is not to be checked.
     """
     extra = [c for c in order if c.lower() not in {x.name.lower() for x in table.columns}]
@@ -129,7 +130,9 @@ def check_table(
         parent = (parents or {}).get(fk.ref_table)
         if parent is None and fk.ref_table.lower() in (table.name.lower(), table.full_name.lower()):
             held = None if existing is None else existing.select(*fk.ref_columns)
-            to_itself.append((fk, held))
+            # SET NULL says that a row outlives its parent.
+            if fk.delete_rule.upper() != "SET NULL":
+                to_itself.append((fk, held))
             parent = rows.select(*fk.ref_columns) if held is None else rows.select(*fk.ref_columns).union(held)
         if parent is None and check_parents:
             raise ValueError(f"{table.full_name} refers to {fk.ref_table}, whose rows are not given")
