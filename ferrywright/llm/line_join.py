@@ -26,21 +26,23 @@ from ferrywright.llm.common import SPACES, fresh, numbered, settled, staged, wor
 from ferrywright.session import discard
 
 SIMILARITY = 0.8
-# Lines with fewer different words are not compared and stay.
+# Lines with fewer different words are not compared by `line_matches` and stay; its SQL says the same.
 LEAST_WORDS = 5
+# `drop_matching_lines` compares every line that has a word.
+ANY_WORDS = 1
 # Counters of words; a word's rarity is that of its counter, the order of rare words is refined by their length.
 COUNTERS = 1 << 16
 # Broadcast no more lines than this when candidates are looked up.
 MOST_BROADCAST = 500_000
 
 
-def document_lines(rows: DataFrame, row: str, id_col: str, text: str) -> DataFrame:
+def document_lines(rows: DataFrame, row: str, id_col: str, text: str, least: int = LEAST_WORDS) -> DataFrame:
     """Columns id, row, line_no and codes, those of the different words of each line that is compared."""
     lines = rows.select(
         F.col(id_col).alias("id"), F.col(row).alias("row"), F.posexplode(F.split(F.col(text).cast("string"), "\n"))
     )
     lines = lines.withColumn("codes", line_codes(F.col("col")))
-    return lines.filter(F.size("codes") >= LEAST_WORDS).select("id", "row", F.col("pos").alias("line_no"), "codes")
+    return lines.filter(F.size("codes") >= least).select("id", "row", F.col("pos").alias("line_no"), "codes")
 
 
 def _code(word: Column) -> Column:
@@ -112,12 +114,14 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, t: float)
     return out
 
 
-def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIMILARITY) -> DataFrame:
+def kept_lines(
+    rows: DataFrame, row: str, id_col: str, text: str, t: float = SIMILARITY, least: int = LEAST_WORDS
+) -> DataFrame:
     """Columns (row, line_no) of compared lines without a match among the earlier ones.
 
     Lines are ordered by id, then by row, then by their place; where `row` is the id, it is the whole order.
     """
-    lines = document_lines(rows, row, id_col, text)
+    lines = document_lines(rows, row, id_col, text, least)
     classes = word_classes(rows, text)
     sized = lines.withColumn("keys", F.sort_array(F.transform("codes", lambda c: _key(c, classes)))).withColumn("n", F.size("keys"))
     one, low = F.lit(1).cast("long"), F.lit(63).cast("long")
@@ -132,10 +136,12 @@ def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIM
     # Equal sets are one line, the first of them; copies are reduced before the shuffle.
     first = sets.withColumn("place", F.row_number().over(W.partitionBy("set").orderBy(*order))).filter("place = 1")
     first = staged(first.drop("place", "set"), "line_sets")
-    settled_lines = _settled_early(first, rows, row, text, order, t)
+    # A set matches other sets only if it could match one of a word more: sets of one to three words only equal ones.
+    wide = first.filter(F.col("n") >= F.lit(t) * (F.col("n") + 1) - 1e-9)
+    settled_lines = _settled_early(wide, rows, row, text, order, t)
     small = settled_lines.count() <= MOST_BROADCAST
     early = settled_lines.withColumn("early", F.lit(True))
-    marked = first.join(F.broadcast(early) if small else early, ["row", "line_no"], "left").withColumn("open", F.col("early").isNull())
+    marked = wide.join(F.broadcast(early) if small else early, ["row", "line_no"], "left").withColumn("open", F.col("early").isNull())
     tokens = marked.select(*order, "n", "bits", "open", F.posexplode("prefix").alias("at", "token"))
     earlier = F.struct(*[F.col(f"o.{c}") for c in order]) < F.struct(*[F.col(f"me.{c}") for c in order])
     # Said of both sides, so that both read the same shuffle: the words are equal, so it says that `me` is open.
@@ -168,7 +174,7 @@ def _settled_early(first: DataFrame, rows: DataFrame, row: str, text: str, order
     return out
 
 
-def _reviewed(docs: DataFrame, id_col: str, text: str, t: float) -> tuple[DataFrame, str]:
+def _reviewed(docs: DataFrame, id_col: str, text: str, t: float, least: int) -> tuple[DataFrame, str]:
     """`docs` with the numbers of those of their compared lines that stay, and that column's name."""
     docs = settled(docs)
     row, kept = fresh(docs, "_row", "_kept")
@@ -179,14 +185,14 @@ def _reviewed(docs: DataFrame, id_col: str, text: str, t: float) -> tuple[DataFr
         row, rows = id_col, docs
     else:
         rows = numbered(docs, row)
-    by_row = kept_lines(rows, row, id_col, text, t).groupBy("row").agg(F.collect_list("line_no").alias(kept))
+    by_row = kept_lines(rows, row, id_col, text, t, least).groupBy("row").agg(F.collect_list("line_no").alias(kept))
     return rows.join(by_row.withColumnRenamed("row", row), row, "left"), kept
 
 
-def _removed(text: Column, kept: Column) -> Column:
+def _removed(text: Column, kept: Column, least: int) -> Column:
     """The numbers of removed lines of a text, in order."""
     compared = F.transform(
-        F.split(text, "\n"), lambda line, i: F.when(F.size(line_codes(line)) >= LEAST_WORDS, i)
+        F.split(text, "\n"), lambda line, i: F.when(F.size(line_codes(line)) >= least, i)
     )
     numbers = F.filter(compared, lambda i: i.isNotNull())
     return F.coalesce(F.array_except(numbers, F.coalesce(kept, F.array().cast("array<int>"))), F.array().cast("array<int>"))
@@ -199,18 +205,21 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t:
     with words. Rows that repeat match each other, the first in the table stays. A null id
     comes before all others. An empty table gives no rows.
     """
-    rows, kept = _reviewed(docs, id_col, text, t)
+    rows, kept = _reviewed(docs, id_col, text, t, LEAST_WORDS)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = rows.select(F.col(id_col), F.size(F.split(body, "\n")).alias("n_lines"), _removed(body, F.col(kept)).alias("gone"))
+    out = rows.select(F.col(id_col), F.size(F.split(body, "\n")).alias("n_lines"), _removed(body, F.col(kept), LEAST_WORDS).alias("gone"))
     return out.select(id_col, "n_lines", F.size("gone").alias("n_removed"), F.array_join("gone", ",").alias("removed"))
 
 
 def drop_matching_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: float = SIMILARITY) -> DataFrame:
-    """`docs` with the removed lines taken out of their texts, as `line_matches` says; null texts stay null."""
-    rows, kept = _reviewed(docs, id_col, text, t)
+    """`docs` without the lines that match an earlier one; null texts stay null.
+
+    As `line_matches` says, but every line with a word is compared, however short.
+    """
+    rows, kept = _reviewed(docs, id_col, text, t, ANY_WORDS)
     body = F.col(text).cast("string")
     (gone,) = fresh(rows, "_gone")
-    rows = rows.withColumn(gone, _removed(body, F.col(kept)))
+    rows = rows.withColumn(gone, _removed(body, F.col(kept), ANY_WORDS))
     stay = F.filter(F.split(body, "\n"), lambda line, i: ~F.array_contains(F.col(gone), i))
     cleaned = F.when(F.size(gone) > 0, F.array_join(stay, "\n")).otherwise(body)
     return rows.withColumn(text, cleaned).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -126,6 +126,28 @@ def test_lines_like_brute_force(spark, always_shuffle):
     assert sorted(removed) == sorted(brute_lines(docs)) and len(removed) > 20
 
 
+def test_short_lines_like_brute_force(spark, always_shuffle):
+    import random
+
+    rng = random.Random(8)
+    docs = [(i, "\n".join(" ".join(rng.choices("abcdefg", k=rng.randint(0, 6))) for _ in range(5))) for i in range(60)]
+    seen, want = [], {}
+    for i, text in docs:
+        stay = []
+        for line in text.split("\n"):
+            words = set(line.split())
+            if not words or not any(len(words & v) / len(words | v) >= 0.8 - 1e-12 for v in seen):
+                stay.append(line)
+            if words:
+                seen.append(words)
+        want[i] = "\n".join(stay)
+    # Four words of five are 0.8, so sets of four match others than equal ones.
+    docs += [(100, "p q r s t\nmenu"), (101, "q p r s"), (102, "menu\nmenu two")]
+    want |= {100: "p q r s t\nmenu", 101: "", 102: "menu two"}
+    got = line_join.drop_matching_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
 def test_lines_of_odd_rows(odd, empty):
     out = line_join.drop_matching_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
