@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrywright.llm import near_copies
 from ferrywright.llm.common import components, fresh, numbered, settled, small_batches
 from ferrywright.session import stage
 
@@ -253,20 +254,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: float = near_copies.SIMILARITY) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: that with the smallest id.
 
+    Here near-duplicates are verified, whatever the bits of their fingerprints: sets of five-word
+    shingles with a Jaccard similarity of at least `t`, as `near_copies` says. Similar texts differ
+    in up to a quarter of the bits, which the trie cannot follow without comparing all with all.
     Of rows with equal ids the first in the table stays; a null id comes after all others.
     """
     docs = settled(docs)
     (row,) = fresh(docs, "_row")
     rows = numbered(docs, row)
-    with_ids = rows.select(F.struct(id_col, row).alias("key"), F.col(text).cast("string").alias("text"))
-    marked = stage(with_fingerprints(with_ids), "fingerprints")
-    order = F.struct(F.col("key")[id_col].isNull(), F.col("key")[id_col], F.col("key")[row])
-    fps = stage(marked.groupBy("fp").agg(F.min(order).alias("low")), "distinct_fingerprints")
-    roots = components(links(fps.select("fp"), max_bits))
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    first = placed.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
+    found = near_copies.groups(rows.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text")), t)
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row))
+    keys = rows.select(F.col(row).alias("row"), order.alias("key"))
+    first = keys.join(found, "row").groupBy("root").agg(F.min("key").alias("low"))
     stay = first.select(F.col("low")[row].alias(row))
     return rows.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -91,6 +91,40 @@ def test_keep_first_keeps_one_row_of_a_group(odd, empty):
     assert simhash_trie.keep_first(empty).count() == 0
 
 
+def near_texts():
+    """Texts with copies that differ by some words, at the start, in the middle and in chains."""
+    import random
+
+    rng = random.Random(12)
+    texts = []
+    for size in (4, 5, 8, 24, 60, 150, 400):
+        base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randint(0, 1 + size // 50)):
+                words[rng.randrange(size)] = f"x{rng.randrange(3000)}"
+            if rng.random() < 0.3:
+                words += [f"y{rng.randrange(3000)}" for _ in range(1 + size // 40)]
+            texts.append(" ".join(words))
+    return texts
+
+
+def alike_texts(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) >= 0.8 * len(x | y) - 1e-9
+
+
+def test_verified_copies_like_brute_force(spark, always_shuffle):
+    texts = near_texts()
+    groups = components(texts, alike_texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in simhash_trie.keep_first(docs).collect())
+    assert kept == sorted(set(groups))
+    prints = [simhash_trie.fingerprint(t.encode()) for t in texts]
+    pairs = [p for p in itertools.combinations(range(len(texts)), 2) if alike_texts(*(texts[i] for i in p))]
+    assert sum((prints[i] ^ prints[j]).bit_count() > simhash_trie.MAX_BITS for i, j in pairs) > 20
+
+
 def brute_lines(docs):
     """(id, line) of removed lines; docs in order."""
     lines = []
