@@ -22,8 +22,10 @@ DEMO_KEY = "demo-key: set spark.ferrywright.pseudonym.key"
 _START, _END = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 ADDRESS = _START + r"(?<!\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"
-DATE = _START + r"(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})" + _END
+DATE = _START + r"(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})" + r"(?:(?=[Tt][0-9]{2}:?[0-9]{2})|(?![0-9A-Za-z]))"
 CARD = _START + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})" + _END
+# A card of four groups of four, with a short number behind it.
+TAILED = "^([0-9]{4}(?:[ -][0-9]{4}){3})([ -][0-9]{1,3})$"
 SOCIAL = _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END
 PHONE = (
     r"(?<![0-9A-Za-z+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END
@@ -199,6 +201,10 @@ def pseudonym(m: Column, key: str) -> Column:
     out = out.when(m.rlike(f"^(?:{ADDRESS})$"), _address(m, key))
     out = out.when(m.rlike(f"^(?:{SOCIAL})$"), _social(m, digits, key))
     out = out.when(m.rlike(f"^(?:{CARD})$") & luhn_valid(digits), _refilled(m, _card(digits, key)))
+    # The short number behind a card may be its own: then the sixteen digits before it are the card.
+    front, tail = F.regexp_extract(m, TAILED, 1), F.regexp_extract(m, TAILED, 2)
+    sixteen = F.regexp_replace(front, "[^0-9]", "")
+    out = out.when(m.rlike(TAILED) & luhn_valid(sixteen), F.concat(_refilled(front, _card(sixteen, key)), tail))
     out = out.when(m.rlike(f"^(?:{PHONE})$"), _phone(m, digits, key))
     return F.coalesce(out, m)
 

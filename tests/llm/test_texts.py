@@ -238,6 +238,23 @@ def test_pseudonyms_keep_format_and_links(spark, empty):
     assert pseudonyms.pseudonymise(empty, "key").count() == 0
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    texts = [
+        "4111 1111 1111 1111 123",
+        "4111-1111-1111-1111 12/27",
+        "4111 1111 1111 1111",
+        "at 1980-03-05T10:11:12Z and 1980-03-05t101112",
+        "on 1980-03-05",
+        "4111 1111 1111 1112 123, 1980-03-05Tuesday",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = [r.text for r in pseudonyms.pseudonymise(df, "key").orderBy("doc_id").collect()]
+    card, day = out[2], out[4][3:]
+    assert card != texts[2] and day != "1980-03-05"
+    assert out[0] == card + " 123" and out[1] == card.replace(" ", "-") + " 12/27"
+    assert out[3] == f"at {day}T10:11:12Z and {day}t101112" and out[5] == texts[5]
+
+
 def test_digit_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
