@@ -1,7 +1,9 @@
 """Encoding to and decoding from the pieces of a SentencePiece model by the unigram method.
 
 A text's segmentation is the one with the largest sum of piece scores, found by Viterbi's
-algorithm. Pieces are looked up in a double-array trie over UTF-8 bytes: from a state s
+algorithm. The scores in the file are the ranks of merges, no probabilities, so the log
+probabilities of the pieces are estimated from all documents, by counting the pieces of
+the best segmentation and segmenting anew. Pieces are looked up in a double-array trie over UTF-8 bytes: from a state s
 the byte c leads to base[s] + c if check there is s. The model's marker of white space
 stands for a space; a character without a piece falls back to pieces of its bytes.
 
@@ -12,7 +14,7 @@ each distinct word of a batch only once, all words of about one length together.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrywright.llm.common import small_batches
+from ferrywright.session import discard, stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 # What a character without a piece costs below the lowest score.
 UNKNOWN = 10.0
+# Rounds of counting, and what is added to each count.
+ROUNDS = 3
+SMOOTHING = 0.5
 # Words whose pieces a task remembers, and words segmented at once.
 _REMEMBER = 400_000
 _AT_ONCE = 8192
@@ -181,6 +187,12 @@ def encode_texts(texts: list[str], p: Pieces, known: dict) -> list[np.ndarray]:
     if len(known) + len(new) > _REMEMBER:
         known.clear()
         new = sorted({w for words in split for w in words}, key=len)
+    _learn(new, p, known)
+    return [np.concatenate([known[w] for w in words]) for words in split]
+
+
+def _learn(new: list[str], p: Pieces, known: dict) -> None:
+    """Add the pieces of new words, which are in the order of their lengths, to `known`."""
     start = 0
     while start < len(new):
         # Side by side only as many as their longest allows.
@@ -188,7 +200,65 @@ def encode_texts(texts: list[str], p: Pieces, known: dict) -> list[np.ndarray]:
         part = new[start : start + step]
         known.update(zip(part, segment([w.encode("utf-8", "replace") for w in part], p)))
         start += step
-    return [np.concatenate([known[w] for w in words]) for words in split]
+
+
+def scored(p: Pieces, counts: np.ndarray) -> Pieces:
+    """`p` with the smoothed log probabilities of the counts of its pieces."""
+    took_part = np.zeros(len(p.surface), bool)
+    took_part[p.piece[p.piece >= 0]] = True
+    n = counts[took_part] + SMOOTHING
+    scores = np.zeros(len(p.surface))
+    scores[took_part] = np.log(n / n.sum())
+    return replace(p, score=scores, unknown=float(scores.min()) - UNKNOWN)
+
+
+def _counts(words: DataFrame, p: Pieces) -> np.ndarray:
+    """How often each piece is in the best segmentations of the words (word, n)."""
+    shared = words.sparkSession.sparkContext.broadcast(p)
+
+    def run(batches):
+        p = shared.value
+        counts, some, size = np.zeros(len(p.surface), np.int64), {}, 0
+
+        def add():
+            found = {}
+            _learn(sorted(some, key=len), p, found)
+            for w, n in some.items():
+                np.add.at(counts, found[w], n)
+
+        for batch in batches:
+            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                some[w], size = n, size + len(w)
+            if len(some) >= _AT_ONCE or size > 1_000_000:
+                add()
+                some, size = {}, 0
+        if some:
+            add()
+        # Pieces of bytes are chosen by need, not by their score.
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["piece", "n"])
+
+    sums = words.mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(p.surface), np.int64)
+    for piece, n in sums.collect():  # at most one row per piece
+        out[piece] = n
+    return out
+
+
+def estimate(docs: DataFrame, p: Pieces, text: str = "text", rounds: int = ROUNDS) -> Pieces:
+    """`p` with log probabilities of its pieces in all documents, from equal ones on.
+
+    Only the different words and their counts, reduced before the shuffle, are segmented.
+    """
+    small_batches(docs)
+    body = F.concat(F.lit(" "), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    parts = F.regexp_extract_all(body, F.lit(_WORD.pattern), F.lit(0)) if p.by_word else F.array(body)
+    words = stage(docs.select(F.explode(parts).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+    p = scored(p, np.zeros(len(p.surface)))
+    for _ in range(rounds):
+        p = scored(p, _counts(words, p))
+    discard(words)
+    return p
 
 
 def decode_ids(ids, p: Pieces) -> str:
@@ -204,7 +274,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: s
     get equal results; an empty table gives no rows.
     """
     small_batches(docs)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load(model))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(estimate(docs, load(model), text))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -96,6 +96,19 @@ def test_pieces(spark):
     assert [back[i] for i in range(len(texts))] == [t or "" for t in texts]
 
 
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary here")
+def test_pieces_of_whole_words(spark):
+    texts = ["the population of the world", "a population and its government", None, "漢字😀 population"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    p = pieces.load()
+    own = [i for i, s in enumerate(p.surface) if s == b" population"]
+    rows = {r.doc_id: r for r in pieces.encode(df).collect()}
+    assert own and all(own[0] in rows[i].ids for i in (0, 1, 3)) and all(r.round_trip for r in rows.values())
+    q = pieces.estimate(df, p)
+    ends = np.unique(q.piece[q.piece >= 0])
+    assert abs(np.exp(q.score[ends]).sum() - 1) < 1e-6
+
+
 def test_vectors_like_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(300, 16))
