@@ -33,6 +33,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _STRING = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_LENGTH)
+_SEGMENT = re.compile(r"[A-Za-z0-9+]{%d,}={0,2}" % LEAST_LENGTH)
+_PARTS = re.compile(r"[+/_=-]+")
 _WORDLIKE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+|[+/_=-]+")
 # Known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs are no secrets.
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
@@ -76,15 +78,28 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=_place)
 
 
+def _looks_random(string: str, path: str) -> bool:
+    """Whether a string is no known one, has letters enough, and digits or letters of both cases, and many tokens."""
+    if _is_known(string) or sum(c.isalpha() for c in string) < LEAST_LETTERS:
+        return False
+    if not any(c.isdigit() for c in string):
+        # Words and names joined by separators have many tokens too.
+        if string.islower() or string.isupper() or all(_WORDLIKE.fullmatch(part) for part in _PARTS.split(string)):
+            return False
+    return chars_per_token(string, path) < MOST_CHARS_PER_TOKEN
+
+
 def random_spans(text: str, path: str = VOCABULARY) -> list[tuple[int, str, int]]:
     """(start, kind, end) of strings that look random to the vocabulary."""
     found = []
     for m in _STRING.finditer(text):
         string = m.group()
-        if _is_known(string) or not any(c.isdigit() for c in string) or sum(c.isalpha() for c in string) < LEAST_LETTERS:
-            continue
-        if chars_per_token(string, path) < MOST_CHARS_PER_TOKEN:
+        if _looks_random(string, path):
             found.append((m.start(), "random", m.end()))
+        elif not _is_known(string):
+            # Words around a secret hide it in the whole.
+            parts = (s for s in _SEGMENT.finditer(string) if s.end() - s.start() < len(string))
+            found += [(m.start() + s.start(), "random", m.start() + s.end()) for s in parts if _looks_random(s.group(), path)]
     return found
 
 
