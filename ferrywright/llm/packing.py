@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrywright.llm.common import numbered, settled, words_of
+from ferrywright.llm import near_copies
+from ferrywright.llm.common import fresh, numbered, settled, words_of
 from ferrywright.session import stage
 
 CAPACITY = 2048
@@ -156,3 +157,13 @@ def pack(
     nothing = F.lit(None).cast("long")
     empty = pieces.filter("n_words = 0").select("id", "piece", "first_word", "n_words", nothing.alias("bin_id"), nothing.alias("start"))
     return packed.union(empty).withColumnRenamed("id", id_col)
+
+
+def pack_apart(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **limits) -> DataFrame:
+    """`pack`, with the groups of verified near copies among all documents as clusters."""
+    docs = settled(docs.select(id_col, source, text))
+    row, root = fresh(docs, "_row", "_root")
+    rows = numbered(docs, row)
+    found = near_copies.groups(rows.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text")))
+    placed = rows.join(found.select(F.col("row").alias(row), F.col("root").alias(root)), row)
+    return pack(placed, id_col, source, text, cluster=F.col(root), **limits)

@@ -41,8 +41,8 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bin of every piece of every document, without two duplicates in a bin."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    """The bin of every piece of every document, without two near copies in a bin."""
+    return packing.pack_apart(_table(spark, sf_dir, "documents"))
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

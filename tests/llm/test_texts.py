@@ -281,6 +281,15 @@ def test_packing_keeps_its_constraints(spark, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_near_copies_are_packed_apart(spark):
+    first = [f"w{i}" for i in range(60)]
+    second = [*first[:30], "other", *first[31:]]
+    docs = [(0, " ".join(first), "a"), (1, " ".join(second), "b"), (2, " ".join(f"v{i}" for i in range(60)), "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    bins = {r.doc_id: r.bin_id for r in packing.pack_apart(df, capacity=200).collect()}
+    assert bins[0] != bins[1] and len(bins) == 3
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     out = packing.pack_shard([60, 50, 40, 40], ["a", "b", "a", "c"], [None] * 4, 100, 1)
     assert out == [(0, 0), (1, 0), (1, 50), (0, 60)]
