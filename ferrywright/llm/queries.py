@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrywright.llm import (
+    byte_pairs,
     license_scan,
     line_frequency,
     line_join,
@@ -16,6 +17,7 @@ from ferrywright.llm import (
     pseudonyms,
     secrets,
     simhash_trie,
+    spelling,
     toxicity,
     vector_graph,
 )
@@ -88,6 +90,16 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the byte-pair ids of every document and of what they decode to."""
+    return byte_pairs.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form and root of every frequent word of the documents."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_line_frequency"] = op1_line_frequency
 ORACLES["op1_line_frequency"] = line_frequency.ORACLE
 QUERIES["op2_packing"] = op2_packing
@@ -100,3 +112,6 @@ QUERIES["op7_licences"] = op7_licences
 QUERIES["op8_secrets"] = op8_secrets
 QUERIES["op9_vector_graph"] = op9_vector_graph
 QUERIES["op10_pieces"] = op10_pieces
+QUERIES["op11_byte_pairs"] = op11_byte_pairs
+QUERIES["op12_spelling"] = op12_spelling
+ORACLES["op12_spelling"] = spelling.ORACLE
