@@ -14,6 +14,7 @@ from ferrywright.llm import (
     line_join,
     packing,
     pieces,
+    prefix_trie,
     pseudonyms,
     secrets,
     simhash_trie,
@@ -100,6 +101,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations, with what sharing it saves."""
+    return prefix_trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES["op1_line_frequency"] = op1_line_frequency
 ORACLES["op1_line_frequency"] = line_frequency.ORACLE
 QUERIES["op2_packing"] = op2_packing
@@ -115,3 +121,5 @@ QUERIES["op10_pieces"] = op10_pieces
 QUERIES["op11_byte_pairs"] = op11_byte_pairs
 QUERIES["op12_spelling"] = op12_spelling
 ORACLES["op12_spelling"] = spelling.ORACLE
+QUERIES["op13_prefix_trie"] = op13_prefix_trie
+ORACLES["op13_prefix_trie"] = prefix_trie.ORACLE
