@@ -23,6 +23,11 @@ from ferrywright.sources.landing import CORRUPT
 from ferrywright.spec import ColumnSpec, ForeignKey, LogicalType, TableSpec, spark_type
 
 REASONS = "reasons"
+# What a reason may say.
+CODES = (
+    "CSV_SHAPE", "NOT_NULL", "CAST", "PRECISION", "LENGTH", "BAD_HEX", "ENUM",
+    "DUP_PK", "DUP_UNIQUE", "FK_ORPHAN", "TARGET",
+)
 REASON_TYPE = "array<struct<reason:string,column:string,value:string>>"
 
 
@@ -148,6 +153,10 @@ def check_rows(df: DataFrame, table: TableSpec, extra: Sequence[str] = ()) -> Da
     for i, (c, lt) in enumerate(zip(columns, logical)):
         value = F.col(c.name) if isinstance(given[i], T.StringType) else V.value_text(F.col(c.name), given[i])
         tests += _column_tests(c, lt, value, F.col(f"_typed{i}"), not c.nullable or c.name.lower() in keyed)
+        if isinstance(given[i], T.FractionalType) and isinstance(spark_type(lt), T.IntegralType):
+            # The cast cuts a fraction off; text with one is refused as well.
+            cut = F.col(f"_typed{i}").isNotNull() & (F.col(c.name) % 1 != 0)
+            tests.append((cut, reason("PRECISION", c.name, value)))
     # A misshapen row has no values to test.
     misshapen = F.array(reason("CSV_SHAPE", "", F.col("_shape"))).cast(REASON_TYPE)
     reasons = F.when(F.col("_shape").isNotNull(), misshapen).otherwise(collect_reasons(tests)).alias(REASONS)

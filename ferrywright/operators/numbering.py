@@ -98,7 +98,8 @@ def sequence_value(
     if increment == 0:
         raise ValueError("a sequence needs a non-zero increment")
     room = (max_value - start) if increment > 0 else (start - min_value)
-    first_lap = room // abs(increment) + 1 if room >= 0 else 0
+    # A row number is a long, so a longer lap never ends.
+    first_lap = min(room // abs(increment) + 1, 2**63 - 1) if room >= 0 else 0
     nth = F.lit(start) + F.lit(increment) * (number - 1)
     if not cycle:
         return F.when(number <= F.lit(first_lap), nth)
@@ -144,9 +145,9 @@ def fill_identity(
 
 
 def replace_identity(df: DataFrame, column: str, keys: Sequence[str], start: int = 1, increment: int = 1) -> DataFrame:
-    """ALWAYS identity: every value is generated anew, in key order."""
+    """ALWAYS identity: every value is generated anew, in key order, upwards or downwards."""
     numbered = number_rows(df, keys, "_identity_number")
-    value = sequence_value(F.col("_identity_number"), start=start, increment=increment)
+    value = sequence_value(F.col("_identity_number"), start=start, increment=increment, min_value=-(2**63))
     return numbered.withColumn(column, value).drop("_identity_number")
 
 

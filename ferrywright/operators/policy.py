@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ferrywright.functions.predicates import literal
-from ferrywright.operators.checks import REASONS
+from ferrywright.operators.checks import CODES, REASONS
 
 
 @dataclass(frozen=True)
@@ -103,3 +103,56 @@ def counts_until(
         (errors if policy.kind == "skip_row" else F.lit(0).cast("long")).alias("skipped"),
         errors.alias("errors"),
     ).select(F.lit(schema).alias("schema"), F.lit(table).alias("table"), "expected", "actual", "skipped", "errors")
+
+
+@dataclass(frozen=True)
+class ObservedLoad:
+    """Rows that count themselves while they are written.
+
+    `accepted` is what reaches the target. `counts` and `reasons` are known after it has
+    been written or otherwise run through once, and wait for that; they cost no job.
+    """
+
+    accepted: DataFrame
+    observation: Observation
+    schema: str
+    table: str
+
+    def counts(self) -> DataFrame:
+        """As `import_counts`."""
+        seen = self.observation.get
+        names = ("expected", "actual", "skipped", "errors")
+        kinds = ", ".join(f"{n} long" for n in names)
+        values = (self.schema, self.table, *(seen[n] for n in names))
+        return self.accepted.sparkSession.createDataFrame([values], f"schema string, table string, {kinds}")
+
+    def reasons(self) -> DataFrame:
+        """(schema, table, reason, n): how many rows met each reason, for reasons that occurred."""
+        seen = self.observation.get
+        found = [(self.schema, self.table, code, seen[f"n_{code}"]) for code in CODES if seen[f"n_{code}"]]
+        return self.accepted.sparkSession.createDataFrame(found, "schema string, table string, reason string, n long")
+
+
+def observed_load(
+    checked: DataFrame, policy: ErrorPolicy, order: Sequence[str], schema: str, table: str
+) -> ObservedLoad:
+    """The accepted rows of a checked table, counted by the job that writes them.
+
+    The rows are observed where they are read, ahead of every filter. Write `accepted`
+    as it is: behind a shuffle a repeated task would count its rows again. Under a policy
+    that may end the load early, the place where it ends is still found by a job before.
+    """
+    end = load_end(checked, policy, order)
+    met = F.lit(True) if end is None else place(order) <= end
+    errors = F.count_if(met & is_bad())
+    found = F.transform(REASONS, lambda r: r["reason"])
+    observation = Observation()
+    rows = checked.observe(
+        observation,
+        F.count(F.lit(1)).alias("expected"),
+        F.count_if(met & ~is_bad()).alias("actual"),
+        (errors if policy.kind == "skip_row" else F.count_if(F.lit(False))).alias("skipped"),
+        errors.alias("errors"),
+        *(F.count_if(met & F.array_contains(found, code)).alias(f"n_{code}") for code in CODES),
+    )
+    return ObservedLoad(rows.filter(met & ~is_bad()).drop(REASONS), observation, schema, table)

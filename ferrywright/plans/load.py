@@ -126,9 +126,10 @@ def check_table(
     rows = checks.check_rows(transform(text, table, steps), table, extra)
     rows = stage(rows.withColumn(PLACE, F.monotonically_increasing_id()), "checked")
     to_itself = []
+    given = {table.resolve(name): parent for name, parent in (parents or {}).items()}
     for fk in table.foreign_keys:
-        parent = (parents or {}).get(fk.ref_table)
-        if parent is None and fk.ref_table.lower() in (table.name.lower(), table.full_name.lower()):
+        parent = given.get(table.resolve(fk.ref_table))
+        if parent is None and table.resolve(fk.ref_table) == table.full_name.lower():
             held = None if existing is None else existing.select(*fk.ref_columns)
             # SET NULL says that a row outlives its parent.
             if fk.delete_rule.upper() != "SET NULL":

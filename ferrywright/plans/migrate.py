@@ -51,7 +51,7 @@ def by_reference(tables: Iterable[TableSpec]) -> list[TableSpec]:
         left = {t.full_name.lower() for t in waiting}
         ready = [
             t for t in waiting
-            if not any(fk.ref_table.lower() in left - {t.full_name.lower()} for fk in t.foreign_keys)
+            if not any(t.resolve(fk.ref_table) in left - {t.full_name.lower()} for fk in t.foreign_keys)
         ]
         if not ready:
             raise ValueError(f"tables refer to each other in a circle: {sorted(left)}")

@@ -66,6 +66,13 @@ class TableSpec:
         """Base name of the landing file or folder."""
         return f"{self.schema.lower()}.{self.name.lower()}.csv"
 
+    def resolve(self, table: str) -> str:
+        """The one form under which a table that this one names is looked up.
+
+        Names are compared without case; one without a schema is in the schema of this table.
+        """
+        return (table if "." in table else f"{self.schema}.{table}").lower()
+
     def column(self, name: str) -> ColumnSpec:
         for column in self.columns:
             if column.name.lower() == name.lower():

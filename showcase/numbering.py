@@ -158,6 +158,22 @@ def identity_always(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "identity_descending",
+    """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE -o_orderkey END AS id FROM orders),
+            n AS (SELECT o_orderkey, id, row_number() OVER (PARTITION BY id IS NULL ORDER BY o_orderkey) AS rn,
+                         row_number() OVER (ORDER BY o_orderkey) AS place FROM o)
+       SELECT o_orderkey, -1 - 3 * (place - 1) AS always_id,
+              coalesce(id, (SELECT least(min(id), 0) FROM o) - 2 * rn) AS default_id FROM n""",
+)
+def identity_descending(t: Tables) -> DataFrame:
+    rows = t.orders.select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", -F.col("o_orderkey")).alias("default_id"), F.lit(0).alias("always_id")
+    )
+    kept = N.fill_identity(rows, "default_id", ["o_orderkey"], increment=-2)
+    return N.replace_identity(kept, "always_id", ["o_orderkey"], start=-1, increment=-3)
+
+
 @query("row_ids", "SELECT count(*) AS n, count(*) AS ids FROM lineitem")
 def row_ids(t: Tables) -> DataFrame:
     tagged = N.add_row_id(t.lineitem.select("l_orderkey"))

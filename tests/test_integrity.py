@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,12 +12,13 @@ from pyspark.sql import types as T
 from ferrywright import ColumnSpec, ForeignKey, TableSpec
 from ferrywright.functions.literals import typed_literal
 from ferrywright.operators.conform import target_overflow
-from ferrywright.operators.numbering import fill_identity
+from ferrywright.operators.numbering import fill_identity, replace_identity
 from ferrywright.operators.reconcile import remaining_rows
 from ferrywright.plans.load import load_table
 from ferrywright.plans.migrate import by_reference, from_tables
 from ferrywright.plans.load import Transforms
 from ferrywright.operators.policy import ErrorPolicy
+from ferrywright.session import stage
 from ferrywright.sinks.tables import require_values
 from ferrywright.spec import LogicalType
 
@@ -109,3 +111,53 @@ def test_rows_below_refused_rows_are_refused(spark):
     held = spark.createDataFrame([(90, None, "x")], "ID int, UP int, V string")
     result = load_table(df, tree, policy=ErrorPolicy("skip_row"), existing=held)
     assert sorted(r.ID for r in result.accepted.collect()) == [1, 5, 6, 7]
+
+
+NINE = {
+    "smallint": 1, "int": 2, "bigint": 3, "double": 1.5, "decimal(2,2)": decimal.Decimal("0.25"), "decimal(20,0)": decimal.Decimal(7),
+    "date": datetime.date(2024, 1, 2), "timestamp_ntz": datetime.datetime(2024, 1, 2), "boolean": True, "binary": b"x", "string": "x", "float": 0.5,
+}
+
+
+@pytest.mark.parametrize("kind", NINE)
+def test_null_of_any_kind_is_refused_not_replaced(spark, kind):
+    spec = TableSpec("S", "N", (ColumnSpec("V", "TEXT", nullable=False), ColumnSpec("W", "TEXT")), dialect="postgres")
+    schema = f"V {kind}, W {kind}"
+    whole = require_values(spark.createDataFrame([(NINE[kind], None)], schema), spec)
+    assert [f.nullable for f in whole.schema] == [False, True]
+    assert [tuple(r) for r in whole.collect()] == [(NINE[kind], None)]
+    # Rows out of a file, so that nothing is known of them when the plan is made.
+    rows = stage(spark.createDataFrame([(NINE[kind], None), (None, None)], schema))
+    with pytest.raises(Exception, match="NULL in S.N.V"):
+        require_values(rows, spec).collect()
+
+
+def test_fractions_of_typed_numbers_are_refused(spark):
+    spec = TableSpec("S", "F", (ColumnSpec("A", "NUMBER", precision=4), ColumnSpec("B", "NUMBER", precision=9), ColumnSpec("C", "NUMBER", precision=4, scale=1)))
+    rows = [(12.75, decimal.Decimal("12.9"), 1.25), (12.0, decimal.Decimal("13.0"), 1.25), (None, None, None), (-0.5, None, None), (float("nan"), None, None)]
+    df = spark.createDataFrame(rows, "A double, B decimal(6,1), C double")
+    result = load_table(df, spec, policy=ErrorPolicy("skip_row"))
+    assert sorted((r.column, r.reason) for r in result.rejects.collect()) == [
+        ("A", "CAST"), ("A", "PRECISION"), ("A", "PRECISION"), ("B", "PRECISION")
+    ]
+    assert result.accepted.count() == 2
+
+
+def test_identities_count_downwards(spark):
+    df = spark.createDataFrame([(i, None) for i in range(5)], "k int, id long")
+    ids = lambda frame: [r.id for r in frame.orderBy("k").collect()]
+    assert ids(replace_identity(df, "id", ["k"], -1, -1)) == [-1, -2, -3, -4, -5]
+    assert ids(replace_identity(df, "id", ["k"], 1, -1)) == [1, 0, -1, -2, -3]
+    assert ids(replace_identity(df, "id", ["k"], -(2**63) + 1, -1))[:3] == [-(2**63) + 1, -(2**63), None]
+    assert ids(fill_identity(df, "id", ["k"], increment=-3)) == [-3, -6, -9, -12, -15]
+
+
+def test_references_are_found_without_case_and_in_the_own_schema(spark):
+    dept = TableSpec("HR", "DEPT", (ColumnSpec("ID", "INTEGER"),), primary_key=("ID",))
+    rows = {"DEPT": spark.createDataFrame([("1",)], "ID string"), "EMP": spark.createDataFrame([("1",), ("2",)], "D string")}
+    for name in ("HR.DEPT", "hr.dept", "dept", "Dept"):
+        emp = TableSpec("hr", "EMP", (ColumnSpec("D", "INTEGER"),), foreign_keys=(ForeignKey(("D",), name, ("ID",)),))
+        assert [t.name for t in by_reference([emp, dept])] == ["DEPT", "EMP"]
+        for given in ("HR.DEPT", "hr.dept"):
+            result = load_table(rows["EMP"], emp, parents={given: rows["DEPT"].select(F.col("ID").cast("int"))})
+            assert codes(result) == ["FK_ORPHAN"]
