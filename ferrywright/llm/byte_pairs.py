@@ -16,6 +16,7 @@ import itertools
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ class Splitter:
     def split(self, text: str) -> list[str]:
         odd = self.odd and self.may_be_odd.search(text) and self.odd.search(text)
         found = (self.exact if odd else self.plain).findall(text)
-        if sum(map(len, found)) != len(text):
+        if len("".join(found)) != len(text):
             raise ValueError("the pattern must match every character of a text")
         return found
 
@@ -107,25 +108,23 @@ class Splitter:
         return places
 
 
-class Merger:
-    """The ids of pre-tokens; those of frequent ones are remembered."""
+class Merger(dict):
+    """The ids of pre-tokens as bytes of 32-bit numbers; those met before are remembered."""
 
     def __init__(self, v: Vocabulary):
         import tiktoken
 
         # Every text is one pre-token for this encoding.
         self.one = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=v.ranks, special_tokens={})
-        self.known: dict[str, list[int]] = {}
 
-    def ids(self, pieces: list[str]) -> list[int]:
-        known = self.known
-        new = [p for p in set(pieces) if p not in known]
-        if len(known) + len(new) > _REMEMBER:
-            known.clear()
-            new = set(pieces)
-        for p in new:
-            known[p] = self.one.encode_ordinary(p)
-        return list(itertools.chain.from_iterable(map(known.__getitem__, pieces)))
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= _REMEMBER:
+            self.clear()
+        found = self[piece] = np.array(self.one.encode_ordinary(piece), np.int32).tobytes()
+        return found
+
+    def ids(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, pieces))
 
 
 class Stitcher:
@@ -139,7 +138,7 @@ class Stitcher:
     def _emit(self, until: int) -> None:
         """Encode the pre-tokens of the held chunk from the last stitch to this place of the text."""
         own = [x for x in self.places if self.at <= x + self.start <= until]
-        self.ids += self.merger.ids([self.text[a:b] for a, b in itertools.pairwise(own)])
+        self.ids.append(self.merger.ids([self.text[a:b] for a, b in itertools.pairwise(own)]))
         self.at = until
 
     def add(self, text: str, start: int, places: list[int], last: bool) -> None:
@@ -211,16 +210,17 @@ def _encode_long(texts: DataFrame, shared, schema: T.StructType, chunk: int, ove
                 stitcher.add(piece, no * step, [0, *itertools.accumulate(sizes)], last)
                 if last:
                     rows += [row] * copies
-                    out += [stitcher.ids] * copies
+                    out += [b"".join(stitcher.ids)] * copies
             yield _encoded(batch.column("id").take(pa.array(rows, pa.int64())), out)
 
     return ordered.mapInArrow(run, schema)
 
 
-def _encoded(keys: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
-    lists = pa.array(ids, pa.list_(pa.int32()))
-    sizes = pa.array([len(x) for x in ids], pa.int64())
-    return pa.RecordBatch.from_arrays([keys, sizes, lists], ["id", "n_tokens", "ids"])
+def _encoded(keys: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    sizes = np.array([len(x) // 4 for x in ids], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+    return pa.RecordBatch.from_arrays([keys, pa.array(sizes), lists], ["id", "n_tokens", "ids"])
 
 
 def encode(
@@ -270,16 +270,26 @@ def decode(rows: DataFrame, ids: str = "ids", name: str = "decoded", path: str |
     need not be whole characters, so the result is binary.
     """
     small_batches(rows)
-    shared = rows.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in load(path).ranks.items()})
+    ranks = load(path).ranks
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    shared = rows.sparkSession.sparkContext.broadcast(pieces)
     schema = T.StructType([f for f in rows.schema.fields if f.name.lower() != name.lower()])
     kept = schema.names
     schema = T.StructType([*schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches):
-        piece_of = shared.value
+        pieces = shared.value
         for batch in batches:
-            lists = batch.column(ids).to_pylist()
-            out = [None if x is None else b"".join([piece_of.get(i, b"") for i in x]) for x in lists]
+            lists = batch.column(ids)
+            out = []
+            for i in range(len(lists)):
+                own = lists[i].values
+                if own is not None:
+                    own = own.drop_null().to_numpy()
+                    own = own[(own >= 0) & (own < len(pieces))].tolist()
+                out.append(None if own is None else b"".join(map(pieces.__getitem__, own)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from ferrywright.llm import byte_pairs
@@ -21,6 +22,10 @@ def whole():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
 
 
+def numbers(stitcher):
+    return np.frombuffer(b"".join(stitcher.ids), np.int32).tolist()
+
+
 def texts():
     rng = random.Random(7)
     parts = ["word", " and", "  ", "\n\n", " 's", "'re", "'", "’ve", " 12", "345", "é", "漢字", " 😀", "\t", "...", " x" * 9, "\x1c", "ǅ"]
@@ -59,7 +64,7 @@ def test_stitches_meet_wherever_the_cut_falls(whole):
             if last:
                 break
             start += chunk - overlap
-        assert stitcher.ids == whole.encode_ordinary(text)
+        assert numbers(stitcher) == whole.encode_ordinary(text)
 
 
 def test_very_long_run_is_read_a_few_times(whole):
@@ -74,7 +79,7 @@ def test_very_long_run_is_read_a_few_times(whole):
         stitcher.add(piece, start, certain(piece, last), last)
         if last:
             break
-    assert stitcher.ids == whole.encode_ordinary(text)
+    assert numbers(stitcher) == whole.encode_ordinary(text)
     assert sum(read) < 4 * len(text)
 
 
