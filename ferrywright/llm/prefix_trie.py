@@ -32,16 +32,12 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 COLUMNS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-def rebuilt(conversations: DataFrame) -> DataFrame:
-    """(conv_id, depth, size, chars, d1, d2, p1, p2), one row per prefix of a rebuilt conversation.
-
-    size is the number of its turns, chars the code points of the prefix's last text, (d1,
-    d2) the digest of the prefix and (p1, p2) that of the prefix before. Depth 0 is the
-    prefix without turns, which every conversation has.
+def ordered_turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, chars, place, shared, digest) of every turn, without its text.
 
     Turns are ordered by turn, null first; equal ones by role and by the SHA-256 of the
-    text. conv_id - conv_id % GROUP truncates towards zero, as in SQL. Rows with a null
-    conv_id belong to no conversation and are left out.
+    text. shared is how many first turns the conversation takes from its base. Rows with a
+    null conv_id belong to no conversation and are left out.
     """
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
     turns = conversations.filter("conv_id is not null").select(
@@ -52,12 +48,23 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
         F.char_length(text).alias("chars"),
     )
     in_order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "digest")
-    shared = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % SHARED).alias("shared")
-    turns = turns.select(
-        "conv_id", "chars", F.row_number().over(in_order).alias("place"), shared,
+    return turns.select(
+        "conv_id", "chars", F.row_number().over(in_order).alias("place"),
+        (F.crc32(F.col("conv_id").cast("string").cast("binary")) % SHARED).alias("shared"),
         # Role and text as one digest; the role's length keeps ("ab", "c") and ("a", "bc") apart.
         F.sha2(F.concat_ws(":", F.char_length("role"), "role", "digest"), 256).alias("digest"),
     )
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """(conv_id, depth, size, chars, d1, d2, p1, p2), one row per prefix of a rebuilt conversation.
+
+    `turns` is a stored copy of `ordered_turns`, which is read three times. size is the
+    number of a conversation's turns, chars the code points of the prefix's last text, (d1,
+    d2) the digest of the prefix and (p1, p2) that of the prefix before. Depth 0 is the
+    prefix without turns, which every conversation has. The base of a conversation is
+    conv_id - conv_id % GROUP, truncated towards zero, as in SQL.
+    """
     own = turns.filter("place > shared").select("conv_id", F.lit(2).alias("part"), "place", "digest", "chars")
     # Only a base's first turns are ever shared: at most SHARED - 1 rows of every hundredth conversation.
     heads = turns.filter((F.col("conv_id") % GROUP == 0) & (F.col("place") < SHARED))
@@ -263,7 +270,9 @@ def nodes(conversations: DataFrame, width: int | None = None) -> DataFrame:
     power of two; by default twice the number of prefixes or more, at most MOST_WIDTH.
     """
     spark = conversations.sparkSession
-    prefixes = staged(rebuilt(conversations), "prefixes")
+    turns = staged(ordered_turns(conversations), "turns")
+    prefixes = staged(rebuilt(turns), "prefixes")
+    discard(turns)
     total = prefixes.count()
     width = width or min(MOST_WIDTH, max(_SLICE, 1 << (2 * total).bit_length()))
     rows = staged(_marked(prefixes, sketch(prefixes, width)), "marked")
