@@ -189,7 +189,11 @@ def load_table(
     check_parents: bool = True,
 ) -> LoadResult:
     """Split landing rows into accepted rows and rejects under an error policy."""
-    checked = check_table(text, table, steps, parents, order, existing, check_parents)
+    return settle(check_table(text, table, steps, parents, order, existing, check_parents), table, policy, order)
+
+
+def settle(checked: DataFrame, table: TableSpec, policy: ErrorPolicy, order: Sequence[str] = ()) -> LoadResult:
+    """The outcome of a checked table under a policy."""
     # Compared as a tuple, so a row without a key has its place as well.
     place = [*(order or table.primary_key), PLACE]
     end = load_end(checked, policy, place)

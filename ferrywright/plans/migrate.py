@@ -8,9 +8,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrywright.operators.checks import REASONS, mark_places
+from ferrywright.operators.closure import circles, references, unsupported
 from ferrywright.operators.policy import ErrorPolicy
 from ferrywright.operators.report import union_all
-from ferrywright.plans.load import Transforms, load_table
+from ferrywright.plans.load import PLACE, LoadResult, Transforms, check_table, load_table, settle
 from ferrywright.session import stage
 from ferrywright.sources.landing import CsvLayout, read_table
 from ferrywright.spec import TableSpec
@@ -28,22 +30,53 @@ def migrate_tables(
 
     `read` delivers the text columns of a table, `write` stores its accepted rows. The
     rows accepted before are the parents later tables may refer to, so the children of a
-    refused row are refused as well.
+    refused row are refused as well. Tables that refer to each other in a circle are
+    checked one by one and then lose, all together, the rows whose parents are not among
+    those that stay.
     """
     parents: dict[str, DataFrame] = {}
     counts = []
     if getattr(read, "typed", False):
         # Values that never were text have no marker for NULL.
         steps = replace(steps, null_marker=None)
-    for table in by_reference(tables):
-        result = load_table(read(table), table, steps, policy, parents)
-        write(result.accepted, table)
-        write_rejects(result.rejects, table)
-        counts.append(stage(result.counts, "counts"))
-        parents[table.full_name] = result.accepted
+    for group in circles(list(tables)):
+        for table, result in _load_group(group, read, steps, policy, parents):
+            write(result.accepted, table)
+            write_rejects(result.rejects, table)
+            counts.append(stage(result.counts, "counts"))
+            parents[table.full_name] = result.accepted
     return union_all(counts)
 
 
+def _load_group(
+    group: list[TableSpec],
+    read: Callable[[TableSpec], DataFrame],
+    steps: Transforms,
+    policy: ErrorPolicy,
+    parents: dict[str, DataFrame],
+) -> list[tuple[TableSpec, LoadResult]]:
+    if len(group) == 1:
+        return [(group[0], load_table(read(group[0]), group[0], steps, policy, parents))]
+    inner = references(group)
+    checked = {}
+    for table in group:
+        name = table.full_name.lower()
+        own = {r.number for r in inner if r.child == name}
+        outer = replace(table, foreign_keys=tuple(fk for i, fk in enumerate(table.foreign_keys) if i not in own))
+        checked[name] = stage(check_table(read(table), outer, steps, parents), "checked")
+    refused = unsupported(group, {name: rows.filter(F.size(REASONS) == 0) for name, rows in checked.items()})
+    out = []
+    for table in group:
+        name = table.full_name.lower()
+        rows = checked[name]
+        for r in inner:
+            if r.child == name:
+                places = refused[name].filter(F.col("_number") == r.number).select(PLACE)
+                rows = mark_places(rows, places, PLACE, r.key)
+        out.append((table, settle(rows, table, policy)))
+    return out
+
+
 def by_reference(tables: Iterable[TableSpec]) -> list[TableSpec]:
     """The tables, each after those it refers to; a circle of references is an error."""
     waiting, out = list(tables), []

@@ -55,6 +55,8 @@ class CsvLayout:
         }
         if self.line_sep and not self.multi_line:
             options["lineSep"] = self.line_sep
+        elif self.line_sep not in (None, "\n", "\r\n", "\r"):
+            raise ValueError("a line separator of its own needs multi_line=False")
         return options
 
 
@@ -77,11 +79,7 @@ def read_landing(
     names = list(columns)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = spark.read.schema(schema).options(**layout.read_options()).csv(path)
-    good = F.col(CORRUPT).isNull()
-    out = [
-        F.when(good, V.marker_to_null(F.coalesce(F.col(_tick(n)), F.lit("")), layout.marker_of(n))).alias(n)
-        for n in names
-    ]
+    out = texts_of(names, layout)
     # The NULL half keeps a value column in the scan: Spark refuses to read only `_corrupt`.
     first = F.col(_tick(names[0]))
     out.append(F.coalesce(F.col(CORRUPT), F.nullif(first, first)).alias(CORRUPT))
@@ -94,6 +92,15 @@ def read_landing(
     return raw.select(*out)
 
 
+def texts_of(names: Iterable[str], layout: CsvLayout) -> list[Column]:
+    """The parsed fields as they are to be seen: the marker is NULL, an empty field is empty."""
+    good = F.col(CORRUPT).isNull()
+    return [
+        F.when(good, V.marker_to_null(F.coalesce(F.col(_tick(n)), F.lit("")), layout.marker_of(n))).alias(n)
+        for n in names
+    ]
+
+
 def read_table(
     spark: SparkSession, folder: str, table: TableSpec, layout: CsvLayout = CsvLayout(), position: bool = False
 ) -> DataFrame:

@@ -9,8 +9,9 @@ from ferrywright.functions import values as V
 from ferrywright.operators import checks as C
 from ferrywright.operators import policy as P
 from ferrywright.operators import report as R
+from ferrywright.operators.closure import PLACE, cascade_closure
 from ferrywright.plans.load import Transforms, check_table, load_table
-from ferrywright.plans.migrate import from_landing, migrate_tables
+from ferrywright.plans.migrate import from_landing, from_tables, migrate_tables
 from ferrywright.session import scratch_path, stage
 from ferrywright.sinks.files import write_csv, write_rejects, write_report
 from ferrywright.sinks.tables import write_lake_table
@@ -192,6 +193,106 @@ def migrate(t: Tables) -> DataFrame:
     )
 
 
+# --- circles and cascades ---------------------------------------------------------------
+
+CIRCLE = (
+    TableSpec(
+        "shop",
+        "customer",
+        (
+            ColumnSpec("c_custkey", "NUMBER", precision=18),
+            ColumnSpec("c_mktsegment", "VARCHAR2", length=9),
+            ColumnSpec("favourite", "NUMBER", precision=18),
+        ),
+        primary_key=("c_custkey",),
+        foreign_keys=(ForeignKey(("favourite",), "ORDERS", ("o_orderkey",)),),
+    ),
+    TableSpec(
+        "shop",
+        "orders",
+        (
+            ColumnSpec("o_orderkey", "NUMBER", precision=18),
+            ColumnSpec("o_custkey", "NUMBER", precision=18),
+            ColumnSpec("o_orderpriority", "VARCHAR2", length=14),
+        ),
+        primary_key=("o_orderkey",),
+        foreign_keys=(ForeignKey(("o_custkey",), "shop.customer", ("c_custkey",)),),
+    ),
+)
+# Four of five customers have a favourite order, which need not be one of their own.
+_FAVOURITE = "CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 7 END"
+
+
+@query(
+    "fk_circle",
+    f"""WITH RECURSIVE c AS (SELECT c_custkey, {_FAVOURITE} AS favourite, length(c_mktsegment) > 9 AS bad FROM customer),
+        o AS (SELECT o_orderkey, o_custkey, length(o_orderpriority) > 14 AS bad FROM orders),
+        edges AS (SELECT 'customer' AS kind, c_custkey AS id, 'orders' AS above, favourite AS parent FROM c
+                  UNION ALL SELECT 'orders', o_orderkey, 'customer', o_custkey FROM o),
+        gone AS (
+          SELECT 'customer' AS kind, c_custkey AS id FROM c
+          WHERE bad OR favourite IS NOT NULL AND favourite NOT IN (SELECT o_orderkey FROM o)
+          UNION ALL SELECT 'orders', o_orderkey FROM o WHERE bad OR o_custkey NOT IN (SELECT c_custkey FROM c)),
+        spread AS (SELECT * FROM gone UNION SELECT e.kind, e.id FROM spread s JOIN edges e ON e.above = s.kind AND e.parent = s.id)
+        SELECT 'shop' AS "schema", kind AS "table", n AS expected, n - lost AS actual, lost AS skipped, lost AS errors
+        FROM (SELECT kind, count(*) AS lost FROM spread GROUP BY kind)
+        JOIN (SELECT 'customer' AS kind, count(*) AS n FROM c UNION ALL SELECT 'orders', count(*) FROM o) USING (kind)""",
+)
+def fk_circle(t: Tables) -> DataFrame:
+    root = scratch_path(t.spark, "circle")
+    landed = {
+        "customer": t.customer.select("c_custkey", "c_mktsegment", F.expr(_FAVOURITE).alias("favourite")),
+        "orders": t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"),
+    }
+    return migrate_tables(
+        CIRCLE,
+        from_tables(lambda table: landed[table.name]),
+        lambda rows, table: write_lake_table(rows, f"{root}/out/{table.full_name}"),
+        lambda rows, table: write_rejects(rows, f"{root}/rejects/{table.full_name}"),
+        policy=P.ErrorPolicy("skip_row"),
+    )
+
+
+_TREE = (
+    TableSpec("shop", "nation", (ColumnSpec("n_nationkey", "INT"),)),
+    TableSpec(
+        "shop", "customer", (ColumnSpec("c_custkey", "INT"),),
+        foreign_keys=(ForeignKey(("c_nationkey",), "nation", ("n_nationkey",), "CASCADE"), ForeignKey(("favourite",), "orders", ("o_orderkey",), "SET NULL")),
+    ),
+    TableSpec("shop", "orders", (ColumnSpec("o_orderkey", "INT"),), foreign_keys=(ForeignKey(("o_custkey",), "customer", ("c_custkey",), "CASCADE"),)),
+    TableSpec("shop", "lineitem", (ColumnSpec("l_orderkey", "INT"),), foreign_keys=(ForeignKey(("l_orderkey",), "orders", ("o_orderkey",)),)),
+)
+
+
+@query(
+    "cascade_closure",
+    f"""WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 2),
+             c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)),
+             o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+        SELECT 'nation' AS "table", 'deleted' AS effect, count(*) AS n FROM n
+        UNION ALL SELECT 'customer', 'deleted', count(*) FROM c
+        UNION ALL SELECT 'orders', 'deleted', count(*) FROM o
+        UNION ALL SELECT 'customer', 'cleared', count(*) FROM customer
+                  WHERE {_FAVOURITE} IN (SELECT o_orderkey FROM o) AND c_custkey NOT IN (SELECT c_custkey FROM c)
+        UNION ALL SELECT 'lineitem', 'forbidding', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""",
+)
+def cascade(t: Tables) -> DataFrame:
+    rows = {
+        "shop.nation": t.nation,
+        "shop.customer": t.customer.withColumn("favourite", F.expr(_FAVOURITE)),
+        "shop.orders": t.orders,
+        "shop.lineitem": t.lineitem.select("l_orderkey"),
+    }
+    rows = {name: stage(frame.withColumn(PLACE, F.monotonically_increasing_id())) for name, frame in rows.items()}
+    effects = cascade_closure(_TREE, rows, {"shop.nation": rows["shop.nation"].filter("n_regionkey = 2")})
+    found = [
+        frame.select(F.lit(name.split(".")[1]).alias("table"), F.lit(kind).alias("effect"))
+        for name, e in effects.items()
+        for kind, frame in (("deleted", e.deleted), ("cleared", e.cleared), ("forbidding", e.forbidding))
+    ]
+    return R.union_all(found).groupBy("table", "effect").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- error policies -------------------------------------------------------------------
 
 PRICED = TableSpec("tpch", "orders", ORDERS.columns[:5], primary_key=("o_orderkey",))

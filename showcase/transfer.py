@@ -19,6 +19,7 @@ from ferrywright.sources import jdbc
 from ferrywright.sources import landing as L
 from ferrywright.sources.paging import keyset_page
 from ferrywright.sources.selection import TableSelection
+from ferrywright.sources.split_csv import read_landing_split
 from ferrywright.spec import ColumnSpec, TableSpec
 from ferrywright.streaming.landing_stream import ingest_new_files, read_ingested
 from showcase.registry import Tables, query
@@ -82,6 +83,24 @@ def csv_roundtrip(t: Tables) -> DataFrame:
     return L.split_malformed(L.read_landing(t.spark, path, rows.columns))[0]
 
 
+@query(
+    "csv_split_multiline",
+    r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS lang,
+               CASE WHEN lang = 'fr' THEN '' ELSE source END AS source FROM documents""",
+)
+def csv_split_multiline(t: Tables) -> DataFrame:
+    """The rows of `csv_roundtrip` from one large file, which several tasks read."""
+    rows = t.documents.select(
+        "doc_id",
+        "text",
+        V.null_if(F.col("lang"), ["en"]).alias("lang"),
+        F.when(F.col("lang") == "fr", "").otherwise(F.col("source")).alias("source"),
+    )
+    path = f"{scratch_path(t.spark, 'csv')}/tpch.documents.csv"
+    write_csv(rows.coalesce(1), path)
+    return L.split_malformed(read_landing_split(t.spark, path, rows.columns))[0]
+
+
 @query(
     "csv_layout_roundtrip",
     """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, strftime(o_orderdate, '%Y%m%d%H%M%S') AS o_orderdate,
