@@ -364,12 +364,9 @@ class TypeRules:
 
 
 def _fill(target: str, c: ColumnSpec) -> str:
-    """Put length, precision and scale in place of %l, %p and %s."""
-    if c.length > 0:
-        target = target.replace("%l", str(c.length))
-    else:
-        target = target.replace("(%l)", "").replace("%l", "")
-    return target.replace("%p", str(c.precision)).replace("%s", str(c.scale))
+    """Put length, precision and scale in place of %l, %p and %s; a length that is not given leaves no brackets."""
+    given = {"%l": str(c.length) if c.length > 0 else "", "(%l)": f"({c.length})" if c.length > 0 else "", "%p": str(c.precision), "%s": str(c.scale)}
+    return re.sub(r"\(%l\)|%[lps]", lambda found: given[found[0]], target)
 
 
 def split_type(text: str) -> tuple[str, list[int]]:

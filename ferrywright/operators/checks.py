@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ferrywright.dialects import column_type
 from ferrywright.functions import values as V
 from ferrywright.functions.predicates import all_present, conjunction, disjunction
-from ferrywright.operators.conform import conform_value
+from ferrywright.operators.conform import conform_value, target_refuses
 from ferrywright.operators.keyed import HOT_ROWS, attach_facts
 from ferrywright.sources.landing import CORRUPT
 from ferrywright.spec import ColumnSpec, ForeignKey, LogicalType, TableSpec, spark_type
@@ -129,11 +129,13 @@ def collect_reasons(tests: Sequence[tuple[Column, Column]]) -> Column:
     return F.when(any_bad, F.concat(*found).cast(REASON_TYPE)).otherwise(no_reasons())
 
 
-def check_rows(df: DataFrame, table: TableSpec, extra: Sequence[str] = ()) -> DataFrame:
+def check_rows(df: DataFrame, table: TableSpec, extra: Sequence[str] = (), target: str | None = None) -> DataFrame:
     """Typed columns plus `reasons`; no shuffle. A column of the primary key is required.
 
     Text is parsed, and columns that have a type already are cast to the declared one.
 
+    With a `target`, values that its types cannot hold are reasons as well.
+
     Values are cast in a first projection and tested in a second, so no cast is repeated
     by the tests. The optimizer keeps the two apart because the casts are used twice.
     """
@@ -157,6 +159,9 @@ def check_rows(df: DataFrame, table: TableSpec, extra: Sequence[str] = ()) -> Da
             # The cast cuts a fraction off; text with one is refused as well.
             cut = F.col(f"_typed{i}").isNotNull() & (F.col(c.name) % 1 != 0)
             tests.append((cut, reason("PRECISION", c.name, value)))
+        if target:
+            refused = target_refuses(F.col(f"_typed{i}"), lt, target, not c.nullable or c.name.lower() in keyed)
+            tests.append((refused, reason("TARGET", c.name, value)))
     # A misshapen row has no values to test.
     misshapen = F.array(reason("CSV_SHAPE", "", F.col("_shape"))).cast(REASON_TYPE)
     reasons = F.when(F.col("_shape").isNotNull(), misshapen).otherwise(collect_reasons(tests)).alias(REASONS)

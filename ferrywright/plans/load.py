@@ -13,6 +13,7 @@ from ferrywright.dialects import column_type, takes_numeric_booleans
 from ferrywright.functions import values as V
 from ferrywright.functions.predicates import all_present, conjunction
 from ferrywright.operators import checks
+from ferrywright.operators.conform import for_target
 from ferrywright.operators.policy import ErrorPolicy, counts_until, load_end, rows_met
 from ferrywright.operators.report import union_all
 from ferrywright.session import stage
@@ -34,6 +35,7 @@ class Transforms:
     truncate_datetimes: bool = False
     boolean_words: Mapping[str, bool] = field(default_factory=dict)
     empty_is_null: bool = False
+    # Where the rows go: what it cannot hold is refused, the rest is stored in its types.
     target: str = "postgres"
 
     def apply(self, c: Column, column: ColumnSpec, table: TableSpec) -> Column:
@@ -85,10 +87,13 @@ PLACE = "_place"
 
 @dataclass(frozen=True)
 class LoadResult:
+    """`accepted` has the declared types, in which keys are compared, `stored` the same rows as the target stores them."""
+
     checked: DataFrame
     accepted: DataFrame
     rejects: DataFrame
     counts: DataFrame
+    stored: DataFrame
 
 
 def transform(df: DataFrame, table: TableSpec, steps: Transforms) -> DataFrame:
@@ -123,7 +128,7 @@ def check_table(
     `check_parents` says that it is not to be checked.
     """
     extra = [c for c in order if c.lower() not in {x.name.lower() for x in table.columns}]
-    rows = checks.check_rows(transform(text, table, steps), table, extra)
+    rows = checks.check_rows(transform(text, table, steps), table, extra, steps.target)
     rows = stage(rows.withColumn(PLACE, F.monotonically_increasing_id()), "checked")
     to_itself = []
     given = {table.resolve(name): parent for name, parent in (parents or {}).items()}
@@ -189,19 +194,23 @@ def load_table(
     check_parents: bool = True,
 ) -> LoadResult:
     """Split landing rows into accepted rows and rejects under an error policy."""
-    return settle(check_table(text, table, steps, parents, order, existing, check_parents), table, policy, order)
+    return settle(check_table(text, table, steps, parents, order, existing, check_parents), table, policy, order, steps.target)
 
 
-def settle(checked: DataFrame, table: TableSpec, policy: ErrorPolicy, order: Sequence[str] = ()) -> LoadResult:
+def settle(
+    checked: DataFrame, table: TableSpec, policy: ErrorPolicy, order: Sequence[str] = (), target: str = "postgres"
+) -> LoadResult:
     """The outcome of a checked table under a policy."""
     # Compared as a tuple, so a row without a key has its place as well.
     place = [*(order or table.primary_key), PLACE]
     end = load_end(checked, policy, place)
     seen = rows_met(checked, place, end)
     names = [c.name for c in table.ordered()]
+    accepted = checks.accepted(seen).select(*names)
     return LoadResult(
         checked=checked,
-        accepted=checks.accepted(seen).select(*names),
+        accepted=accepted,
+        stored=for_target(accepted, table, target),
         rejects=checks.rejects(seen, table.primary_key or order or [PLACE], table),
         counts=counts_until(checked, policy, place, end, table.schema, table.name),
     )

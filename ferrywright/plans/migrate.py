@@ -15,6 +15,7 @@ from ferrywright.operators.report import union_all
 from ferrywright.plans.load import PLACE, LoadResult, Transforms, check_table, load_table, settle
 from ferrywright.session import stage
 from ferrywright.sources.landing import CsvLayout, read_table
+from ferrywright.sources.selection import TableSelection
 from ferrywright.spec import TableSpec
 
 
@@ -25,10 +26,12 @@ def migrate_tables(
     write_rejects: Callable[[DataFrame, TableSpec], None],
     steps: Transforms = Transforms(),
     policy: ErrorPolicy = ErrorPolicy(),
+    selection: TableSelection = TableSelection(),
 ) -> DataFrame:
-    """Load tables one after the other, referenced tables first; returns their counts.
+    """Load the selected tables one after the other, referenced tables first; returns their counts.
 
-    `read` delivers the text columns of a table, `write` stores its accepted rows. The
+    `read` delivers the text columns of a table, `write` stores its accepted rows in the
+    types of `steps.target`. A selected table needs the tables it refers to. The
     rows accepted before are the parents later tables may refer to, so the children of a
     refused row are refused as well. Tables that refer to each other in a circle are
     checked one by one and then lose, all together, the rows whose parents are not among
@@ -39,9 +42,9 @@ def migrate_tables(
     if getattr(read, "typed", False):
         # Values that never were text have no marker for NULL.
         steps = replace(steps, null_marker=None)
-    for group in circles(list(tables)):
+    for group in circles([t for t in tables if selection.chooses(t.schema, t.name)]):
         for table, result in _load_group(group, read, steps, policy, parents):
-            write(result.accepted, table)
+            write(result.stored, table)
             write_rejects(result.rejects, table)
             counts.append(stage(result.counts, "counts"))
             parents[table.full_name] = result.accepted
@@ -73,7 +76,7 @@ def _load_group(
             if r.child == name:
                 places = refused[name].filter(F.col("_number") == r.number).select(PLACE)
                 rows = mark_places(rows, places, PLACE, r.key)
-        out.append((table, settle(rows, table, policy)))
+        out.append((table, settle(rows, table, policy, target=steps.target)))
     return out
 
 

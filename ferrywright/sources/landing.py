@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -136,6 +137,15 @@ def split_landing_name(path: Column) -> tuple[Column, Column]:
     return F.regexp_extract(path, _NAME, 1), F.regexp_extract(path, _NAME, 2)
 
 
+def landed_tables(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(schema, table) of the landing files of a folder, by their names alone."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in place.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(place)]
+    found = [re.search(_NAME, f"/{n}") for n in names]
+    return sorted((m[1], m[2]) for m in found if m)
+
+
 def landing_rows(spark: SparkSession, folder: str, layout: CsvLayout = CsvLayout()) -> DataFrame:
     """All records of all landing tables in one scan, tagged with schema and table.
 

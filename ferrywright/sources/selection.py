@@ -38,6 +38,22 @@ class TableSelection:
         )
         return included & ~excluded
 
+    def chooses(self, schema: str, table: str) -> bool:
+        """The same for one name, where a run decides which tables to read at all."""
+        full = f"{schema}.{table}"
+
+        def like(patterns: tuple[str, ...]) -> bool:
+            return any(re.search(glob_regex(g), n) for g in patterns for n in (table, full))
+
+        if self.include and "*" not in self.include and not like(self.include):
+            return False
+        return not (
+            like(self.exclude_glob)
+            or any(re.search(r, n) for r in self.exclude_regex for n in (table, full))
+            or schema.lower() in {s.lower() for s in self.exclude_schemas}
+            or full.lower() in {t.lower() for t in self.exclude_tables}
+        )
+
 
 def scope_selection(scope: str) -> TableSelection:
     """`schema:NAME`, `table:NAME`, `table:SCHEMA.NAME` or nothing for everything."""

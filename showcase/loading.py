@@ -193,6 +193,62 @@ def migrate(t: Tables) -> DataFrame:
     )
 
 
+# --- targets ---------------------------------------------------------------------------
+
+WIDE = TableSpec(
+    "tpch",
+    "orders",
+    (
+        ColumnSpec("o_orderkey", "BIGINT"),
+        ColumnSpec("is_final", "BOOLEAN"),
+        ColumnSpec("big", "NUMERIC", precision=30),
+        ColumnSpec("note", "VARCHAR", length=20),
+        ColumnSpec("remark", "VARCHAR", length=20, nullable=False),
+    ),
+    dialect="postgres",
+    primary_key=("o_orderkey",),
+)
+
+
+def wide_orders(t: Tables) -> DataFrame:
+    """Landed orders with numbers of up to 20 digits and empty texts."""
+    big = (F.round(F.col("o_totalprice") * 100).cast("decimal(12,0)") * F.lit(10**12).cast("decimal(13,0)")).cast("string")
+    empty = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority"))
+    return t.orders.select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"), (F.col("o_orderstatus") == "F").cast("string").alias("is_final"),
+        big.alias("big"), empty.alias("note"), F.when(F.col("o_totalprice") < 2000, "").otherwise("ok").alias("remark"),
+    )
+
+
+@query(
+    "load_to_oracle",
+    """SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS is_final, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS note,
+              NULL AS reason, NULL AS "column" FROM orders WHERE o_totalprice >= 2000
+       UNION ALL SELECT o_orderkey, NULL, NULL, 'TARGET', 'remark' FROM orders WHERE o_totalprice < 2000""",
+)
+def load_to_oracle(t: Tables) -> DataFrame:
+    # Oracle stores an empty text as NULL, which `remark` does not allow.
+    result = load_table(wide_orders(t), WIDE, Transforms(target="oracle"))
+    none = F.lit(None).cast("string")
+    stored = result.stored.select("o_orderkey", F.col("is_final").cast("int").alias("is_final"), "note", none.alias("reason"), none.alias("column"))
+    refused = result.rejects.select(F.col("row_key").cast("bigint"), none.cast("int"), none, "reason", "column")
+    return stored.union(refused)
+
+
+@query(
+    "load_to_duckdb",
+    """WITH o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS HUGEINT) * 1000000000000 AS big FROM orders)
+       SELECT o_orderkey, CAST(big AS VARCHAR) AS big, NULL AS reason FROM o WHERE big <= 9223372036854775807
+       UNION ALL SELECT o_orderkey, CAST(big AS VARCHAR), 'TARGET' FROM o WHERE big > 9223372036854775807""",
+)
+def load_to_duckdb(t: Tables) -> DataFrame:
+    # Unscaled numbers become BIGINT there.
+    result = load_table(wide_orders(t), WIDE, Transforms(target="duckdb"))
+    assert result.stored.schema["big"].dataType.simpleString() == "bigint"
+    stored = result.stored.select("o_orderkey", F.col("big").cast("string").alias("big"), F.lit(None).cast("string").alias("reason"))
+    return stored.union(result.rejects.select(F.col("row_key").cast("bigint"), "value", "reason"))
+
+
 # --- circles and cascades ---------------------------------------------------------------
 
 CIRCLE = (

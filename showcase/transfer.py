@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ferrywright.functions import values as V
 from ferrywright.operators.reconcile import remaining_rows
-from ferrywright.plans.convert import convert_table
+from ferrywright.operators.report import union_all
+from ferrywright.plans.convert import convert_folder, convert_table
 from ferrywright.plans.load import Transforms
 from ferrywright.session import is_local, scratch_path
 from ferrywright.sinks.files import write_csv
@@ -203,6 +204,25 @@ def convert_csv(t: Tables) -> DataFrame:
     return L.split_malformed(L.read_landing(t.spark, path, t.documents.columns, layout))[0]
 
 
+@query(
+    "convert_folder",
+    """SELECT 'tpch.nation' AS "table", CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_name <> 'NATION_3' THEN n_name END AS name FROM nation
+       UNION ALL SELECT 'tpch.region', CAST(r_regionkey AS VARCHAR), r_name FROM region""",
+)
+def convert_folder_query(t: Tables) -> DataFrame:
+    """Two of five landed tables, with a value that stands for NULL."""
+    source, target = land(t), scratch_path(t.spark, "converted")
+    chosen = TableSelection(include=("tpch.*",), exclude_tables=("TPCH.customer",), exclude_regex=("^doc",))
+    done = convert_folder(t.spark, source, target, chosen, steps=Transforms(null_if=("NATION_3",)))
+    parts = []
+    for name, path in done.items():
+        columns = L.read_header(t.spark, path)
+        rows = L.split_malformed(L.read_landing(t.spark, path, columns))[0]
+        key, label = [F.col(c) for c in columns if c.endswith(("key", "name"))][:2]
+        parts.append(rows.select(F.lit(name).alias("table"), key.alias("key"), label.alias("name")))
+    return union_all(parts)
+
+
 @query("convert_sql", "SELECT count(*) // 100 + CAST(count(*) % 100 > 0 AS INT) AS inserts, count(*) AS rows FROM orders")
 def convert_sql(t: Tables) -> DataFrame:
     source, target = scratch_path(t.spark, "offline"), scratch_path(t.spark, "converted")

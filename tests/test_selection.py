@@ -48,3 +48,16 @@ def test_selection(spark, selection, schema, table, expected):
 def test_landing_names(spark, path, expected):
     schema, table = split_landing_name(F.col("p"))
     assert tuple(spark.createDataFrame([(path,)], "p string").select(schema, table).first()) == expected
+
+
+def test_one_name_is_chosen_like_a_row_of_names(spark):
+    names = [("HR", "EMP"), ("HR", "emp_old"), ("web", "logs.events"), ("Web", "x"), ("S", "a[1]")]
+    choices = [
+        TableSelection(), TableSelection(include=()), TableSelection(include=("HR.*", "x")), TableSelection(exclude_glob=("emp*", "web.*")),
+        TableSelection(exclude_regex=("^lo", "EMP$")), TableSelection(exclude_schemas=("WEB",)), TableSelection(exclude_tables=("hr.EMP", "s.A[1]")),
+        TableSelection(include=("a?1?", "*.EMP"), exclude_schemas=("hr",)),
+    ]
+    rows = spark.createDataFrame(names, "schema string, table string")
+    for choice in choices:
+        chosen = rows.filter(choice.predicate(F.col("schema"), F.col("table"))).collect()
+        assert [n for n in names if choice.chooses(*n)] == [tuple(r) for r in chosen]
