@@ -26,23 +26,19 @@ from ferrywright.llm.common import SPACES, fresh, numbered, settled, staged, wor
 from ferrywright.session import discard
 
 SIMILARITY = 0.8
-# Lines with fewer different words are not compared by `line_matches` and stay; its SQL says the same.
-LEAST_WORDS = 5
-# `drop_matching_lines` compares every line that has a word.
-ANY_WORDS = 1
 # Counters of words; a word's rarity is that of its counter, the order of rare words is refined by their length.
 COUNTERS = 1 << 16
 # Broadcast no more lines than this when candidates are looked up.
 MOST_BROADCAST = 500_000
 
 
-def document_lines(rows: DataFrame, row: str, id_col: str, text: str, least: int = LEAST_WORDS) -> DataFrame:
-    """Columns id, row, line_no and codes, those of the different words of each line that is compared."""
+def document_lines(rows: DataFrame, row: str, id_col: str, text: str) -> DataFrame:
+    """Columns id, row, line_no and codes, those of the different words of each line that has words."""
     lines = rows.select(
         F.col(id_col).alias("id"), F.col(row).alias("row"), F.posexplode(F.split(F.col(text).cast("string"), "\n"))
     )
     lines = lines.withColumn("codes", line_codes(F.col("col")))
-    return lines.filter(F.size("codes") >= least).select("id", "row", F.col("pos").alias("line_no"), "codes")
+    return lines.filter(F.size("codes") > 0).select("id", "row", F.col("pos").alias("line_no"), "codes")
 
 
 def _code(word: Column) -> Column:
@@ -114,14 +110,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, t: float)
     return out
 
 
-def kept_lines(
-    rows: DataFrame, row: str, id_col: str, text: str, t: float = SIMILARITY, least: int = LEAST_WORDS
-) -> DataFrame:
-    """Columns (row, line_no) of compared lines without a match among the earlier ones.
+def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIMILARITY) -> DataFrame:
+    """Columns (row, line_no) of lines with words, but without a match among the earlier ones.
 
     Lines are ordered by id, then by row, then by their place; where `row` is the id, it is the whole order.
     """
-    lines = document_lines(rows, row, id_col, text, least)
+    lines = document_lines(rows, row, id_col, text)
     classes = word_classes(rows, text)
     sized = lines.withColumn("keys", F.sort_array(F.transform("codes", lambda c: _key(c, classes)))).withColumn("n", F.size("keys"))
     one, low = F.lit(1).cast("long"), F.lit(63).cast("long")
@@ -174,8 +168,8 @@ def _settled_early(first: DataFrame, rows: DataFrame, row: str, text: str, order
     return out
 
 
-def _reviewed(docs: DataFrame, id_col: str, text: str, t: float, least: int) -> tuple[DataFrame, str]:
-    """`docs` with the numbers of those of their compared lines that stay, and that column's name."""
+def _reviewed(docs: DataFrame, id_col: str, text: str, t: float) -> tuple[DataFrame, str]:
+    """`docs` with the numbers of those of their lines with words that stay, and that column's name."""
     docs = settled(docs)
     row, kept = fresh(docs, "_row", "_kept")
     ids = docs.select(F.col(id_col).alias("id"))
@@ -185,14 +179,14 @@ def _reviewed(docs: DataFrame, id_col: str, text: str, t: float, least: int) ->
         row, rows = id_col, docs
     else:
         rows = numbered(docs, row)
-    by_row = kept_lines(rows, row, id_col, text, t, least).groupBy("row").agg(F.collect_list("line_no").alias(kept))
+    by_row = kept_lines(rows, row, id_col, text, t).groupBy("row").agg(F.collect_list("line_no").alias(kept))
     return rows.join(by_row.withColumnRenamed("row", row), row, "left"), kept
 
 
-def _removed(text: Column, kept: Column, least: int) -> Column:
+def _removed(text: Column, kept: Column) -> Column:
     """The numbers of removed lines of a text, in order."""
     compared = F.transform(
-        F.split(text, "\n"), lambda line, i: F.when(F.size(line_codes(line)) >= least, i)
+        F.split(text, "\n"), lambda line, i: F.when(F.size(words_of(line)) > 0, i)
     )
     numbers = F.filter(compared, lambda i: i.isNotNull())
     return F.coalesce(F.array_except(numbers, F.coalesce(kept, F.array().cast("array<int>"))), F.array().cast("array<int>"))
@@ -201,25 +195,25 @@ def _removed(text: Column, kept: Column, least: int) -> Column:
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: float = SIMILARITY) -> DataFrame:
     """Per row of `docs`: its id, n_lines, n_removed, and removed, the numbers of the removed lines joined by commas.
 
-    Lines with fewer than LEAST_WORDS different words stay. Null and empty texts have no line
+    Every line with a word is compared, however short; lines without words stay. Null and empty texts have no line
     with words. Rows that repeat match each other, the first in the table stays. A null id
     comes before all others. An empty table gives no rows.
     """
-    rows, kept = _reviewed(docs, id_col, text, t, LEAST_WORDS)
+    rows, kept = _reviewed(docs, id_col, text, t)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = rows.select(F.col(id_col), F.size(F.split(body, "\n")).alias("n_lines"), _removed(body, F.col(kept), LEAST_WORDS).alias("gone"))
+    out = rows.select(F.col(id_col), F.size(F.split(body, "\n")).alias("n_lines"), _removed(body, F.col(kept)).alias("gone"))
     return out.select(id_col, "n_lines", F.size("gone").alias("n_removed"), F.array_join("gone", ",").alias("removed"))
 
 
 def drop_matching_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: float = SIMILARITY) -> DataFrame:
     """`docs` without the lines that match an earlier one; null texts stay null.
 
-    As `line_matches` says, but every line with a word is compared, however short.
+    As `line_matches` says.
     """
-    rows, kept = _reviewed(docs, id_col, text, t, ANY_WORDS)
+    rows, kept = _reviewed(docs, id_col, text, t)
     body = F.col(text).cast("string")
     (gone,) = fresh(rows, "_gone")
-    rows = rows.withColumn(gone, _removed(body, F.col(kept), ANY_WORDS))
+    rows = rows.withColumn(gone, _removed(body, F.col(kept)))
     stay = F.filter(F.split(body, "\n"), lambda line, i: ~F.array_contains(F.col(gone), i))
     cleaned = F.when(F.size(gone) > 0, F.array_join(stay, "\n")).otherwise(body)
     return rows.withColumn(text, cleaned).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -231,7 +225,7 @@ l AS (
   SELECT doc_id, i - 1 AS line_no, list_distinct(list_filter(
     regexp_split_to_array(ls[i], '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS ws
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d))),
-c AS (SELECT doc_id, line_no, len(ws) AS n, ws FROM l WHERE len(ws) >= {LEAST_WORDS}),
+c AS (SELECT doc_id, line_no, len(ws) AS n, ws FROM l WHERE len(ws) > 0),
 w AS (SELECT doc_id, line_no, n, unnest(ws) AS w FROM c),
 f AS (SELECT w, count(*) AS f FROM w GROUP BY w),
 p AS (
