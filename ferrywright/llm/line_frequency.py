@@ -1,7 +1,7 @@
 """Quality rules over lines: those that many documents of a host share are no content.
 
 Lines are normalised (lower case, runs of white space and digits made equal) and hashed.
-The distinct documents of a host that hold a line are counted; a line above both limits
+The distinct documents of a host that hold a line are counted; a line above the limit
 is removed, and a document of which too little stays is rejected. Counts are reduced
 before each shuffle, texts never move, and lines below the limit never meet a join twice.
 """
@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from ferrywright.llm.common import NOT_SPACE, fresh, numbered, settled, words_of
 from ferrywright.session import stage
 
-# A line is removed when more than this many documents of a host, and more than this share of them, hold it.
-MIN_DOCS = 20
-MIN_SHARE = 0.01
+# A line is removed when more than this many documents of a host hold it, however large the host is.
+MOST_DOCS = 20
 # A document is rejected when fewer words, or a smaller share of its words, stay.
 LEAST_WORDS = 10
 LEAST_SHARE = 0.5
@@ -90,20 +89,14 @@ def document_lines(docs: DataFrame, row: str, id_col: str, host: str, text: str)
     return lines.select("row", "id", "host", F.xxhash64("line").alias("hash"), F.size(words_of(F.col("line"))).alias("n"))
 
 
-def frequent_lines(
-    lines: DataFrame, hosts: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE
-) -> DataFrame:
-    """Columns (host, hash, n_docs) of the lines to remove; `hosts` has the documents of each host."""
-    counts = lines.groupBy("host", "hash").agg(F.count_distinct("id").alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    known = counts.join(hosts, counts["host"].eqNullSafe(hosts["host"])).filter(
-        F.col("n_docs") > F.lit(min_share) * F.col("host_docs")
-    )
-    return known.select(counts["host"], "hash", "n_docs")
+def frequent_lines(lines: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
+    """Columns (host, hash, n_docs) of the lines to remove."""
+    return lines.groupBy("host", "hash").agg(F.count_distinct("id").alias("n_docs")).filter(F.col("n_docs") > most_docs)
 
 
 def line_frequency(
     docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text",
-    min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
+    most_docs: int = MOST_DOCS,
 ) -> DataFrame:
     """`docs` without its text, with the base measures, n_removed_lines, n_removed_words and kept.
 
@@ -115,8 +108,7 @@ def line_frequency(
     (row,) = fresh(docs, "_row")
     rows = numbered(docs, row)
     lines = document_lines(rows, row, id_col, host, text)
-    sizes = docs.groupBy(F.col(host).alias("host")).agg(F.count_distinct(id_col).alias("host_docs"))
-    frequent = stage(frequent_lines(lines, sizes, min_docs, min_share), "frequent_lines")
+    frequent = stage(frequent_lines(lines, most_docs), "frequent_lines")
     same = lines["host"].eqNullSafe(frequent["host"]) & (lines["hash"] == frequent["hash"])
     removed = lines.join(frequent, same, "left_semi").groupBy("row").agg(
         F.count("*").alias("n_removed_lines"), F.sum("n").cast("long").alias("n_removed_words")
@@ -131,15 +123,17 @@ def line_frequency(
 
 def remove_frequent_lines(
     docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text",
-    min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
+    most_docs: int = MOST_DOCS,
 ) -> DataFrame:
-    """`docs` with the texts that stay when the lines above the limits are taken out; nulls stay null."""
+    """`docs` with the texts that stay when the lines above the limit are taken out; nulls stay null.
+
+    Repeated rows are one document to the counts; an empty table gives no rows.
+    """
     docs = settled(docs)
     row, gone = fresh(docs, "_row", "_gone")
     rows = numbered(docs, row)
     lines = document_lines(rows, row, id_col, host, text)
-    sizes = docs.groupBy(F.col(host).alias("host")).agg(F.count_distinct(id_col).alias("host_docs"))
-    frequent = stage(frequent_lines(lines, sizes, min_docs, min_share), "frequent_lines")
+    frequent = stage(frequent_lines(lines, most_docs), "frequent_lines")
     same = lines["host"].eqNullSafe(frequent["host"]) & (lines["hash"] == frequent["hash"])
     # At most as many hashes as the document has lines.
     hits = lines.join(frequent, same, "left_semi").groupBy("row").agg(F.collect_set("hash").alias(gone))
@@ -169,11 +163,7 @@ lines AS (
   SELECT r, doc_id, source, unnest(list_transform(string_split(lower(regexp_replace(regexp_replace(
     text, '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')), chr(10)), lambda x: trim(x))) AS line FROM d),
 words AS (SELECT *, len(string_split(line, ' ')) AS n FROM lines WHERE line <> ''),
-hosts AS (SELECT source, count(DISTINCT doc_id) AS host_docs FROM documents GROUP BY source),
-freq AS (
-  SELECT l.source, l.line FROM words l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY l.source, l.line, h.host_docs
-  HAVING count(DISTINCT doc_id) > {MIN_DOCS} AND count(DISTINCT doc_id) > CAST({MIN_SHARE} AS DOUBLE) * h.host_docs),
+freq AS (SELECT source, line FROM words GROUP BY source, line HAVING count(DISTINCT doc_id) > {MOST_DOCS}),
 gone AS (
   SELECT r, count(*) AS n_removed_lines, sum(n) AS n_removed_words
   FROM words l JOIN freq f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY r),
