@@ -36,8 +36,10 @@ _STRING = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_LENGTH)
 _SEGMENT = re.compile(r"[A-Za-z0-9+]{%d,}={0,2}" % LEAST_LENGTH)
 _PARTS = re.compile(r"[+/_=-]+")
 _WORDLIKE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+|[+/_=-]+")
-# Known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs are no secrets.
-_DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
+# Known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs are no secrets, nor are digests
+# with the name of their function, as web pages give them for the files they load.
+_DIGEST = re.compile(r"(?:0x)?(?:[0-9a-f]+|[0-9A-F]+)")
+_NAMED_DIGEST = re.compile(r"sha(?:256-[A-Za-z0-9+/]{43}=|384-[A-Za-z0-9+/]{64}|512-[A-Za-z0-9+/]{86}==)")
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PATTERN = (
@@ -56,7 +58,8 @@ def _encoding(path: str):
 
 def _is_known(string: str) -> bool:
     return bool(
-        (len(string) in _DIGEST_LENGTHS and _DIGEST.fullmatch(string))
+        (len(string.removeprefix("0x")) in _DIGEST_LENGTHS and _DIGEST.fullmatch(string))
+        or _NAMED_DIGEST.fullmatch(string)
         or _IDENTIFIER.fullmatch(string)
         or _WORDLIKE.fullmatch(string)
     )
