@@ -24,6 +24,8 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+
 ADDRESS = _START + r"(?<!\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"
 DATE = _START + r"(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})" + r"(?:(?=[Tt][0-9]{2}:?[0-9]{2})|(?![0-9A-Za-z]))"
 CARD = _START + r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})" + _END
+# More than four groups of four digits: any four neighbours may be the card.
+GROUPS = _START + r"[0-9]{4}(?:[ -][0-9]{4}){4,}(?:[ -][0-9]{1,3})?" + _END
 # A card of four groups of four, with a short number behind it.
 TAILED = "^([0-9]{4}(?:[ -][0-9]{4}){3})([ -][0-9]{1,3})$"
 SOCIAL = _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END
@@ -33,7 +35,7 @@ PHONE = (
     + r"|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}" + _END
 )
 # The two groups of DATE are the first two of the whole.
-ANY = "|".join((DATE, EMAIL, ADDRESS, SOCIAL, CARD, PHONE))
+ANY = "|".join((DATE, EMAIL, ADDRESS, SOCIAL, GROUPS, CARD, PHONE))
 # What a text must have for any of them.
 HINT = "@|[0-9]"
 
@@ -99,6 +101,24 @@ def _card(digits: Column, key: str) -> Column:
     return check
 
 
+def _cards_among(m: Column, key: str) -> Column:
+    """A run of groups of digits in which every card of four neighbouring groups is hidden, the first ones first."""
+    # Each group with the separator behind it.
+    groups = F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("skip"))
+
+    def step(state: Column, i: Column) -> Column:
+        four = F.array_join(F.slice(groups, i + 1, F.lit(4)), "")
+        digits = F.regexp_replace(four, "[^0-9]", "")
+        is_card = (F.length(digits) == 16) & four.rlike("^(?:[0-9]{4}[ -]?){4}$") & luhn_valid(digits)
+        inside = state["skip"] > 0
+        shown = F.when(inside, F.lit("")).when(is_card, _refilled(four, _card(digits, key))).otherwise(F.get(groups, i))
+        skip = F.when(inside, state["skip"] - 1).when(is_card, 3).otherwise(0)
+        return F.struct(F.concat(state["out"], shown).alias("out"), skip.alias("skip"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda state: state["out"])
+
+
 def _refilled(original: Column, digits: Column) -> Column:
     """`original` with its digits replaced in order by those of `digits`."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
@@ -200,6 +220,7 @@ def pseudonym(m: Column, key: str) -> Column:
     out = out.when(m.rlike(f"^(?:{DATE})$"), _date(m, key))
     out = out.when(m.rlike(f"^(?:{ADDRESS})$"), _address(m, key))
     out = out.when(m.rlike(f"^(?:{SOCIAL})$"), _social(m, digits, key))
+    out = out.when(m.rlike(f"^(?:{GROUPS})$"), _cards_among(m, key))
     out = out.when(m.rlike(f"^(?:{CARD})$") & luhn_valid(digits), _refilled(m, _card(digits, key)))
     # The short number behind a card may be its own: then the sixteen digits before it are the card.
     front, tail = F.regexp_extract(m, TAILED, 1), F.regexp_extract(m, TAILED, 2)

@@ -131,7 +131,7 @@ def brute_lines(docs):
     for i, text in docs:
         for k, line in enumerate((text or "").split("\n")):
             words = set(re.findall(r"[^\x20\x09-\x0D]+", line))
-            if len(words) >= line_join.LEAST_WORDS:
+            if words:
                 lines.append((i, k, words))
     return [
         (i, k)
@@ -255,6 +255,27 @@ def test_pseudonyms_beside_other_numbers(spark):
     assert out[3] == f"at {day}T10:11:12Z and {day}t101112" and out[5] == texts[5]
 
 
+def test_cards_anywhere_in_a_run_of_groups(spark):
+    plain = "4111 1111 1111 1111"
+    other = "5500 0000 0000 0004"
+    texts = [
+        plain,
+        other,
+        f"2024 {plain}",
+        f"in 2024 {plain} 1234 123.",
+        f"1234 5678 {plain} {other} 99",
+        f"1111-2222-3333-4445-5556, {plain.replace(' ', '-')}-9999",
+        "1234 5678 1234 5678 1234 5678",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = [r.text for r in pseudonyms.pseudonymise(df, "key").orderBy("doc_id").collect()]
+    a, b = out[:2]
+    assert a != plain and b != other
+    assert out[2:5] == [f"2024 {a}", f"in 2024 {a} 1234 123.", f"1234 5678 {a} {b} 99"]
+    assert out[5] == f"1111-2222-3333-4445-5556, {a.replace(' ', '-')}-9999"
+    assert len(out[6]) == len(texts[6])
+
+
 def test_digit_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
@@ -323,3 +344,14 @@ def test_secrets(spark, odd, empty):
     rows = secrets.secrets(odd).collect()
     assert len(rows) == odd.count() and {r.spans for r in rows} == {""}
     assert secrets.secrets(empty).count() == 0
+
+
+def test_named_digests_are_no_secrets():
+    import base64
+    import hashlib
+
+    for size in (256, 384, 512):
+        digest = base64.b64encode(hashlib.new(f"sha{size}", b"x").digest()).decode()
+        assert secrets.random_spans(f'integrity="sha{size}-{digest}"') == []
+        assert secrets.random_spans(f"key {digest[:40]}") != []
+    assert secrets.random_spans("at 0x" + hashlib.md5(b"x").hexdigest()) == []
