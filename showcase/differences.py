@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ferrywright.operators import checks as C
 from ferrywright.operators import digest_tree as D
 from ferrywright.operators import policy as P
+from ferrywright.operators import sketches as K
 from ferrywright.operators.collisions import duplicates_by_bitmap as by_bitmap
+from ferrywright.operators.report import union_all
 from ferrywright.plans.load import check_table, load_table
 from ferrywright.session import scratch_path
 from ferrywright.sinks import merge as M
@@ -108,3 +110,39 @@ ACCOUNTS = TableSpec(
 def typed_fraction_rejects(t: Tables) -> DataFrame:
     rows = t.customer.select("c_custkey", "c_acctbal", "c_name")
     return load_table(rows, ACCOUNTS).rejects.select("row_key", "reason", "column").distinct()
+
+
+@query(
+    "profile_sketches",
+    """SELECT 'l_orderkey' AS "column", count(*) AS rows, count(*) - count(l_orderkey) AS nulls, true AS distinct_ok, true AS median_ok, NULL AS most FROM lineitem
+       UNION ALL SELECT 'l_quantity', count(*), count(*) - count(nullif(l_quantity, 7)), true, true, NULL FROM lineitem
+       UNION ALL SELECT 'l_shipdate', count(*), 0, true, true, NULL FROM lineitem
+       UNION ALL SELECT 'l_returnflag', count(*), 0, true, NULL,
+                        (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) FROM lineitem""",
+)
+def profile_sketches(t: Tables) -> DataFrame:
+    """Sketches of two loads of files, merged, and measured against exact values."""
+    columns = ["l_orderkey", "l_quantity", "l_shipdate", "l_returnflag"]
+    rows = t.lineitem.select(*columns).withColumn("l_quantity", F.nullif("l_quantity", F.lit(7.0)))
+    root = scratch_path(t.spark, "profiled")
+    for part in ("l_returnflag = 'A'", "l_returnflag <> 'A'"):
+        rows.filter(part).repartition(3).write.mode("append").parquet(f"{root}/rows")
+        K.sketch_new_files(t.spark, f"{root}/rows", f"{root}/sketches")
+    found = K.profile_of(K.merge_sketches(t.spark.read.parquet(f"{root}/sketches")), [0.5], top=1)
+    exact = []
+    for f in rows.schema.fields:
+        number = K._number(F.col(f.name), f.dataType)
+        estimate = found.filter(F.col("column") == f.name).select(F.get("quantiles", F.lit(0))).scalar()
+        exact.append(
+            rows.agg(
+                F.lit(f.name).alias("column"), F.countDistinct(f.name).alias("truth"), F.count(number).alias("numbers"),
+                F.count_if(number < estimate).alias("below"), F.count_if(number <= estimate).alias("upto"),
+            )
+        )
+    near = F.abs(F.col("distinct") - F.col("truth")) <= K.DISTINCT_ERROR * F.col("truth")
+    slack = K.RANK_ERROR * F.col("numbers")
+    ranked = (F.col("below") - slack <= F.col("numbers") / 2) & (F.col("upto") + slack >= F.col("numbers") / 2)
+    most = F.when(F.col("column") == "l_returnflag", F.get("frequent", F.lit(0))["item"])
+    return found.join(union_all(exact), "column").select(
+        "column", "rows", "nulls", near.alias("distinct_ok"), F.when(F.col("numbers") > 0, ranked).alias("median_ok"), most.alias("most")
+    )
