@@ -116,6 +116,7 @@ def check_table(
     order: Sequence[str] = (),
     existing: DataFrame | None = None,
     check_parents: bool = True,
+    held: Mapping[tuple[str, ...], DataFrame] | None = None,
 ) -> DataFrame:
     """Typed columns, `order` columns, `reasons` and `_place` for every landing row.
 
@@ -123,7 +124,8 @@ def check_table(
     rows, like every reader of the result, come back for the columns they need. `_place`
     is stored with them and tells even exact copies apart; `order` says how the rows
     arrived, without it they count as arriving in that place. `existing` are the rows an
-    append will meet in the target. A row below a refused row of
+    append will meet in the target; `held` has the keys of such rows by the names of their
+    columns in lower case, and is looked at first. A row below a refused row of
     the same table is refused as well, unless the reference's rule is SET NULL. A foreign key needs its parent rows, unless
     `check_parents` says that it is not to be checked.
     """
@@ -131,29 +133,36 @@ def check_table(
     rows = checks.check_rows(transform(text, table, steps), table, extra, steps.target)
     rows = stage(rows.withColumn(PLACE, F.monotonically_increasing_id()), "checked")
     to_itself = []
+
+    def there(keys: Sequence[str]) -> DataFrame | None:
+        found = (held or {}).get(tuple(k.lower() for k in keys))
+        if found is None and existing is not None and {k.lower() for k in keys} <= {c.lower() for c in existing.columns}:
+            found = existing.select(*keys)
+        return found
+
     given = {table.resolve(name): parent for name, parent in (parents or {}).items()}
     for fk in table.foreign_keys:
         parent = given.get(table.resolve(fk.ref_table))
         if parent is None and table.resolve(fk.ref_table) == table.full_name.lower():
-            held = None if existing is None else existing.select(*fk.ref_columns)
+            before = there(fk.ref_columns)
             # SET NULL says that a row outlives its parent.
             if fk.delete_rule.upper() != "SET NULL":
-                to_itself.append((fk, held))
-            parent = rows.select(*fk.ref_columns) if held is None else rows.select(*fk.ref_columns).union(held)
+                to_itself.append((fk, before))
+            parent = rows.select(*fk.ref_columns) if before is None else rows.select(*fk.ref_columns).union(before)
         if parent is None and check_parents:
             raise ValueError(f"{table.full_name} refers to {fk.ref_table}, whose rows are not given")
         if parent is not None:
             rows = checks.mark_orphans(rows, parent, fk, spread_by=[PLACE])
     if table.primary_key:
-        if existing is not None:
-            rows = checks.mark_existing(rows, existing, table.primary_key, spread_by=[PLACE])
+        if there(table.primary_key) is not None:
+            rows = checks.mark_existing(rows, there(table.primary_key), table.primary_key, spread_by=[PLACE])
         rows = checks.mark_duplicates(rows, table.primary_key, [*order, PLACE])
     for unique in table.unique_keys:
-        if existing is not None and {u.lower() for u in unique} <= {c.lower() for c in existing.columns}:
-            rows = checks.mark_existing(rows, existing, unique, spread_by=[PLACE], code="DUP_UNIQUE")
+        if there(unique) is not None:
+            rows = checks.mark_existing(rows, there(unique), unique, spread_by=[PLACE], code="DUP_UNIQUE")
         rows = checks.mark_duplicates(rows, unique, [*order, PLACE], code="DUP_UNIQUE")
-    for fk, held in to_itself:
-        rows = _mark_below_refused(rows, fk, held)
+    for fk, before in to_itself:
+        rows = _mark_below_refused(rows, fk, before)
     return rows
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from ferrywright.plans.load import Transforms, check_table
 from ferrywright.session import discard, stage
 from ferrywright.sources.landing import CORRUPT, CsvLayout
 from ferrywright.spec import TableSpec
+from ferrywright.streaming.key_index import KeyIndex, held_keys
 
 BATCH = "batch_id"
 
@@ -47,6 +48,7 @@ def ingest_new_files(
     key: tuple[str, ...] = (),
     parents: Mapping[str, DataFrame] | None = None,
     check_parents: bool = True,
+    index: Sequence[KeyIndex] = (),
 ) -> None:
     """Load the files that arrived since the last call, then return.
 
@@ -55,20 +57,31 @@ def ingest_new_files(
     row arrives once even if the job dies between writing and committing. Keys and
     references are checked within the batch and against what other batches have written.
     A new checkpoint would count batches from zero again, so it needs an empty target.
+
+    With an `index`, one for the primary key and for each unique key as `key_index.indexes`
+    makes them, keys are looked up in their buckets instead of in the target. It has to be
+    kept from the first batch on.
     """
     if not _holds(spark, f"{checkpoint.rstrip('/')}/metadata") and _holds(spark, f"{target.rstrip('/')}/{BATCH}=*"):
         raise ValueError(f"{target} holds rows of an earlier checkpoint; go on with that one or take an empty target")
+    for one in index:
+        if _holds(spark, f"{target.rstrip('/')}/{BATCH}=*") and not _holds(spark, one.path):
+            raise ValueError(f"{target} holds rows that the index {one.path} does not know")
     names = [c.name for c in table.ordered()]
     row_key = key or table.primary_key or tuple(names)
 
     def load(batch: DataFrame, batch_id: int) -> None:
         held = None
-        if _holds(spark, f"{target.rstrip('/')}/{BATCH}=*"):
+        known = held_keys(spark, index, batch_id) if index else None
+        if not index and _holds(spark, f"{target.rstrip('/')}/{BATCH}=*"):
             held = spark.read.parquet(target).filter(F.col(BATCH) != batch_id).drop(BATCH)
         # Staged, so both outputs come from one parse of the new files.
-        checked = stage(check_table(batch, table, steps, parents, existing=held, check_parents=check_parents), "ingest")
+        checked = stage(check_table(batch, table, steps, parents, existing=held, check_parents=check_parents, held=known), "ingest")
         _replace_batch(checks.accepted(checked).select(*names), target, batch_id)
         _replace_batch(checks.rejects(checked, row_key, table), rejects, batch_id)
+        # Last, so that a batch that dies before is repeated with its keys still unknown.
+        for one in index:
+            one.append(checks.accepted(checked), batch_id)
         discard(checked)
 
     _run(stream_landing(spark, path, names, layout, max_files), load, checkpoint)

@@ -22,6 +22,7 @@ from ferrywright.sources.paging import keyset_page
 from ferrywright.sources.selection import TableSelection
 from ferrywright.sources.split_csv import read_landing_split
 from ferrywright.spec import ColumnSpec, TableSpec
+from ferrywright.streaming.key_index import indexes
 from ferrywright.streaming.landing_stream import ingest_new_files, read_ingested
 from showcase.registry import Tables, query
 
@@ -380,7 +381,7 @@ ORDERS = TableSpec(
 )
 
 
-def ingest_drops(t: Tables, drops: list[DataFrame]) -> tuple[str, str]:
+def ingest_drops(t: Tables, drops: list[DataFrame], indexed: bool = False) -> tuple[str, str]:
     """A run after each drop and one run with nothing new; target and rejects."""
     root = scratch_path(t.spark, "ingest")
     source, target, rejects = f"{root}/tpch.orders.csv", f"{root}/orders", f"{root}/rejects"
@@ -388,7 +389,8 @@ def ingest_drops(t: Tables, drops: list[DataFrame]) -> tuple[str, str]:
         if drop is not None:
             write_csv(drop, source, mode="append")
         steps = Transforms(datetime_format=V.COMPACT_DATETIME)
-        ingest_new_files(t.spark, source, ORDERS, target, rejects, f"{root}/checkpoint", steps)
+        index = indexes(f"{root}/keys", ORDERS, 16) if indexed else ()
+        ingest_new_files(t.spark, source, ORDERS, target, rejects, f"{root}/checkpoint", steps, index=index)
     return target, rejects
 
 
@@ -430,3 +432,19 @@ def incremental_duplicates(t: Tables) -> DataFrame:
     final = rows.filter("o_orderstatus = 'F'")
     _, rejects = ingest_drops(t, [final.union(final.filter("o_custkey % 3 = 0")), rows])
     return read_ingested(t.spark, rejects).groupBy("row_key", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "incremental_indexed",
+    """WITH o AS (SELECT o_orderkey, length(o_orderpriority) > 14 AS bad, o_orderstatus = 'F' AS old,
+         o_orderstatus = 'F' AND o_custkey % 3 = 0 AS twice FROM orders),
+       n AS (SELECT *, CAST(old AS BIGINT) + CAST(twice AS BIGINT) + CAST(bad AS BIGINT) AS n FROM o)
+       SELECT CAST(o_orderkey AS VARCHAR) AS row_key, CASE WHEN bad THEN 'LENGTH' ELSE 'DUP_PK' END AS reason, n
+       FROM n WHERE n > 0""",
+)
+def incremental_indexed(t: Tables) -> DataFrame:
+    """The same as `incremental_duplicates`, from an index of keys that the batches keep."""
+    rows = t.orders.select(*[c.name for c in ORDERS.ordered()])
+    final = rows.filter("o_orderstatus = 'F'")
+    _, rejects = ingest_drops(t, [final.union(final.filter("o_custkey % 3 = 0")), rows], indexed=True)
+    return read_ingested(t.spark, rejects).groupBy("row_key", "reason").agg(F.count(F.lit(1)).alias("n"))
