@@ -19,6 +19,7 @@ from ferrywright.functions import values as V
 from ferrywright.functions.predicates import all_present, conjunction, disjunction
 from ferrywright.operators.conform import conform_value, target_refuses
 from ferrywright.operators.keyed import HOT_ROWS, attach_facts
+from ferrywright.session import stage
 from ferrywright.sources.landing import CORRUPT
 from ferrywright.spec import ColumnSpec, ForeignKey, LogicalType, TableSpec, spark_type
 
@@ -196,14 +197,21 @@ def orphan_keys(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFram
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the first in `order`; the rest would be refused as duplicates.
 
-    An aggregate instead of a window: every task keeps one row per key, so copies of a
-    frequent key never meet.
+    Keys are counted first, which a hash aggregate does without their rows. Only rows under
+    keys that occur more than once are compared, by an aggregate instead of a window: every
+    task keeps one row per key, so copies of a frequent key never meet.
     """
+    repeated = stage(duplicate_keys(df, keys).select(*[F.col(k).alias(f"_d{i}") for i, k in enumerate(keys)]), "repeated")
+    if repeated.isEmpty():
+        return df
+    # NULL keys count as equal, as in a grouping.
+    same = conjunction([F.col(k).eqNullSafe(F.col(f"_d{i}")) for i, k in enumerate(keys)])
+    several = df.join(repeated, same, "left_semi")
     rest = [c for c in df.columns if c not in keys and c not in order]
     row = F.struct(*[c for c in order if c not in keys], *rest)
-    best = df.groupBy(*keys).agg(_first_in_order(row, df, keys, order, rest).alias("_row"))
+    best = several.groupBy(*keys).agg(_first_in_order(row, df, keys, order, rest).alias("_row"))
     picked = [F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns]
-    return best.select(*picked)
+    return df.join(repeated, same, "left_anti").unionByName(best.select(*picked))
 
 
 def _first_in_order(row: Column, df: DataFrame, keys, order, rest) -> Column:

@@ -121,7 +121,8 @@ def check_table(
     """Typed columns, `order` columns, `reasons` and `_place` for every landing row.
 
     The text is parsed and tested once: the typed rows are staged, and the checks across
-    rows, like every reader of the result, come back for the columns they need. `_place`
+    rows come back for the columns they need. Their findings are staged as well, so that
+    readers of the result join them once, and not at all where nothing was found. `_place`
     is stored with them and tells even exact copies apart; `order` says how the rows
     arrived, without it they count as arriving in that place. `existing` are the rows an
     append will meet in the target; `held` has the keys of such rows by the names of their
@@ -130,8 +131,13 @@ def check_table(
     `check_parents` says that it is not to be checked.
     """
     extra = [c for c in order if c.lower() not in {x.name.lower() for x in table.columns}]
-    rows = checks.check_rows(transform(text, table, steps), table, extra, steps.target)
-    rows = stage(rows.withColumn(PLACE, F.monotonically_increasing_id()), "checked")
+    staged = checks.check_rows(transform(text, table, steps), table, extra, steps.target)
+    staged = stage(staged.withColumn(PLACE, F.monotonically_increasing_id()), "checked")
+    # Checks across rows work on keys and places; what they find is stored once and brought to the rows.
+    keys = [c for k in (table.primary_key, *table.unique_keys, order) for c in k]
+    keys += [c for fk in table.foreign_keys for c in (*fk.columns, *fk.ref_columns)]
+    used = {c.lower() for c in (*keys, PLACE, checks.REASONS)}
+    rows = staged.select(*[c for c in staged.columns if c.lower() in used])
     to_itself = []
 
     def there(keys: Sequence[str]) -> DataFrame | None:
@@ -148,7 +154,8 @@ def check_table(
             # SET NULL says that a row outlives its parent.
             if fk.delete_rule.upper() != "SET NULL":
                 to_itself.append((fk, before))
-            parent = rows.select(*fk.ref_columns) if before is None else rows.select(*fk.ref_columns).union(before)
+            own = staged.select(*fk.ref_columns)
+            parent = own if before is None else own.union(before)
         if parent is None and check_parents:
             raise ValueError(f"{table.full_name} refers to {fk.ref_table}, whose rows are not given")
         if parent is not None:
@@ -163,7 +170,13 @@ def check_table(
         rows = checks.mark_duplicates(rows, unique, [*order, PLACE], code="DUP_UNIQUE")
     for fk, before in to_itself:
         rows = _mark_below_refused(rows, fk, before)
-    return rows
+    found = stage(rows.filter(F.size(checks.REASONS) > 0).select(PLACE, checks.REASONS), "found")
+    if found.isEmpty():
+        return staged.withColumn(checks.REASONS, checks.no_reasons())
+    reasons = F.coalesce(checks.REASONS, checks.no_reasons()).cast(checks.REASON_TYPE).alias(checks.REASONS)
+    # A row per bad row: broadcast where that is measured small.
+    joined = staged.drop(checks.REASONS).join(found, PLACE, "left")
+    return joined.select(*[reasons if c == checks.REASONS else F.col(c) for c in staged.columns])
 
 
 def _mark_below_refused(rows: DataFrame, fk: ForeignKey, held: DataFrame | None) -> DataFrame:
