@@ -190,6 +190,17 @@ def decode_bytes(c: Column, charset: str) -> Column:
     return F.decode(c, java_charset(charset))
 
 
+def decode_or_keep(c: Column, charset: str) -> Column:
+    """A struct of the text and, where some bytes stand for no character, the bytes as they came.
+
+    Such bytes show as U+FFFD in the text; bytes that spell that character themselves are
+    told from them by encoding the text again.
+    """
+    text = decode_bytes(c, charset)
+    lost = F.contains(text, F.lit("\ufffd")) & (F.encode(text, java_charset(charset)) != c)
+    return F.struct(text.alias("text"), F.when(lost, c).alias("undecodable"))
+
+
 def binary_to_hex(c: Column) -> Column:
     return F.lower(F.hex(c))
 

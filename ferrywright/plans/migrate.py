@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ferrywright.operators.checks import REASONS, mark_places
 from ferrywright.operators.closure import circles, references, unsupported
 from ferrywright.operators.policy import ErrorPolicy
-from ferrywright.operators.report import union_all
+from ferrywright.operators.report import COUNTS
 from ferrywright.plans.load import PLACE, LoadResult, Transforms, check_table, load_table, settle
-from ferrywright.session import stage
+from ferrywright.session import run_scratch, stage
 from ferrywright.sources.landing import CsvLayout, read_table
 from ferrywright.sources.selection import TableSelection
 from ferrywright.spec import TableSpec
@@ -35,20 +35,25 @@ def migrate_tables(
     rows accepted before are the parents later tables may refer to, so the children of a
     refused row are refused as well. Tables that refer to each other in a circle are
     checked one by one and then lose, all together, the rows whose parents are not among
-    those that stay.
+    those that stay. Working tables are deleted at the end: `write` and `write_rejects` are
+    to have written by the time they return.
     """
     parents: dict[str, DataFrame] = {}
-    counts = []
+    counts: list[Row] = []
     if getattr(read, "typed", False):
         # Values that never were text have no marker for NULL.
         steps = replace(steps, null_marker=None)
-    for group in circles([t for t in tables if selection.chooses(t.schema, t.name)]):
-        for table, result in _load_group(group, read, steps, policy, parents):
-            write(result.stored, table)
-            write_rejects(result.rejects, table)
-            counts.append(stage(result.counts, "counts"))
-            parents[table.full_name] = result.accepted
-    return union_all(counts)
+    chosen = [t for t in tables if selection.chooses(t.schema, t.name)]
+    spark = SparkSession.active()
+    with run_scratch(spark):
+        for group in circles(chosen):
+            for table, result in _load_group(group, read, steps, policy, parents):
+                write(result.stored, table)
+                write_rejects(result.rejects, table)
+                counts += result.counts.collect()  # one row
+                parents[table.full_name] = result.accepted
+    kinds = ", ".join(f"{c} long" for c in COUNTS)
+    return spark.createDataFrame(counts, f"schema string, table string, {kinds}")
 
 
 def _load_group(

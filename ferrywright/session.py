@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +55,40 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+# The paths of the run that is open in this thread, if one is.
+_OPEN: ContextVar[list[str] | None] = ContextVar("paths of the open run", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch root; never reused, so nothing has to be cleared first."""
-    return f"{scratch_root(spark)}/ferrywright/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/ferrywright/{label}-{uuid.uuid4().hex}"
+    paths = _OPEN.get()
+    if paths is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def run_scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the scratch paths handed out while it was open, and only those.
+
+    What is staged inside must be written elsewhere or collected before it closes. A run
+    inside a run deletes its own paths when it closes.
+    """
+    paths: list[str] = []
+    token = _OPEN.set(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -80,6 +114,4 @@ def discard(*frames: DataFrame) -> None:
     for frame in frames:
         path = frame.__dict__.pop("staged_at", None)
         if path:
-            context = frame.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(frame.sparkSession, path)

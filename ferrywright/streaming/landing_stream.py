@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ferrywright.functions import values as V
 from ferrywright.operators import checks
 from ferrywright.plans.load import Transforms, check_table
-from ferrywright.session import discard, stage
+from ferrywright.session import run_scratch, stage
 from ferrywright.sources.landing import CORRUPT, CsvLayout
 from ferrywright.spec import TableSpec
 from ferrywright.streaming.key_index import KeyIndex, held_keys
@@ -75,14 +75,14 @@ def ingest_new_files(
         known = held_keys(spark, index, batch_id) if index else None
         if not index and _holds(spark, f"{target.rstrip('/')}/{BATCH}=*"):
             held = spark.read.parquet(target).filter(F.col(BATCH) != batch_id).drop(BATCH)
-        # Staged, so both outputs come from one parse of the new files.
-        checked = stage(check_table(batch, table, steps, parents, existing=held, check_parents=check_parents, held=known), "ingest")
-        _replace_batch(checks.accepted(checked).select(*names), target, batch_id)
-        _replace_batch(checks.rejects(checked, row_key, table), rejects, batch_id)
-        # Last, so that a batch that dies before is repeated with its keys still unknown.
-        for one in index:
-            one.append(checks.accepted(checked), batch_id)
-        discard(checked)
+        with run_scratch(spark):
+            # Staged, so both outputs come from one parse of the new files.
+            checked = stage(check_table(batch, table, steps, parents, existing=held, check_parents=check_parents, held=known), "ingest")
+            _replace_batch(checks.accepted(checked).select(*names), target, batch_id)
+            _replace_batch(checks.rejects(checked, row_key, table), rejects, batch_id)
+            # Last, so that a batch that dies before is repeated with its keys still unknown.
+            for one in index:
+                one.append(checks.accepted(checked), batch_id)
 
     _run(stream_landing(spark, path, names, layout, max_files), load, checkpoint)
 

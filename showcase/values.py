@@ -279,6 +279,19 @@ def charset_decode(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "undecodable_kept",
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN text || chr(65533) ELSE text END AS text,
+              CASE WHEN doc_id % 7 = 3 THEN lower(hex(encode(text))) || 'ff' END AS original FROM documents""",
+)
+def undecodable_kept(t: Tables) -> DataFrame:
+    # A byte that begins no character of UTF-8 behind some texts.
+    stray = F.when(F.col("doc_id") % 7 == 3, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    found = V.decode_or_keep(F.concat(F.encode("text", "UTF-8"), stray), "UTF-8")
+    rows = t.documents.select("doc_id", found.alias("found"))
+    return rows.select("doc_id", "found.text", V.binary_to_hex(F.col("found.undecodable")).alias("original"))
+
+
 @query(
     "gbk_decode",
     "SELECT p_partkey, '零件 ' || p_name AS gbk, '部品 ' || p_name AS sjis FROM part",
