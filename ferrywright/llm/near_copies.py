@@ -94,26 +94,34 @@ def groups(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
     )
     sized = shingled.withColumn("n", F.size("shingles")).withColumn("keys", F.sort_array(F.transform("shingles", key)))
     prefix = F.col("n") - F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)).cast("int") + 1
+    # Two hashes tell equal sets: one of 64 bits would take some of very many for equal.
+    ordered = F.sort_array("shingles")
+    same_set = ["set", "set2"]
     sets = sized.select(
-        "row", "n", F.xxhash64(F.sort_array("shingles")).alias("set"), F.slice("keys", F.lit(1), prefix).alias("prefix")
-    )
+        "row", "n", F.xxhash64(ordered).alias("set"), F.xxhash64(F.lit("second"), ordered).alias("set2"),
+        F.slice("keys", F.lit(1), prefix).alias("prefix"),
+    )
     sets = staged(sets, "shingle_sets")
     # Equal sets are one, the first of them; copies are reduced before the shuffle.
-    same = staged(sets.groupBy("set").agg(F.min("row").alias("first")), "same_sets")
+    same = staged(sets.groupBy(*same_set).agg(F.min("row").alias("first")), "same_sets")
     first = sets.join(same.select(F.col("first").alias("row")), "row", "left_semi")
     # A set matches other sets only if it could match one of a shingle more.
     wide = first.filter(F.col("n") >= F.lit(t) * (F.col("n") + 1) - 1e-9)
-    tokens = staged(wide.select("row", "n", F.posexplode("prefix").alias("at", "token")), "copy_tokens")
-
+    tokens = wide.select("row", "n", F.posexplode("prefix").alias("at", "token"))
+    # Almost all shingles are in one text only and make no pair; those of several are stored, with the first text
+    # that has them and the one before. Plain columns, because a struct would be made ahead of the shuffle.
     by_token = W.partitionBy("token").orderBy("row")
-    me = F.struct("row", "n", "at")
-    seen = tokens.select(me.alias("me"), F.first(me).over(by_token).alias("head"), F.lag(me).over(by_token).alias("last"))
-    near = seen.filter("last is not null").select("me", F.explode(F.array("head", "last")).alias("o"))
+    others = [f.over(by_token).alias(n) for c in ("row", "n", "at") for f, n in ((F.first(c), f"head_{c}"), (F.lag(c), f"last_{c}"))]
+    seen = tokens.select("token", "row", "n", "at", *others, F.lead("row").over(by_token).alias("next_row"))
+    shared = staged(seen.filter("last_row is not null or next_row is not null").drop("next_row"), "shared_tokens")
+
+    head, last = (F.struct(*[F.col(f"{k}_{c}").alias(c) for c in ("row", "n", "at")]) for k in ("head", "last"))
+    near = shared.filter("last_row is not null").select(F.struct("row", "n", "at").alias("me"), F.explode(F.array(head, last)).alias("o"))
     names = F.col("me.row").alias("a"), F.col("o.row").alias("b")
     links = _verified(near.filter(_possible("me", "o", t)).select(*names), rows, t)
 
     roots = staged(components(links), "copy_roots")
-    placed = tokens.join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
+    placed = shared.select("token", "row", "n", "at").join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
     placed = placed.withColumn("root", F.coalesce("root", "row"))
     several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     placed = staged(placed.join(several.select("token"), "token", "left_semi"), "open_tokens")
@@ -125,7 +133,7 @@ def groups(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
         if not more.isEmpty():
             roots = staged(components(links.union(more)), "copy_roots")
     of_set = same.join(roots.withColumnRenamed("node", "first"), "first", "left")
-    of_set = of_set.select("set", F.coalesce("root", "first").alias("root"))
-    out = staged(sets.select("row", "set").join(of_set, "set").select("row", "root"), "copy_groups")
-    discard(sets, same, tokens, links, placed, roots, *([more] if more is not None else []))
+    of_set = of_set.select(*same_set, F.coalesce("root", "first").alias("root"))
+    out = staged(sets.select("row", *same_set).join(of_set, same_set).select("row", "root"), "copy_groups")
+    discard(sets, same, shared, links, placed, roots, *([more] if more is not None else []))
     return out
