@@ -6,8 +6,8 @@ one text to the join. What shares such a shingle is tested by sizes and places,
 passes is verified on the whole sets. No pair is left out, whatever the bits in which
 fingerprints of the texts differ.
 
-Pairs with the first and the previous text that have the same rare shingle come first: they
-join almost all of a group of copies. Only shingles whose texts are then in several groups
+Pairs with the first and the previous text that have the same rare shingle come first, of
+them the one with the most such shingles: they join almost all of a group of copies. Only shingles whose texts are then in several groups
 are looked at again, and only pairs across groups.
 """
 
@@ -81,6 +81,19 @@ def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     return out
 
 
+def _linked_early(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+    """Links that join most of each group: every text with the one it shares most rare shingles with, and those that
+    this leaves alone with all their others. Whole sets travel with each pair, so few pairs are tried."""
+    tried = staged(pairs.groupBy("a", "b").agg(F.count("*").alias("common")), "early_pairs")
+    most = tried.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+    first = _verified(most.select("a", "b"), rows, t)
+    alone = tried.select("a", "b").join(first.select("a").distinct(), "a", "left_anti").join(most, ["a", "b"], "left_anti")
+    second = _verified(alone, rows, t)
+    out = staged(first.union(second), "early_links")
+    discard(tried, first, second)
+    return out
+
+
 def groups(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """Columns (row, root) for every row of `rows`, which has row (long, distinct) and text: equal roots are linked.
 
@@ -118,7 +131,7 @@ def groups(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
     head, last = (F.struct(*[F.col(f"{k}_{c}").alias(c) for c in ("row", "n", "at")]) for k in ("head", "last"))
     near = shared.filter("last_row is not null").select(F.struct("row", "n", "at").alias("me"), F.explode(F.array(head, last)).alias("o"))
     names = F.col("me.row").alias("a"), F.col("o.row").alias("b")
-    links = _verified(near.filter(_possible("me", "o", t)).select(*names), rows, t)
+    links = _linked_early(near.filter(_possible("me", "o", t)).select(*names), rows, t)
 
     roots = staged(components(links), "copy_roots")
     placed = shared.select("token", "row", "n", "at").join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
