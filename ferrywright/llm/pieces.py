@@ -13,6 +13,7 @@ each distinct word of a batch only once, all words of about one length together.
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, replace
 
@@ -32,8 +33,8 @@ UNKNOWN = 10.0
 ROUNDS = 3
 SMOOTHING = 0.5
 # Words whose pieces a task remembers, and words segmented at once.
-_REMEMBER = 400_000
-_AT_ONCE = 8192
+_REMEMBER = 800_000
+_AT_ONCE = 32_768
 _WORD = re.compile(r" *[^ ]+| +$")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -124,11 +125,11 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(base, check, value, scores, lowest - UNKNOWN, bytes_of, surface, max(len(k) for k, _ in keys), by_word)
 
 
-def segment(words: list[bytes], p: Pieces) -> list[np.ndarray]:
-    """The pieces of each word, the words being segmented side by side.
+def segment(words: list[bytes], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, lengths): the pieces of all words after each other, and how many each word has.
 
-    Of equally good segmentations the one whose last piece is longest is taken, and so on
-    towards the front.
+    Words are segmented side by side. Of equally good segmentations the one whose last piece
+    is longest is taken, and so on towards the front.
     """
     count, width = len(words), max(map(len, words))
     text = np.zeros((count, width + 1), np.uint8)
@@ -165,40 +166,76 @@ def segment(words: list[bytes], p: Pieces) -> list[np.ndarray]:
             better = total > best[at[k], j + 1]
             rows, piece = at[k[better]], piece[better]
             best[rows, j + 1], back[rows, j + 1], took[rows, j + 1] = total[better], i, piece
-        for k in np.flatnonzero(~single):
-            row, end = at[k], i + int(size[k])
-            if score[k] + p.unknown > best[row, end]:
-                best[row, end], back[row, end], took[row, end] = score[k] + p.unknown, i, -1
-    out = []
-    for row, word in enumerate(words):
-        ids, end = [], len(word)
-        while end:
-            start = int(back[row, end])
-            ids += [int(took[row, end])] if took[row, end] >= 0 else [int(p.byte_piece[c]) for c in reversed(word[start:end])]
-            end = start
-        out.append(np.array(ids[::-1], np.int32))
-    return out
-
-
-def encode_texts(texts: list[str], p: Pieces, known: dict) -> list[np.ndarray]:
-    """The pieces of each text; `known` remembers those of words."""
+        k = np.flatnonzero(~single)
+        rows, end, total = at[k], i + size[k], score[k] + p.unknown
+        better = total > best[rows, end]
+        rows, end = rows[better], end[better]
+        best[rows, end], back[rows, end], took[rows, end] = total[better], i, -1
+    # All words are walked back together; a piece is put where it begins, so that they end up in order.
+    chosen = np.full((count, width + 1), -1, np.int32)
+    rows, end = np.flatnonzero(lengths), lengths[lengths > 0]
+    while len(rows):
+        start, piece = back[rows, end], took[rows, end]
+        found = piece >= 0
+        chosen[rows[found], start[found]] = piece[found]
+        lost, first, size = rows[~found], start[~found], (end - start)[~found]
+        for k in range(4):
+            lost, first, size = lost[size > k], first[size > k], size[size > k]
+            chosen[lost, first + k] = p.byte_piece[text[lost, first + k]]
+        rows, end = rows[start > 0], start[start > 0]
+    taken = chosen >= 0
+    return chosen[taken], taken.sum(axis=1)
+
+
+class Known:
+    """Pieces of the words that a task has met: a place per word, and the ids of all places after each other."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.count = np.array([], np.int32), np.array([], np.int64)
+        self.start = self.count
+
+    def learn(self, new: list[str], p: Pieces) -> None:
+        """Add new words, which are in the order of their lengths."""
+        ids, counts = [self.ids], [self.count]
+        for part, found, count in _segmented(new, p):
+            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
+            ids.append(found)
+            counts.append(count)
+        self.ids, self.count = np.concatenate(ids), np.concatenate(counts)
+        self.start = np.cumsum(self.count) - self.count
+
+    def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of known words after each other."""
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        count = self.count[at]
+        return self.ids[np.repeat(self.start[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())], count
+
+
+def encode_texts(texts: list[str], p: Pieces, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets): the pieces of all texts after each other and where each text's begin; `known` remembers words."""
     split = [_WORD.findall(" " + t) if p.by_word else [" " + t] for t in texts]
-    new = sorted({w for words in split for w in words if w not in known}, key=len)
-    if len(known) + len(new) > _REMEMBER:
-        known.clear()
-        new = sorted({w for words in split for w in words}, key=len)
-    _learn(new, p, known)
-    return [np.concatenate([known[w] for w in words]) for words in split]
-
-
-def _learn(new: list[str], p: Pieces, known: dict) -> None:
-    """Add the pieces of new words, which are in the order of their lengths, to `known`."""
+    words = list(itertools.chain.from_iterable(split))
+    different = set(words)
+    new = sorted((w for w in different if w not in known.place), key=len)
+    if new and len(known.place) + len(new) > _REMEMBER:
+        known.__init__()
+        new = sorted(different, key=len)
+    if new:
+        known.learn(new, p)
+    ids, count = known.pieces(words)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    return ids, ends[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)]
+
+
+def _segmented(new: list[str], p: Pieces):
+    """(words, ids, lengths) for parts of the words, which are in the order of their lengths."""
     start = 0
     while start < len(new):
         # Side by side only as many as their longest allows.
-        step = max(1, min(_AT_ONCE, 2_000_000 // (4 * len(new[min(start + _AT_ONCE, len(new)) - 1]) + 1)))
+        step = max(1, min(_AT_ONCE, 4_000_000 // (4 * len(new[min(start + _AT_ONCE, len(new)) - 1]) + 1)))
         part = new[start : start + step]
-        known.update(zip(part, segment([w.encode("utf-8", "replace") for w in part], p)))
+        yield part, *segment([w.encode("utf-8", "replace") for w in part], p)
         start += step
 
 
@@ -215,20 +252,22 @@ def scored(p: Pieces, counts: np.ndarray) -> Pieces:
 def _counts(words: DataFrame, p: Pieces) -> np.ndarray:
     """How often each piece is in the best segmentations of the words (word, n)."""
     shared = words.sparkSession.sparkContext.broadcast(p)
+    # Words are short; batches are also bounded in bytes.
+    words.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
     def run(batches):
         p = shared.value
         counts, some, size = np.zeros(len(p.surface), np.int64), {}, 0
 
         def add():
-            found = {}
-            _learn(sorted(some, key=len), p, found)
-            for w, n in some.items():
-                np.add.at(counts, found[w], n)
+            # Floats would lose counts above 2^53, so the sums of a block are added as whole numbers.
+            for part, ids, lengths in _segmented(sorted(some, key=len), p):
+                times = np.repeat(np.fromiter(map(some.__getitem__, part), np.int64, len(part)), lengths)
+                counts[:] += np.rint(np.bincount(ids, times, len(counts))).astype(np.int64)
 
         for batch in batches:
-            for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                some[w], size = n, size + len(w)
+            some.update(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()))
+            size += batch.column("word").nbytes
             if len(some) >= _AT_ONCE or size > 1_000_000:
                 add()
                 some, size = {}, 0
@@ -250,7 +289,6 @@ def estimate(docs: DataFrame, p: Pieces, text: str = "text", rounds: int = ROUND
 
     Only the different words and their counts, reduced before the shuffle, are segmented.
     """
-    small_batches(docs)
     body = F.concat(F.lit(" "), F.coalesce(F.col(text).cast("string"), F.lit("")))
     parts = F.regexp_extract_all(body, F.lit(_WORD.pattern), F.lit(0)) if p.by_word else F.array(body)
     words = stage(docs.select(F.explode(parts).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
@@ -261,10 +299,23 @@ def estimate(docs: DataFrame, p: Pieces, text: str = "text", rounds: int = ROUND
     return p
 
 
+def _plain(joined: bytes) -> str:
+    """The text of joined pieces: without the space in front that encoding puts there."""
+    return joined.decode("utf-8", "replace").removeprefix(" ")
+
+
 def decode_ids(ids, p: Pieces) -> str:
-    """The text of pieces: without the space in front that encoding puts there."""
-    text = b"".join(map(p.surface.__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    """The text of pieces."""
+    return _plain(b"".join(map(p.surface.__getitem__, ids)))
+
+
+def _joined(surfaces: pa.LargeBinaryArray, offsets: np.ndarray) -> list[bytes]:
+    """The bytes of all pieces of each text; Arrow has put them after each other already."""
+    if not len(surfaces):
+        return [b""] * (len(offsets) - 1)
+    ends = np.frombuffer(surfaces.buffers()[1], np.int64)[offsets]
+    data = surfaces.buffers()[2]
+    return [data[a:b].to_pybytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
@@ -273,27 +324,28 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: s
     A null text is empty; an empty text has the piece of the space in front. Repeated rows
     get equal results; an empty table gives no rows.
     """
-    small_batches(docs)
     vocabulary = docs.sparkSession.sparkContext.broadcast(estimate(docs, load(model), text))
+    small_batches(docs)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        p, known = vocabulary.value, {}
+        p, known = vocabulary.value, Known()
+        surfaces = pa.array(p.surface, pa.large_binary())
         is_byte = np.zeros(len(p.surface), bool)
         is_byte[p.byte_piece] = True
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = encode_texts(texts, p, known)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.array([], np.int32)
+            flat, offsets = encode_texts(texts, p, known)
+            bytes_before = np.concatenate([[0], np.cumsum(is_byte[flat])])
+            decoded = _joined(surfaces.take(pa.array(flat, pa.int32())), offsets)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())),
-                    pa.array([decode_ids(x.tolist(), p) == t for x, t in zip(ids, texts)], pa.bool_()),
+                    pa.array(np.diff(offsets), pa.int64()),
+                    pa.array(np.diff(bytes_before[offsets]), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())),
+                    pa.array([_plain(x) == t for x, t in zip(decoded, texts)], pa.bool_()),
                 ],
                 ["id", "n_pieces", "n_bytes", "ids", "round_trip"],
             )

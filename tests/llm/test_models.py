@@ -87,7 +87,9 @@ def test_pieces(spark):
     p = pieces.load()
     rng = random.Random(2)
     words = ["".join(rng.choice(" abcdeéß漢😀▁the ing") for _ in range(rng.randint(1, 14))).encode() for _ in range(150)]
-    assert [g.tolist() for g in pieces.segment(words, p)] == [brute_pieces(w, p) for w in words]
+    for q in (p, pieces.scored(p, np.random.default_rng(3).integers(0, 99, len(p.surface)))):
+        ids, lengths = pieces.segment(words, q)
+        assert [g.tolist() for g in np.split(ids, np.cumsum(lengths)[:-1])] == [brute_pieces(w, q) for w in words]
     texts = [None, "", " ", "  two  spaces ", "literal ▁ marker", "new\nline\ttab", "漢字😀", "x" * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     rows = pieces.encode(df).collect()
@@ -109,6 +111,27 @@ def test_pieces_of_whole_words(spark):
     assert abs(np.exp(q.score[ends]).sum() - 1) < 1e-6
 
 
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary here")
+def test_estimated_pieces_like_brute_force(spark):
+    texts = ["the population of the world", "the the  population", None, "", "漢字😀 population\nof", "the population of the world"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, word string")
+    p = q = pieces.load()
+    q = pieces.scored(q, np.zeros(len(q.surface)))
+    for _ in range(pieces.ROUNDS):
+        counts = np.zeros(len(q.surface))
+        for t in texts:
+            for word in pieces._WORD.findall(" " + (t or "")):
+                np.add.at(counts, brute_pieces(word.encode(), q), 1)
+        q = pieces.scored(q, counts)
+    got = pieces.estimate(df, p)
+    assert np.allclose(got.score, q.score) and got.unknown == pytest.approx(q.unknown)
+    rows = {r.doc_id: r for r in pieces.encode(df).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].ids == [x for w in pieces._WORD.findall(" " + (t or "")) for x in brute_pieces(w.encode(), q)]
+    assert rows[0].ids == rows[5].ids and rows[3].n_pieces == 1
+    assert pieces.encode(df.limit(0)).collect() == []
+
+
 def test_vectors_like_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(300, 16))
