@@ -21,6 +21,8 @@ from ferrywright.session import discard, stage
 
 # Most labelled texts that are learned from: the bound of the training sample.
 SAMPLE = 20_000
+# Broadcast no more chosen ids than this.
+MOST_BROADCAST = 500_000
 # Most n-grams that get a weight, chosen by how surely they tell the classes apart.
 FEATURES = 4096
 LENGTHS = (3, 4, 5, 6)
@@ -37,16 +39,19 @@ _SPACE = np.uint32(32)
 def _blocks(text: str):
     """Code points in lower case, in portions that overlap by the longest n-gram less one.
 
-    White space and characters that are no letters become one space.
+    White space and characters that are no letters become one space, also where a run of
+    them goes on in the next portion; what overlaps is what was made of the text.
     """
+    text = text.lower()
+    tail = np.array([], np.uint32)
     for start in range(0, max(len(text), 1), _BLOCK):
-        part = text[start : start + _BLOCK + max(LENGTHS) - 1].lower()
-        points = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)
+        points = np.frombuffer(text[start : start + _BLOCK].encode("utf-32-le", "replace"), np.uint32)
         letter = (points - np.uint32(97) < 26) | (points > 127)
-        points = np.where(letter, points, _SPACE)
+        points = np.concatenate([tail, np.where(letter, points, _SPACE)])
         if len(points) > 1:
             points = points[np.concatenate([[True], (points[1:] != _SPACE) | (points[:-1] != _SPACE)])]
         yield points
+        tail = points[-(max(LENGTHS) - 1) :]
 
 
 def _codes(points: np.ndarray):
@@ -81,7 +86,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
     known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(bound)
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return texts.join(chosen, id_col).select("text", "y")
+    # The texts stay where they are: what meets them has `bound` rows at most.
+    return texts.join(F.broadcast(chosen) if bound <= MOST_BROADCAST else chosen, id_col).select("text", "y")
 
 
 def learn(sample: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
