@@ -1,6 +1,7 @@
 """Licence notices in documents: a paragraph classifier whose findings a template must confirm.
 
-A paragraph is a line. A logistic regression over its word n-grams tells the licence
+A paragraph is a line, or several: neighbouring lines that speak of licences are read as one where that
+shows a family, as notices are often wrapped. A logistic regression over its word n-grams tells the licence
 families, texts about licences of no known family, and everything else apart. It is
 trained on variants of templates and on paragraphs of the corpus itself, its
 probabilities are calibrated on variants that were held back, and a paragraph whose best
@@ -10,6 +11,7 @@ family, counts as unknown.
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -177,9 +179,15 @@ class Model:
 
 
 def corpus_paragraphs(docs: DataFrame, text: str, bound: int) -> DataFrame:
-    """At most `bound` different paragraphs, chosen by a hash."""
+    """At most `bound` different paragraphs, chosen by a hash.
+
+    Paragraphs are counted first, so that little more than `bound` of them are ever put in order.
+    """
     lines = docs.select(F.explode(F.split(F.col(text).cast("string"), "\n")).alias("line")).filter(F.length("line").between(20, 2000))
-    return lines.filter(F.pmod(F.xxhash64("line"), F.lit(8)) == 0).orderBy(F.xxhash64("line", F.lit(1)), "line").limit(bound)
+    different = lines.agg(F.approx_count_distinct("line")).first()[0]
+    mark = F.shiftrightunsigned(F.xxhash64("line", F.lit(1)), 32)
+    some = lines.filter(mark < F.lit(min(1 << 32, ((2 * bound) << 32) // max(different, 1)))).distinct()
+    return some.orderBy(mark, "line").limit(bound)
 
 
 def train(docs: DataFrame, text: str = "text", bound: int = CORPUS_SAMPLE) -> Model:
@@ -226,6 +234,33 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
     return min((float(t) for t in np.geomspace(0.25, 8, 41)), key=loss)
 
 
+def _neighbours(found: list[tuple]) -> list[list[tuple]]:
+    """Findings in runs of neighbouring lines."""
+    runs: list[list[tuple]] = []
+    for f in found:
+        if runs and runs[-1][-1][0] == f[0] - 1:
+            runs[-1].append(f)
+        else:
+            runs.append([f])
+    return runs
+
+
+def _read_as_one(run: list[tuple], model: Model) -> list[tuple]:
+    """The findings of neighbouring lines; those between confirmed ones become one where together they show a family.
+
+    Lines that are confirmed by themselves stay as they are.
+    """
+    out: list[tuple] = []
+    for unsure, part in itertools.groupby(run, key=lambda f: f[1] == UNKNOWN):
+        lines = list(part)
+        if unsure and len(lines) > 1:
+            label, p, share = model.classify([w for f in lines for w in f[4]])
+            if label not in (NONE, UNKNOWN):
+                lines = [(lines[0][0], label, p, share, [])]
+        out += lines
+    return out
+
+
 _SCHEMA = "family string, n_notices long, n_unknown long, probability double, contained double, lines string"
 
 
@@ -233,7 +268,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model:
     """One row per row of `docs`: id, family, n_notices, n_unknown, probability, contained and lines.
 
     family is that of the most probable notice, `unknown` if there are only unconfirmed ones,
-    else `none`. lines lists line:family of every notice. Null and empty texts have none,
+    else `none`. lines lists line:family of every notice; one that is wrapped counts once, at its first line. Null and empty texts have none,
     rows that repeat get equal results, an empty table gives no rows.
     """
     small_batches(docs)
@@ -250,7 +285,8 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model:
             if sum(w in model.first for w in tokens) >= 2:
                 label, p, share = model.classify(tokens)
                 if label != NONE:
-                    found.append((i, label, p, share))
+                    found.append((i, label, p, share, tokens))
+        found = [f[:4] for run in _neighbours(found) for f in _read_as_one(run, model)]
         named = [f for f in found if f[1] != UNKNOWN]
         best = max(named or found, key=lambda f: (f[2], -f[0]), default=(0, NONE, 1.0, 0.0))
         lines = ",".join(f"{i}:{label}" for i, label, _, _ in found)
