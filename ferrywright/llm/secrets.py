@@ -21,6 +21,8 @@ from ferrywright.llm.common import small_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # A string is random when it has fewer characters per token than this.
 MOST_CHARS_PER_TOKEN = 2.1
+# Letters of one case may be a word of a language that the vocabulary hardly knows, so they need more tokens.
+MOST_CHARS_PER_TOKEN_OF_LETTERS = 1.7
 LEAST_LENGTH = 16
 # Fewer letters among digits are dates and numbers with units.
 LEAST_LETTERS = 4
@@ -82,11 +84,13 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def _looks_random(string: str, path: str) -> bool:
-    """Whether a string is no known one, has letters enough, and digits or letters of both cases, and many tokens."""
+    """Whether a string is no known one, has letters enough, and many tokens; letters of one case need more of them."""
+    if string.isalpha() and _WORDLIKE.fullmatch(string):
+        return chars_per_token(string, path) < MOST_CHARS_PER_TOKEN_OF_LETTERS
     if _is_known(string) or sum(c.isalpha() for c in string) < LEAST_LETTERS:
         return False
     if not any(c.isdigit() for c in string):
-        # Words and names joined by separators have many tokens too.
+        # Words and names joined by separators have many tokens too; each of them is tested by itself.
         if string.islower() or string.isupper() or all(_WORDLIKE.fullmatch(part) for part in _PARTS.split(string)):
             return False
     return chars_per_token(string, path) < MOST_CHARS_PER_TOKEN
