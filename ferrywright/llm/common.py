@@ -14,6 +14,7 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 # Texts can be long, so few of them travel in one Arrow batch.
 ARROW_ROWS = "128"
+_LEAST_CUTS = "spark.sql.files.minPartitionNum"
 
 
 def words_of(text: Column) -> Column:
@@ -54,8 +55,13 @@ def settled(df: DataFrame) -> DataFrame:
     """`df` itself if it is read in a fixed order, otherwise a staged copy of it.
 
     Rows that come out of a shuffle may change places when a task is repeated, so that
-    row numbers given to them would not be the same in two readings.
+    row numbers given to them would not be the same in two readings. While files are few,
+    Spark cuts them by the number of cores it has just then; the first such number is kept
+    for the session, so that executors that come or go do not move the cuts.
     """
+    conf = df.sparkSession.conf
+    if conf.get(_LEAST_CUTS, None) is None:
+        conf.set(_LEAST_CUTS, conf.get("spark.sql.leafNodeDefaultParallelism", None) or df.sparkSession.sparkContext.defaultParallelism)
     plan = df._jdf.queryExecution().executedPlan().toString()
     return stage(df, "settled") if "Exchange" in plan else df
 
