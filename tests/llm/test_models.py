@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import random
+import re
+import textwrap
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ferrywright.llm import license_scan, pieces, toxicity, vector_graph
 
@@ -47,6 +50,42 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(d.limit(0), lab).count() == 0
 
 
+def test_ngrams_across_portions(monkeypatch):
+    text = "some words here ab" + " " * 50 + "cd, then\t more  words; \n\n and the ENDING of it all"
+    whole = toxicity.ngram_codes(text)
+    for block in (1, 3, 7, 18, 20, 45, 69):
+        monkeypatch.setattr(toxicity, "_BLOCK", block)
+        assert np.array_equal(toxicity.ngram_codes(text), whole)
+    monkeypatch.setattr(toxicity, "_BLOCK", 1 << 18)
+    # The same words with single spaces have the same n-grams.
+    assert np.array_equal(toxicity.ngram_codes(" ".join(re.findall("[a-z]+", text.lower()))), whole)
+
+
+def test_wrapped_notices_are_read_as_one(spark):
+    docs, _ = corpus(60, 4)
+    texts = [(f, t) for f in ("mit", "apache", "gpl", "lgpl", "bsd", "isc") for t in license_scan.TEMPLATES[f] if len(t) > 100]
+    rows, want = list(docs), {}
+    for family, t in texts:
+        for width in (60, 70, 80):
+            want[1000 + len(want)] = family
+            rows.append((999 + len(want), docs[len(want)][1] + "\n\n" + textwrap.fill(t, width)))
+    frame = spark.createDataFrame(rows + rows[-1:], "doc_id long, text string").withColumn("family", F.lit("kept apart"))
+    got = license_scan.licences(frame.select("*", F.lit(1).alias("id"))).collect()
+    named = {r.doc_id: r.family for r in got if r.doc_id >= 1000}
+    assert named == want
+    assert {r.family for r in got if r.doc_id < 1000} == {"none"}
+    assert len({tuple(r) for r in got if r.doc_id == rows[-1][0]}) == 1
+
+
+def test_the_licence_sample_is_bounded_and_of_different_paragraphs(spark):
+    lines = "\n".join(f"paragraph number {i} of the text" for i in range(500))
+    docs = spark.createDataFrame([(i, lines) for i in range(20)] + [(99, None)], "doc_id long, text string")
+    got = [r.line for r in license_scan.corpus_paragraphs(docs, "text", 100).collect()]
+    assert len(got) == len(set(got)) == 100
+    assert license_scan.corpus_paragraphs(docs, "text", 5000).count() == 500
+    assert license_scan.corpus_paragraphs(docs.limit(0), "text", 100).count() == 0
+
+
 def test_licences(spark):
     docs, _ = corpus(60, 4)
     notices = {
@@ -60,7 +99,8 @@ def test_licences(spark):
 
 
 def brute_pieces(word, p):
-    vocabulary = {s: i for i, s in enumerate(p.surface) if s and i not in set(p.byte_piece.tolist())}
+    single_bytes = set(p.byte_piece.tolist())
+    vocabulary = {s: i for i, s in enumerate(p.surface) if s and i not in single_bytes}
     starts = [i for i in range(len(word)) if word[i] & 0xC0 != 0x80] + [len(word)]
     best, back = {0: 0.0}, {}
     for a, i in enumerate(starts[:-1]):

@@ -355,3 +355,25 @@ def test_named_digests_are_no_secrets():
         assert secrets.random_spans(f'integrity="sha{size}-{digest}"') == []
         assert secrets.random_spans(f"key {digest[:40]}") != []
     assert secrets.random_spans("at 0x" + hashlib.md5(b"x").hexdigest()) == []
+
+
+def test_letters_of_one_case_are_tested():
+    assert secrets.random_spans("key xkqzwvjhbgfmrtpd.") == [(4, "random", 20)]
+    assert secrets.random_spans("hooks/incoming/XKQZWVJHBGFMRTPD") == [(15, "random", 31)]
+    plain = "internationalization Wissenschaftlichkeit otorhinolaryngologist UNCONSTITUTIONAL services/production/incoming"
+    assert secrets.random_spans(plain) == []
+
+
+def test_row_numbers_do_not_follow_the_cores(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ferrywright.llm.common import numbered, settled
+
+    spark.range(5000).withColumn("text", F.repeat(F.lit("x"), 40)).repartition(3).write.parquet(str(tmp_path / "t"))
+    conf, name = spark.conf, "spark.sql.leafNodeDefaultParallelism"
+    before = numbered(settled(spark.read.parquet(str(tmp_path / "t"))), "n").orderBy("id").collect()
+    conf.set(name, "1")
+    try:
+        assert numbered(settled(spark.read.parquet(str(tmp_path / "t"))), "n").orderBy("id").collect() == before
+    finally:
+        conf.unset(name)
