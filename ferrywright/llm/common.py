@@ -61,7 +61,9 @@ def settled(df: DataFrame) -> DataFrame:
     """
     conf = df.sparkSession.conf
     if conf.get(_LEAST_CUTS, None) is None:
-        conf.set(_LEAST_CUTS, conf.get("spark.sql.leafNodeDefaultParallelism", None) or df.sparkSession.sparkContext.defaultParallelism)
+        now = int(conf.get("spark.sql.leafNodeDefaultParallelism", None) or df.sparkSession.sparkContext.defaultParallelism)
+        # Executors may not have arrived yet.
+        conf.set(_LEAST_CUTS, str(max(now, 32)))
     plan = df._jdf.queryExecution().executedPlan().toString()
     return stage(df, "settled") if "Exchange" in plan else df
 
