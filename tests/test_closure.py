@@ -137,3 +137,14 @@ def test_a_run_over_a_circle(spark):
         "a": ["FK_ORPHAN", "FK_ORPHAN", "NOT_NULL"], "b": ["FK_ORPHAN"], "c": ["DUP_PK"]
     }
     assert counts.agg(F.sum("expected"), F.sum("actual")).first()[:] == (8, 3)
+
+
+def test_what_is_gone_is_taken_out_of_the_tables(spark, monkeypatch):
+    # A chain: each round takes one row, which refers to the one before.
+    n, written = 6, []
+    rows = {"s.a": [(k, k, k - 1 if k else 99, None) for k in range(n)]}
+    plain = K.stage
+    monkeypatch.setattr(K, "stage", lambda df, label: written.append(label) or plain(df, label))
+    found = K.unsupported([spec("a", fk("x", "a"))], frames(spark, rows))
+    assert sorted(r[K.PLACE] for r in found["s.a"].collect()) == list(range(n))
+    assert written.count("references") > 2
