@@ -101,3 +101,20 @@ def test_empty_files_headers_and_charsets(spark, tmp_path):
         read_landing_split(spark, path, ["a", "b", "c"], CsvLayout(encoding="GBK"))
     with pytest.raises(ValueError, match="multi_line"):
         read_table(spark, str(tmp_path), header_spec("s", "t", ["a", "b", "c"]), CsvLayout(line_sep="|"))
+
+
+def test_the_query_writes_more_files_as_the_table_grows(spark, tmp_path, small_blocks):
+    from pathlib import Path
+
+    from ferrywright.session import run_scratch
+    from showcase import QUERIES
+
+    rows = [(i, f"two\nlines {i}", "en", "web", 9) for i in range(400)]
+    for _ in range(4):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "documents.parquet")
+        )
+    small_blocks(4000)
+    with run_scratch(spark) as paths:
+        assert QUERIES["csv_split_multiline"](spark, str(tmp_path)).count() == 1600
+        assert len(list(Path(paths[0]).glob("tpch.documents.csv/part-*"))) > 1
