@@ -221,14 +221,21 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return compact_datetime(c)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return _float_text(c)
+        return _float_text(c, dtype)
     return c.cast("string")
 
 
-def _float_text(c: Column) -> Column:
+def _float_text(c: Column, dtype: T.DataType) -> Column:
     """Shortest digits, plain between 1e-4 and 1e21, otherwise with a two-digit exponent."""
     size = F.abs(c)
     shortest = c.cast("string")
+    # In this range the shortest digits are plain already; most values are whole or end in no zero.
+    whole = c.cast("long")
+    usual = (
+        F.when(whole.cast(dtype) == c, whole.cast("string"))
+        .when(shortest.endswith("0"), F.regexp_replace(shortest, r"\.?0+$", ""))
+        .otherwise(shortest)
+    )
     plain = F.when(size < 1e15, shortest.cast("decimal(38,21)").cast("string")).otherwise(
         shortest.cast("decimal(38,0)").cast("string")
     )
@@ -245,6 +252,7 @@ def _float_text(c: Column) -> Column:
         .when(F.isnan(c), "NaN")
         .when(size == float("inf"), F.when(c > 0, "+Inf").otherwise("-Inf"))
         .when(c == 0, F.when(shortest.startswith("-"), "-0").otherwise("0"))
+        .when((size >= 1e-3) & (size < 1e7), usual)
         .when((size >= 1e-4) & (size < 1e21), plain)
         .otherwise(F.concat(mantissa, F.lit("e"), sign, digits))
     )

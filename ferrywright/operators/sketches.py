@@ -39,25 +39,27 @@ def file_sketches(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     `quantiles` is that of numbers, dates as days and timestamps as seconds, and without
     values for other types. One pass; a group per file, whatever its size.
     """
-    parts = []
-    for f in df.schema.fields:
+    parts, values = [], [F.col("_metadata.file_path").alias("file")]
+    for i, f in enumerate(df.schema.fields):
         if columns is not None and f.name not in columns:
             continue
-        c = F.col(f.name)
-        text = V.value_text(c, f.dataType)
+        # Made ahead of the aggregate, once for all sketches that take them.
+        null, text, number = (F.col(f"{kind}{i}") for kind in ("null", "text", "number"))
+        own = F.col(f.name)
+        values += [own.isNull().alias(f"null{i}"), V.value_text(own, f.dataType).alias(f"text{i}"), _number(own, f.dataType).alias(f"number{i}")]
         parts.append(
             F.struct(
                 F.lit(f.name).alias("column"),
                 F.lit(f.dataType.simpleString()).alias("type"),
                 F.count(F.lit(1)).alias("rows"),
-                F.count_if(c.isNull()).alias("nulls"),
+                F.count_if(null).alias("nulls"),
                 F.hll_sketch_agg(text, LG_REGISTERS).alias("different"),
-                F.kll_sketch_agg_double(_number(c, f.dataType), QUANTILE_K).alias("quantiles"),
+                F.kll_sketch_agg_double(number, QUANTILE_K).alias("quantiles"),
                 F.call_function("approx_top_k_accumulate", F.when(F.char_length(text) <= LONGEST, text), F.lit(TRACKED)).alias("frequent"),
             )
         )
-    per_file = df.groupBy(F.regexp_replace("_metadata.file_path", _SLASHES, "$1:/").alias("file")).agg(F.array(*parts).alias("columns"))
-    return per_file.select("file", F.inline("columns"))
+    per_file = df.select(*values).groupBy("file").agg(F.array(*parts).alias("columns"))
+    return per_file.select(F.regexp_replace("file", _SLASHES, "$1:/").alias("file"), F.inline("columns"))
 
 
 def _number(c: Column, dtype: T.DataType) -> Column:

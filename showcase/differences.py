@@ -126,7 +126,8 @@ def profile_sketches(t: Tables) -> DataFrame:
     rows = t.lineitem.select(*columns).withColumn("l_quantity", F.nullif("l_quantity", F.lit(7.0)))
     root = scratch_path(t.spark, "profiled")
     for part in ("l_returnflag = 'A'", "l_returnflag <> 'A'"):
-        rows.filter(part).repartition(3).write.mode("append").parquet(f"{root}/rows")
+        # As many files as the table has splits, so that tasks to sketch them grow with it.
+        rows.filter(part).write.mode("append").parquet(f"{root}/rows")
         K.sketch_new_files(t.spark, f"{root}/rows", f"{root}/sketches")
     found = K.profile_of(K.merge_sketches(t.spark.read.parquet(f"{root}/sketches")), [0.5], top=1)
     exact = []

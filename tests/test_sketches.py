@@ -67,3 +67,10 @@ def test_new_and_empty_files(spark, tmp_path):
     found = {r["column"]: r for r in K.profile_of(K.merge_sketches(spark.read.parquet(store))).collect()}
     assert (found["a"]["distinct"], found["s"].nulls, found["a"].quantiles) == (1, 1, [1.0, 1.0, 1.0])
     assert all(v.item is None for v in found["s"].frequent)
+
+
+def test_values_are_made_once_for_all_sketches(spark, table):
+    plan = K.file_sketches(spark.read.parquet(table))._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = next(line for line in plan.splitlines() if "Aggregate" in line)
+    # The path and the texts come from a projection below.
+    assert "regexp_replace" not in aggregate and "date_format" not in aggregate
