@@ -64,14 +64,14 @@ def _load_group(
     parents: dict[str, DataFrame],
 ) -> list[tuple[TableSpec, LoadResult]]:
     if len(group) == 1:
-        return [(group[0], load_table(read(group[0]), group[0], steps, policy, parents))]
+        return [(group[0], load_table(read(group[0]), group[0], steps, policy, parents, store=True))]
     inner = references(group)
     checked = {}
     for table in group:
         name = table.full_name.lower()
         own = {r.number for r in inner if r.child == name}
         outer = replace(table, foreign_keys=tuple(fk for i, fk in enumerate(table.foreign_keys) if i not in own))
-        checked[name] = stage(check_table(read(table), outer, steps, parents), "checked")
+        checked[name] = check_table(read(table), outer, steps, parents, store=True)
     refused = unsupported(group, {name: rows.filter(F.size(REASONS) == 0) for name, rows in checked.items()})
     out = []
     for table in group:
@@ -81,7 +81,8 @@ def _load_group(
             if r.child == name:
                 places = refused[name].filter(F.col("_number") == r.number).select(PLACE)
                 rows = mark_places(rows, places, PLACE, r.key)
-        out.append((table, settle(rows, table, policy, target=steps.target)))
+        # Read as accepted rows, as rejects, for the counts and as parents.
+        out.append((table, settle(stage(rows, "marked"), table, policy, target=steps.target)))
     return out
 
 
