@@ -2,13 +2,13 @@
 
 A text is the set of its runs of five words. The shingles are ordered by rarity, so that
 similar sets must share one of the first, rare shingles of both. Texts with equal sets are
-one text to the join. What shares such a shingle is tested by sizes and places, and what
-passes is verified on the whole sets. No pair is left out, whatever the bits in which
+one text to the join. What shares such a shingle is tested by sizes and places, what passes
+by all rare shingles of both, and what is left is verified on the whole sets. No pair is left out, whatever the bits in which
 fingerprints of the texts differ.
 
 Pairs with the first and the previous text that have the same rare shingle come first, of
 them the one with the most such shingles: they join almost all of a group of copies. Only shingles whose texts are then in several groups
-are looked at again, and only pairs across groups.
+are looked at again, and only pairs across groups. Another method may name pairs to be verified ahead of all.
 """
 
 from __future__ import annotations
@@ -66,38 +66,69 @@ def _possible(a: str, b: str, t: float) -> Column:
     return (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9) & place
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+def _likely(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """Those of the pairs (a, b) that their rare shingles do not rule out.
+
+    Up to the lesser of both last rare shingles, those that both texts have are counted; of
+    the others they cannot have more in common than the one with fewer has.
+    """
+    sides = [sets.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"rare_{c}")) for c in "ab"]
+    x, y = F.col("rare_a"), F.col("rare_b")
+    end = F.least(F.element_at(x, -1), F.element_at(y, -1))
+    rest = F.least(*[F.col(f"n_{c}") - F.size(F.filter(f"rare_{c}", lambda k: k <= end)) for c in "ab"])
+    # Shingles that share a key count as one in the intersection.
+    twice = F.greatest(*[F.size(v) - F.size(F.array_distinct(v)) for v in (x, y)])
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9))
+    possible = F.size(F.array_intersect(x, y)) + twice + rest >= need
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Those of the pairs (a, b) of rows whose shingles reach the threshold."""
-    pairs = staged(pairs.distinct(), "copy_pairs")
+    tried = staged(pairs.distinct(), "tried_pairs")
+    pairs = staged(_likely(tried, sets, t), "copy_pairs")
+    if pairs.isEmpty():
+        discard(tried)
+        return pairs
     ends = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "row"), "copy_rows")
     found = rows.join(F.broadcast(ends) if ends.count() <= MOST_BROADCAST else ends, "row")
-    sets = staged(with_shingles(found, "text").select("row", "shingles"), "copy_shingles")
-    left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
+    whole = staged(with_shingles(found, "text").select("row", "shingles"), "copy_shingles")
+    left = whole.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
+    right = whole.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     alike = common >= F.lit(t) * (F.size("x") + F.size("y") - common) - 1e-9
     out = staged(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "copy_links")
-    discard(pairs, ends, sets)
+    discard(tried, pairs, ends, whole)
     return out
 
 
-def _linked_early(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+def _linked_early(pairs: DataFrame, rows: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Links that join most of each group: every text with the one it shares most rare shingles with, and those that
     this leaves alone with all their others. Whole sets travel with each pair, so few pairs are tried."""
     tried = staged(pairs.groupBy("a", "b").agg(F.count("*").alias("common")), "early_pairs")
     most = tried.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
-    first = _verified(most.select("a", "b"), rows, t)
+    first = _verified(most.select("a", "b"), rows, sets, t)
     alone = tried.select("a", "b").join(first.select("a").distinct(), "a", "left_anti").join(most, ["a", "b"], "left_anti")
-    second = _verified(alone, rows, t)
+    second = _verified(alone, rows, sets, t)
     out = staged(first.union(second), "early_links")
     discard(tried, first, second)
     return out
 
 
-def groups(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
+def _between_sets(near: DataFrame, sets: DataFrame, same: DataFrame, same_set: list[str]) -> DataFrame:
+    """Pairs of rows as pairs (a, b) of the first rows of their sets, a the later one; pairs within a set are left out."""
+    of = sets.select("row", *same_set).join(same, same_set).select("row", "first")
+    sides = [of.select(F.col("row").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab"]
+    pairs = near.select("a", "b").join(sides[0], "a").join(sides[1], "b").filter("first_a <> first_b")
+    return pairs.select(F.greatest("first_a", "first_b").alias("a"), F.least("first_a", "first_b").alias("b"))
+
+
+def groups(rows: DataFrame, t: float = SIMILARITY, near: DataFrame | None = None) -> DataFrame:
     """Columns (row, root) for every row of `rows`, which has row (long, distinct) and text: equal roots are linked.
 
-    The root is a row of the group. Texts without words are one group.
+    The root is a row of the group. Texts without words are one group. `near` may have pairs
+    (a, b) of rows that another method takes for near copies: those that are join their
+    groups, and are not tried again.
     """
     shingled = with_shingles(rows.select("row", "text"), "text").select("row", "shingles")
     classes = _classes(shingled)
@@ -129,9 +160,16 @@ def groups(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
     shared = staged(seen.filter("last_row is not null or next_row is not null").drop("next_row"), "shared_tokens")
 
     head, last = (F.struct(*[F.col(f"{k}_{c}").alias(c) for c in ("row", "n", "at")]) for k in ("head", "last"))
-    near = shared.filter("last_row is not null").select(F.struct("row", "n", "at").alias("me"), F.explode(F.array(head, last)).alias("o"))
+    met = shared.filter("last_row is not null").select(F.struct("row", "n", "at").alias("me"), F.explode(F.array(head, last)).alias("o"))
     names = F.col("me.row").alias("a"), F.col("o.row").alias("b")
-    links = _linked_early(near.filter(_possible("me", "o", t)).select(*names), rows, t)
+    early = met.filter(_possible("me", "o", t)).select(*names)
+    if near is None:
+        links = _linked_early(early, rows, sets, t)
+    else:
+        known = _verified(_between_sets(near, sets, same, same_set), rows, sets, t)
+        rest = _linked_early(early.join(known, ["a", "b"], "left_anti"), rows, sets, t)
+        links = staged(known.union(rest), "copy_links")
+        discard(known, rest)
 
     roots = staged(components(links), "copy_roots")
     placed = shared.select("token", "row", "n", "at").join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
@@ -142,7 +180,7 @@ def groups(rows: DataFrame, t: float = SIMILARITY) -> DataFrame:
     if not placed.isEmpty():
         across = (F.col("me.token") == F.col("o.token")) & (F.col("me.root") < F.col("o.root"))
         pairs = placed.alias("me").join(placed.alias("o"), across & _possible("me", "o", t)).select(*names)
-        more = _verified(pairs, rows, t)
+        more = _verified(pairs, rows, sets, t)
         if not more.isEmpty():
             roots = staged(components(links.union(more)), "copy_roots")
     of_set = same.join(roots.withColumnRenamed("node", "first"), "first", "left")

@@ -254,18 +254,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: float = near_copies.SIMILARITY) -> DataFrame:
+def near_pairs(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs (a, b) of rows that the trie links, enough to connect all that are; `rows` has row (long, distinct) and text.
+
+    Rows with one fingerprint are linked to the first of them, and those first ones as `links` says.
+    """
+    marked = stage(with_fingerprints(rows.select("row", "text")), "fingerprints")
+    fps = stage(marked.groupBy("fp").agg(F.min("row").alias("low")), "distinct_fingerprints")
+    equal = marked.join(fps, "fp").filter("row <> low").select(F.col("row").alias("a"), F.col("low").alias("b"))
+    sides = [fps.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab"]
+    close = links(fps.select("fp"), max_bits).join(sides[0], "a").join(sides[1], "b")
+    return stage(equal.union(close.select("low_a", "low_b")), "near_pairs")
+
+
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", t: float = near_copies.SIMILARITY, max_bits: int = MAX_BITS
+) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: that with the smallest id.
 
-    Here near-duplicates are verified, whatever the bits of their fingerprints: sets of five-word
-    shingles with a Jaccard similarity of at least `t`, as `near_copies` says. Similar texts differ
-    in up to a quarter of the bits, which the trie cannot follow without comparing all with all.
+    The trie's links come first and are verified: sets of five-word shingles with a Jaccard
+    similarity of at least `t`. Texts so similar may differ in up to a quarter of the bits,
+    which the trie cannot follow without comparing all with all, so `near_copies` adds the
+    links between texts that differ in more than `max_bits` bits.
     Of rows with equal ids the first in the table stays; a null id comes after all others.
     """
     docs = settled(docs)
     (row,) = fresh(docs, "_row")
     rows = numbered(docs, row)
-    found = near_copies.groups(rows.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text")), t)
+    texts = rows.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text"))
+    found = near_copies.groups(texts, t, near_pairs(texts, max_bits))
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row))
     keys = rows.select(F.col(row).alias("row"), order.alias("key"))
     first = keys.join(found, "row").groupBy("root").agg(F.min("key").alias("low"))

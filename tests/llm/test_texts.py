@@ -377,3 +377,14 @@ def test_row_numbers_do_not_follow_the_cores(spark, tmp_path):
         assert numbered(settled(spark.read.parquet(str(tmp_path / "t"))), "n").orderBy("id").collect() == before
     finally:
         conf.unset(name)
+
+
+def test_keep_first_verifies_what_the_trie_links(spark, monkeypatch):
+    plain, named = simhash_trie.near_copies.groups, []
+    monkeypatch.setattr(simhash_trie.near_copies, "groups", lambda rows, t, near: named.append(near) or plain(rows, t, near))
+    # No word, one text in two cases, and two texts apart.
+    texts = ["", None, "one two three four five six", "One two three four five SIX", "seven eight nine ten eleven", "of other words altogether here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in simhash_trie.keep_first(docs).collect()) == [0, 2, 4, 5]
+    (near,) = named
+    assert near.count() == 2
