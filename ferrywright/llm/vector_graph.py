@@ -103,6 +103,8 @@ def prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alp
     """The robust-pruned neighbours of each unit vector: the nearest candidate is kept, and those go that are nearer to it."""
     n = len(x)
     c = min(candidates, n - 1)
+    # Which neighbours are kept decides what the search reads, not which pairs it verifies.
+    x = x.astype(np.float32)
     out: list[np.ndarray] = []
     if c < 1:
         return [np.array([], np.int64)] * n
@@ -117,7 +119,7 @@ def prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alp
         d = 1 - np.take_along_axis(near, pool, axis=1)
         order = np.argsort(d, axis=1, kind="stable")
         pool, d = np.take_along_axis(pool, order, axis=1), np.take_along_axis(d, order, axis=1)
-        between = 1 - np.einsum("qcd,qed->qce", x[pool], x[pool])
+        between = 1 - x[pool] @ x[pool].transpose(0, 2, 1)
         alive, kept = d < 3, [[] for _ in part]
         rows = np.arange(len(part))
         for _ in range(degree):
@@ -135,34 +137,70 @@ def prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alp
 
 
 def search(x: np.ndarray, ptr: np.ndarray, nbr: np.ndarray, entry: int, queries: np.ndarray, cosine: float, beam: int):
-    """Pairs (query, node) in range: best-first from the entry, and through all nodes in range."""
-    n = len(x)
-    score, done = np.full((len(queries), n), -2.0), np.zeros((len(queries), n), bool)
-    score[:, entry] = x[queries] @ x[entry]
-    rows = np.arange(len(queries))
+    """Pairs (query, node) in range: best-first from the entry, and through all nodes in range.
+
+    Of each query only the `beam` best nodes are held, and whether they were visited. Single
+    precision leads the way; the pairs are verified in double.
+    """
+    n, m = len(x), len(queries)
+    single = x.astype(np.float32)
+    asked = single[queries]
+    seen = np.zeros((m, n), bool)
+    top, at, done = np.full((m, beam), -2.0, np.float32), np.zeros((m, beam), np.int64), np.ones((m, beam), bool)
+    found_q, found_n = [], []
+    q, node = np.arange(m), np.full(m, entry)
     while True:
-        waiting = np.where(done, -3.0, score)
+        seen[q, node] = True
+        score = np.concatenate(
+            [
+                np.einsum("ij,ij->i", asked.take(q[k : k + 50_000], axis=0), single.take(node[k : k + 50_000], axis=0))
+                for k in range(0, len(q), 50_000)
+            ]
+            or [np.zeros(0, np.float32)]
+        )
+        ranged = score >= cosine - 1e-5
+        found_q.append(q[ranged])
+        found_n.append(node[ranged])
+        if len(q):
+            order = np.lexsort((-score, q))
+            count = np.bincount(q, minlength=m)
+            some = np.flatnonzero(count)
+            count = count[some]
+            place = np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count)
+            order, row, place = (v[place < beam] for v in (order, np.repeat(np.arange(len(some)), count), place))
+            more = np.full((len(some), beam), -2.0, np.float32), np.zeros((len(some), beam), np.int64), np.ones((len(some), beam), bool)
+            # Nodes in range are visited next, whatever their place.
+            for all_new, new in zip(more, (score, node, ranged), strict=True):
+                all_new[row, place] = new[order]
+            now = [np.concatenate([old[some], new], axis=1) for old, new in zip((top, at, done), more, strict=True)]
+            best = np.argpartition(-now[0], beam - 1, axis=1)[:, :beam]
+            for old, new in zip((top, at, done), now, strict=True):
+                old[some] = np.take_along_axis(new, best, axis=1)
+        # Queries without new nodes in range visit the best of theirs.
+        waiting = np.where(done, np.float32(-3), top)
         best = waiting.argmax(axis=1)
-        top = waiting[rows, best]
-        wider = (done & (score >= top[:, None])).sum(axis=1) < beam
-        todo = np.zeros_like(done)
-        todo[rows, best] = wider & (top > -2)
-        todo |= (score >= cosine - 1e-6) & ~done
-        q, node = np.nonzero(todo)
-        if not len(q):
+        free = waiting[np.arange(m), best] > -2
+        free[q[ranged]] = False
+        free = np.flatnonzero(free)
+        done[free, best[free]] = True
+        from_q, from_n = np.concatenate([q[ranged], free]), np.concatenate([node[ranged], at[free, best[free]]])
+        if not len(from_q):
             break
-        done[q, node] = True
-        count = ptr[node + 1] - ptr[node]
-        other = nbr[np.repeat(ptr[node], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        key = np.unique(np.repeat(q, count) * n + other)
-        q, other = key // n, key % n
-        new = score[q, other] == -2
-        q, other = q[new], other[new]
-        for lo in range(0, len(q), 200_000):
-            a, b = q[lo : lo + 200_000], other[lo : lo + 200_000]
-            score[a, b] = np.einsum("ij,ij->i", x[queries[a]], x[b])
-    q, node = np.nonzero(score >= cosine)
-    return queries[q], node
+        count = ptr[from_n + 1] - ptr[from_n]
+        other = nbr[np.repeat(ptr[from_n], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        q = np.repeat(from_q, count)
+        key = q * n + other
+        key = np.sort(key[~seen.ravel()[key]])
+        key = key[np.diff(key, prepend=-1) > 0]
+        q, node = key // n, key % n
+    q, node = np.concatenate(found_q), np.concatenate(found_n)
+    left, right = [q[:0]], [q[:0]]
+    for k in range(0, len(q), 50_000):
+        a, b = queries[q[k : k + 50_000]], node[k : k + 50_000]
+        fine = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+        left.append(a[fine])
+        right.append(b[fine])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def build(shards: DataFrame) -> DataFrame:
@@ -193,7 +231,7 @@ def range_pairs(nodes: DataFrame, shards: DataFrame, graph: DataFrame, cosine: f
         ids, own = table.column("node").to_numpy(), table.column("own").to_numpy()
         x = _matrix(table.column("v"))
         lists = table.column("nbrs").combine_chunks()
-        lens = np.array([len(v) if v is not None else 0 for v in lists.to_pylist()], np.int64)
+        lens = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten().to_numpy()
         place = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
         here = ids[place] == flat
@@ -202,14 +240,13 @@ def range_pairs(nodes: DataFrame, shards: DataFrame, graph: DataFrame, cosine: f
         inside = np.flatnonzero(own)
         middle = x[inside].mean(axis=0)
         entry = int(inside[np.argmax(x[inside] @ middle)])
-        left, right = [ids[:0]], [ids[:0]]
+        found = [inside[:0]]
         for lo in range(0, len(inside), _QUERIES):
             q, node = search(x, ptr, place[here], entry, inside[lo : lo + _QUERIES], cosine, beam)
             apart = q != node
-            left.append(ids[np.minimum(q, node)[apart]])
-            right.append(ids[np.maximum(q, node)[apart]])
-        key = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pa.table({"a": key[:, 0], "b": key[:, 1]})
+            found.append(np.minimum(q, node)[apart] * len(ids) + np.maximum(q, node)[apart])
+        key = np.unique(np.concatenate(found))
+        return pa.table({"a": ids[key // len(ids)], "b": ids[key % len(ids)]})
 
     return all_nodes.groupBy("shard").applyInArrow(find, "a long, b long").distinct()
 

@@ -213,6 +213,24 @@ def test_shards_overlap_and_find_all(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not there")
+def test_a_search_holds_little_of_each_query():
+    import tracemalloc
+
+    n, rng = 40_000, np.random.default_rng(5)
+    turn = np.arange(n) * 0.002 + rng.uniform(0, 1e-4, n)
+    x = np.stack([np.cos(turn), np.sin(turn)], 1)
+    nbr = np.stack([(np.arange(n) - 1) % n, (np.arange(n) + 1) % n, (np.arange(n) + 1571) % n], 1).ravel()
+    queries = np.arange(0, 1280, 10)
+    tracemalloc.start()
+    q, node = vector_graph.search(x, np.arange(n + 1) * 3, nbr, 0, queries, 0.999_99, 24)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A byte per query and vector, not several numbers.
+    assert peak < 4 * len(queries) * n
+    assert (np.einsum("ij,ij->i", x[q], x[node]) >= 0.999_99).all()
+    assert set(queries) <= set(q[q == node]) and len(set(zip(q, node))) == len(q)
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
