@@ -4,8 +4,9 @@ Lines are sets of words. Two match when the Jaccard similarity of their sets rea
 threshold. The words of a line are ordered by rarity, so that matching lines must share
 one of the first, rare words of both. Lines with equal sets are one line to the join.
 What shares such a word is tested by the sizes, by the places of the word and by a
-parity bitmap of the sets, which bounds their difference; what passes is verified on
-the whole sets, whose words are 64-bit hashes.
+parity bitmap of the sets, which bounds their difference; what passes is tested by short
+hashes of the words, and then verified on the whole sets, whose words are 64-bit hashes.
+Of the pairs of a line the likeliest is verified first, the others if it fails.
 
 In a group of many similar lines almost all are close to the first one that has the same
 rare word. Such pairs of a line and the first or the previous one are tried before any
@@ -28,6 +29,8 @@ from ferrywright.session import discard
 SIMILARITY = 0.8
 # Counters of words; a word's rarity is that of its counter, the order of rare words is refined by their length.
 COUNTERS = 1 << 16
+# Lines of more words than this have a parity bitmap of twice the length.
+LONG_LINE = 40
 # Broadcast no more lines than this when candidates are looked up.
 MOST_BROADCAST = 500_000
 
@@ -85,8 +88,38 @@ def _possible(a: str, b: str, t: float) -> Column:
     need = _least_overlap(n, m, t)
     length = (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9)
     place = 1 + F.least(n - F.col(f"{a}.at") - 1, m - F.col(f"{b}.at") - 1) >= need
-    parity = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= n + m - 2 * need
-    return length & place & parity
+    flips, more = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("bits", "more"))
+    # Both halves of a long line's bitmap make, as one, the bitmap of a short line.
+    halves = F.bit_count(flips) + F.bit_count(more)
+    differ = F.when(F.least(n, m) > LONG_LINE, halves).otherwise(F.bit_count(flips.bitwiseXOR(more)))
+    return length & place & (differ <= n + m - 2 * need)
+
+
+def _likely(pairs: DataFrame, words: DataFrame, t: float) -> DataFrame:
+    """Those of the pairs that hashes of 16 bits of their words do not rule out, with the common words at most."""
+    size, low = F.size("words"), F.lit(0xFFFF).cast("long")
+    short = F.array_distinct(F.transform("words", lambda w: (w.bitwiseAND(low) - 0x8000).cast("smallint")))
+    sides = [
+        words.select(
+            F.col("row").alias(f"row{k}"), F.col("line_no").alias(f"line_no{k}"), size.alias(f"n{k}"), short.alias(f"short{k}")
+        )
+        for k in ("", "2")
+    ]
+    both = pairs.join(sides[0], ["row", "line_no"]).join(sides[1], ["row2", "line_no2"])
+    # Words that share a hash count as one in the intersection.
+    twice = F.least(*[F.col(f"n{k}") - F.size(f"short{k}") for k in ("", "2")])
+    both = both.withColumn("most", F.size(F.array_intersect("short", "short2")) + twice)
+    possible = F.col("most") >= _least_overlap(F.col("n"), F.col("n2"), t)
+    return both.filter(possible).select(*pairs.columns, (F.col("most") / (F.col("n") + F.col("n2"))).alias("share"))
+
+
+def _alike(pairs: DataFrame, words: DataFrame, t: float) -> DataFrame:
+    """The lines (row, line_no) of those of the pairs whose sets reach the threshold."""
+    other = words.select(F.col("row").alias("row2"), F.col("line_no").alias("line_no2"), F.col("words").alias("words2"))
+    both = pairs.join(words, ["row", "line_no"]).join(other, ["row2", "line_no2"])
+    common = F.size(F.array_intersect("words", "words2"))
+    alike = common >= F.lit(t) * (F.size("words") + F.size("words2") - common) - 1e-9
+    return both.filter(alike).select("row", "line_no").distinct()
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, t: float) -> DataFrame:
@@ -101,12 +134,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, t: float)
     # Pairs carry numbers of eight bytes, not the words.
     hashed = F.array_distinct(F.transform(words_of(F.get("all", F.col("line_no"))), lambda w: F.xxhash64(w)))
     words = staged(lines.select("row", "line_no", hashed.alias("words")), "words")
-    other = words.select(F.col("row").alias("row2"), F.col("line_no").alias("line_no2"), F.col("words").alias("words2"))
-    both = pairs.join(words, ["row", "line_no"]).join(other, ["row2", "line_no2"])
-    common = F.size(F.array_intersect("words", "words2"))
-    alike = common >= F.lit(t) * (F.size("words") + F.size("words2") - common) - 1e-9
-    out = staged(both.filter(alike).select("row", "line_no").distinct(), "matched_lines")
-    discard(ends, words)
+    likely = staged(_likely(pairs, words, t), "likely_pairs")
+    other = F.struct("row2", "line_no2")
+    best = likely.groupBy("row", "line_no").agg(F.max_by(other, F.struct("share", other)).alias("o"))
+    best = staged(best.select("row", "line_no", "o.*"), "likeliest_pairs")
+    first = staged(_alike(best, words, t), "matched_first")
+    rest = likely.drop("share").join(first, ["row", "line_no"], "left_anti")
+    rest = rest.join(best, ["row", "line_no", "row2", "line_no2"], "left_anti")
+    out = staged(first.union(_alike(rest, words, t)), "matched_lines")
+    discard(ends, words, likely, best, first)
     return out
 
 
@@ -120,23 +156,26 @@ def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIM
     sized = lines.withColumn("keys", F.sort_array(F.transform("codes", lambda c: _key(c, classes)))).withColumn("n", F.size("keys"))
     one, low = F.lit(1).cast("long"), F.lit(63).cast("long")
     flips = lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(low).cast("int")))
+    parity = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), flips)
+    half = F.filter("keys", lambda k: k.bitwiseAND(F.lit(64).cast("long")) != 0)
     order = ["row", "line_no"] if row == id_col else ["id", "row", "line_no"]
     sets = sized.select(
         *order, "n",
         F.xxhash64("keys").alias("set"),
-        F.aggregate("keys", F.lit(0).cast("long"), flips).alias("bits"),
+        parity(F.col("keys")).alias("bits"),
+        F.when(F.col("n") > LONG_LINE, parity(half)).otherwise(F.lit(0).cast("long")).alias("more"),
         F.slice("keys", F.lit(1), _prefix_size(F.col("n"), t)).alias("prefix"),
     )
     # Equal sets are one line, the first of them; copies are reduced before the shuffle.
     first = sets.withColumn("place", F.row_number().over(W.partitionBy("set").orderBy(*order))).filter("place = 1")
-    first = staged(first.drop("place", "set"), "line_sets")
+    first = staged(first.drop("place", "set").withColumn("bits", F.col("bits").bitwiseXOR(F.col("more"))), "line_sets")
     # A set matches other sets only if it could match one of a word more: sets of one to three words only equal ones.
     wide = first.filter(F.col("n") >= F.lit(t) * (F.col("n") + 1) - 1e-9)
     settled_lines = _settled_early(wide, rows, row, text, order, t)
     small = settled_lines.count() <= MOST_BROADCAST
     early = settled_lines.withColumn("early", F.lit(True))
     marked = wide.join(F.broadcast(early) if small else early, ["row", "line_no"], "left").withColumn("open", F.col("early").isNull())
-    tokens = marked.select(*order, "n", "bits", "open", F.posexplode("prefix").alias("at", "token"))
+    tokens = marked.select(*order, "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "token"))
     earlier = F.struct(*[F.col(f"o.{c}") for c in order]) < F.struct(*[F.col(f"me.{c}") for c in order])
     # Said of both sides, so that both read the same shuffle: the words are equal, so it says that `me` is open.
     is_open = F.col("me.open") | (F.col("o.open") & (F.col("me.token") != F.col("o.token")))
@@ -155,11 +194,14 @@ def _settled_early(first: DataFrame, rows: DataFrame, row: str, text: str, order
 
     Copies with words of their own share only later words of the prefix, so all of it is tried.
     """
-    tokens = first.select(*order, "n", "bits", F.posexplode("prefix").alias("at", "token"))
+    tokens = first.select(*order, "n", "bits", "more", F.posexplode("prefix").alias("at", "token"))
     by_token = W.partitionBy("token").orderBy(*order)
-    me = F.struct(*order, "n", "bits", "at")
-    seen = tokens.select(me.alias("me"), F.first(me).over(by_token).alias("head"), F.lag(me).over(by_token).alias("last"))
-    near = seen.filter("last is not null").select("me", F.explode(F.array("head", "last")).alias("o"))
+    # Plain columns, because a struct would be made ahead of the shuffle, and travel beside them.
+    parts = ["row", "line_no", "n", "bits", "more", "at"]
+    others = [f.over(by_token).alias(f"{k}_{c}") for c in parts for k, f in (("head", F.first(c)), ("last", F.lag(c)))]
+    seen = tokens.select("token", *order, *parts[2:], *others).filter("last_n is not null")
+    head, last = (F.struct(*[F.col(f"{k}_{c}").alias(c) for c in parts]) for k in ("head", "last"))
+    near = seen.select(F.struct(*parts).alias("me"), F.explode(F.array(head, last)).alias("o"))
     near = near.filter(_possible("me", "o", t))
     names = [F.col(f"me.{c}") for c in ("row", "line_no")] + [F.col(f"o.{c}").alias(f"{c}2") for c in ("row", "line_no")]
     pairs = staged(near.select(*names).distinct(), "near_pairs")
