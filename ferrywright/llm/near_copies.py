@@ -3,12 +3,13 @@
 A text is the set of its runs of five words. The shingles are ordered by rarity, so that
 similar sets must share one of the first, rare shingles of both. Texts with equal sets are
 one text to the join. What shares such a shingle is tested by sizes and places, what passes
-by all rare shingles of both, and what is left is verified on the whole sets. No pair is left out, whatever the bits in which
+by all rare shingles of both, by parity bitmaps of the sets, and what is left is verified on the whole sets. No pair is left out, whatever the bits in which
 fingerprints of the texts differ.
 
 Pairs with the first and the previous text that have the same rare shingle come first, of
-them the one with the most such shingles: they join almost all of a group of copies. Only shingles whose texts are then in several groups
-are looked at again, and only pairs across groups. Another method may name pairs to be verified ahead of all.
+them the one with the most such shingles, and a few more where it fails: they join almost all of a group of copies. Only
+shingles whose texts are then in several groups are looked at again, and only pairs across groups: the rare shingles that
+a pair has in common are counted, and rule out almost all pairs before any set travels. Another method may name pairs to be verified ahead of all.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # Counters of shingles; a shingle's rarity is that of its counter.
 COUNTERS = 1 << 16
+# Pairs of a text that are tried early when its likeliest one fails; all others are tried with those across groups.
+MORE_EARLY = 3
+# Longs of a text's parity bitmap.
+PARITY = 16
 # Broadcast no more rows than this.
 MOST_BROADCAST = 500_000
 
@@ -66,6 +71,28 @@ def _possible(a: str, b: str, t: float) -> Column:
     return (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9) & place
 
 
+def _prefix_size(n: Column, t: float) -> Column:
+    return n - F.ceil(F.lit(t) * n - F.lit(1e-9)).cast("int") + 1
+
+
+def _across(placed: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of rows of two groups that have enough rare shingles in common to be near copies.
+
+    Up to the lesser of both last rare shingles all that they have in common is counted; the
+    text whose last one that is has only its other shingles left. Every common shingle of a
+    pair is at places that leave room for the others before and behind it.
+    """
+    n, m = F.col("me.n"), F.col("o.n")
+    need = F.ceil(F.lit(t / (1 + t)) * (n + m) - F.lit(1e-9))
+    length = F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9
+    before, behind = F.least("me.at", "o.at"), F.least(n - F.col("me.at"), m - F.col("o.at"))
+    across = (F.col("me.token") == F.col("o.token")) & (F.col("me.root") < F.col("o.root")) & length & (before + behind >= need)
+    found = placed.alias("me").join(placed.alias("o"), across)
+    least = need - F.greatest(n - _prefix_size(n, t), m - _prefix_size(m, t))
+    found = found.select(F.col("me.row").alias("a"), F.col("o.row").alias("b"), least.alias("least"))
+    return found.groupBy("a", "b", "least").agg(F.count("*").alias("common")).filter("common >= least").select("a", "b")
+
+
 def _likely(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Those of the pairs (a, b) that their rare shingles do not rule out.
 
@@ -83,33 +110,54 @@ def _likely(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Those of the pairs (a, b) of rows whose shingles reach the threshold."""
+def _close(pairs: DataFrame, whole: DataFrame, t: float) -> DataFrame:
+    """Those of the pairs (a, b) that a parity bitmap of the shingles does not rule out: it bounds their difference."""
+    s, one = F.col("s"), F.lit(1).cast("long")
+    bit = F.call_function("shiftleft", one, s.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    part = F.shiftrightunsigned(s, 6).bitwiseAND(F.lit(PARITY - 1).cast("long"))
+    maps = [F.bit_xor(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITY)]
+    made = whole.select("row", F.explode("shingles").alias("s")).groupBy("row").agg(F.count("*").alias("n"), *maps)
+    made = staged(made, "parity_maps")
+    sides = [made.select(F.col("row").alias(c), *[F.col(m).alias(f"{c}_{m}") for m in made.columns[1:]]) for c in "ab"]
+    differ = sum(F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(PARITY))
+    both = F.col("a_n") + F.col("b_n")
+    possible = differ <= both - 2 * F.ceil(F.lit(t / (1 + t)) * both - F.lit(1e-9))
+    out = staged(pairs.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b"), "close_pairs")
+    discard(made)
+    return out
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, t: float, counted: bool = False) -> DataFrame:
+    """Those of the pairs (a, b) of rows whose shingles reach the threshold; `counted` pairs are as `_across` leaves them."""
     tried = staged(pairs.distinct(), "tried_pairs")
-    pairs = staged(_likely(tried, sets, t), "copy_pairs")
+    pairs = tried if counted else staged(_likely(tried, sets, t), "copy_pairs")
     if pairs.isEmpty():
-        discard(tried)
+        if not counted:
+            discard(tried)
         return pairs
     ends = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "row"), "copy_rows")
     found = rows.join(F.broadcast(ends) if ends.count() <= MOST_BROADCAST else ends, "row")
     whole = staged(with_shingles(found, "text").select("row", "shingles"), "copy_shingles")
+    close = _close(pairs, whole, t)
     left = whole.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
     right = whole.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     alike = common >= F.lit(t) * (F.size("x") + F.size("y") - common) - 1e-9
-    out = staged(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "copy_links")
-    discard(tried, pairs, ends, whole)
+    out = staged(close.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "copy_links")
+    discard(tried, pairs, ends, whole, close)
     return out
 
 
 def _linked_early(pairs: DataFrame, rows: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Links that join most of each group: every text with the one it shares most rare shingles with, and those that
-    this leaves alone with all their others. Whole sets travel with each pair, so few pairs are tried."""
+    this leaves alone with the next ones. Whole sets travel with each pair, so few pairs are tried."""
     tried = staged(pairs.groupBy("a", "b").agg(F.count("*").alias("common")), "early_pairs")
     most = tried.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
     first = _verified(most.select("a", "b"), rows, sets, t)
-    alone = tried.select("a", "b").join(first.select("a").distinct(), "a", "left_anti").join(most, ["a", "b"], "left_anti")
-    second = _verified(alone, rows, sets, t)
+    alone = tried.join(first.select("a").distinct(), "a", "left_anti").join(most, ["a", "b"], "left_anti")
+    place = F.row_number().over(W.partitionBy("a").orderBy(F.desc("common"), F.desc("b")))
+    alone = alone.withColumn("place", place).filter(F.col("place") <= MORE_EARLY)
+    second = _verified(alone.select("a", "b"), rows, sets, t)
     out = staged(first.union(second), "early_links")
     discard(tried, first, second)
     return out
@@ -137,13 +185,12 @@ def groups(rows: DataFrame, t: float = SIMILARITY, near: DataFrame | None = None
         F.xxhash64(s).bitwiseAND(low)
     )
     sized = shingled.withColumn("n", F.size("shingles")).withColumn("keys", F.sort_array(F.transform("shingles", key)))
-    prefix = F.col("n") - F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)).cast("int") + 1
     # Two hashes tell equal sets: one of 64 bits would take some of very many for equal.
     ordered = F.sort_array("shingles")
     same_set = ["set", "set2"]
     sets = sized.select(
         "row", "n", F.xxhash64(ordered).alias("set"), F.xxhash64(F.lit("second"), ordered).alias("set2"),
-        F.slice("keys", F.lit(1), prefix).alias("prefix"),
+        F.slice("keys", F.lit(1), _prefix_size(F.col("n"), t)).alias("prefix"),
     )
     sets = staged(sets, "shingle_sets")
     # Equal sets are one, the first of them; copies are reduced before the shuffle.
@@ -178,9 +225,7 @@ def groups(rows: DataFrame, t: float = SIMILARITY, near: DataFrame | None = None
     placed = staged(placed.join(several.select("token"), "token", "left_semi"), "open_tokens")
     more = None
     if not placed.isEmpty():
-        across = (F.col("me.token") == F.col("o.token")) & (F.col("me.root") < F.col("o.root"))
-        pairs = placed.alias("me").join(placed.alias("o"), across & _possible("me", "o", t)).select(*names)
-        more = _verified(pairs, rows, sets, t)
+        more = _verified(_across(placed, t), rows, sets, t, counted=True)
         if not more.isEmpty():
             roots = staged(components(links.union(more)), "copy_roots")
     of_set = same.join(roots.withColumnRenamed("node", "first"), "first", "left")

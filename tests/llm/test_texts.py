@@ -9,7 +9,7 @@ import re
 import pytest
 import xxhash
 
-from ferrywright.llm import line_frequency, line_join, packing, pseudonyms, secrets, simhash_trie
+from ferrywright.llm import line_frequency, line_join, near_copies, packing, pseudonyms, secrets, simhash_trie
 
 SCHEMA = "doc_id long, text string, source string, extra int, fp int, row int"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
@@ -160,6 +160,44 @@ def test_lines_like_brute_force(spark, always_shuffle):
     assert sorted(removed) == sorted(brute_lines(docs)) and len(removed) > 20
 
 
+def staged_rows(monkeypatch, module):
+    """Rows of what a module stages, by label."""
+    plain, rows = module.staged, {}
+
+    def counted(df, label):
+        out = plain(df, label)
+        rows[label] = rows.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(module, "staged", counted)
+    return rows
+
+
+def test_unlike_long_lines_make_no_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    lines = [" ".join(f"w{k}" for k in rng.sample(range(2000), 100)) for _ in range(300)]
+    lines.append(" ".join(lines[7].split()[3:]))
+    rows = staged_rows(monkeypatch, line_join)
+    got = line_join.line_matches(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed} == {300}
+    assert rows["near_pairs"] + rows["pairs"] <= 5
+
+
+def test_half_alike_texts_do_not_carry_their_sets(spark, monkeypatch):
+    texts = []
+    for k in range(20):
+        shared = [f"s{k}x{i}" for i in range(110)]
+        texts += [" ".join([*shared, *[f"u{k}y{side}z{i}" for i in range(40)]]) for side in range(2)]
+    texts += [" ".join(texts[0].split()[2:]), texts[5] + " more"]
+    rows = staged_rows(monkeypatch, near_copies)
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    root = {r.row: r.root for r in near_copies.groups(df).collect()}
+    assert root[0] == root[40] and root[5] == root[41] and len(set(root.values())) == 40
+    assert rows.get("close_pairs", rows["tried_pairs"]) <= 5
+
+
 def test_short_lines_like_brute_force(spark, always_shuffle):
     import random
 
