@@ -4,7 +4,7 @@ A text is the set of its runs of five words. The shingles are ordered by rarity,
 similar sets must share one of the first, rare shingles of both. Texts with equal sets are
 one text to the join. What shares such a shingle is tested by sizes and places, what passes
 by all rare shingles of both, by parity bitmaps of the sets, and what is left is verified on the whole sets. No pair is left out, whatever the bits in which
-fingerprints of the texts differ.
+fingerprints of the texts differ. Shingles are made and counted by `shingles`.
 
 Pairs with the first and the previous text that have the same rare shingle come first, of
 them the one with the most such shingles, and a few more where it fails: they join almost all of a group of copies. Only
@@ -14,55 +14,22 @@ a pair has in common are counted, and rule out almost all pairs before any set t
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ferrywright.llm.common import components, fresh, staged, words_of
+from ferrywright.llm import shingles
+from ferrywright.llm.common import components, staged
+from ferrywright.llm.shingles import PARITY
 from ferrywright.session import discard
 
-SHINGLE = 5
 SIMILARITY = 0.8
-# Counters of shingles; a shingle's rarity is that of its counter.
-COUNTERS = 1 << 16
 # Pairs of a text that are tried early when its likeliest one fails; all others are tried with those across groups.
 MORE_EARLY = 3
-# Longs of a text's parity bitmap.
-PARITY = 16
 # Broadcast no more rows than this.
 MOST_BROADCAST = 500_000
 
 
-def with_shingles(rows: DataFrame, text: str, name: str = "shingles") -> DataFrame:
-    """`rows` with the different shingles of a text as hashes; shorter texts are one shingle, those without words none."""
-    (hashes,) = fresh(rows, "_hashes")
-    out = rows.withColumn(hashes, F.transform(words_of(F.lower(F.col(text).cast("string"))), lambda w: F.xxhash64(w)))
-    n = F.size(hashes)
-
-    def run(first: Column, at: Column) -> Column:
-        return F.xxhash64(first, *[F.get(F.col(hashes), at + k) for k in range(1, SHINGLE)])
-
-    runs = F.transform(F.slice(F.col(hashes), F.lit(1), n - (SHINGLE - 1)), run)
-    short = F.when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<long>"))
-    return out.withColumn(name, F.array_distinct(F.when(n >= SHINGLE, runs).otherwise(short))).drop(hashes)
-
-
-def _counter(shingle: Column) -> Column:
-    return F.shiftrightunsigned(shingle, 48).cast("int")
-
-
-def _classes(rows: DataFrame) -> Column:
-    """An array with the class of rarity of each counter of all shingles, as a literal of fixed size."""
-    # Not explode: Spark would infer a filter, and push it to where every shingle makes the words anew.
-    counts = rows.select(F.explode_outer("shingles").alias("s")).groupBy(_counter(F.col("s")).alias("c")).agg(F.count("*").alias("n"))
-    known = {c: n for c, n in counts.collect() if c is not None}  # at most COUNTERS entries, whatever the input
-    usual = sorted(known.values())[len(known) // 2] if known else 1
-    classes = (max(0, math.ceil(math.log2(known.get(c, 1) / (2 * usual)))) for c in range(COUNTERS))
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
-
-
 def _possible(a: str, b: str, t: float) -> Column:
     """Length and positional filters for two rows with a common shingle."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -112,19 +79,12 @@ def _likely(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 def _close(pairs: DataFrame, whole: DataFrame, t: float) -> DataFrame:
     """Those of the pairs (a, b) that a parity bitmap of the shingles does not rule out: it bounds their difference."""
-    s, one = F.col("s"), F.lit(1).cast("long")
-    bit = F.call_function("shiftleft", one, s.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    part = F.shiftrightunsigned(s, 6).bitwiseAND(F.lit(PARITY - 1).cast("long"))
-    maps = [F.bit_xor(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITY)]
-    made = whole.select("row", F.explode("shingles").alias("s")).groupBy("row").agg(F.count("*").alias("n"), *maps)
-    made = staged(made, "parity_maps")
+    made = whole.select("row", "n", *[f"p{k}" for k in range(PARITY)])
     sides = [made.select(F.col("row").alias(c), *[F.col(m).alias(f"{c}_{m}") for m in made.columns[1:]]) for c in "ab"]
     differ = sum(F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(PARITY))
     both = F.col("a_n") + F.col("b_n")
     possible = differ <= both - 2 * F.ceil(F.lit(t / (1 + t)) * both - F.lit(1e-9))
-    out = staged(pairs.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b"), "close_pairs")
-    discard(made)
-    return out
+    return staged(pairs.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b"), "close_pairs")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, t: float, counted: bool = False) -> DataFrame:
@@ -137,7 +97,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, t: float, coun
         return pairs
     ends = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "row"), "copy_rows")
     found = rows.join(F.broadcast(ends) if ends.count() <= MOST_BROADCAST else ends, "row")
-    whole = staged(with_shingles(found, "text").select("row", "shingles"), "copy_shingles")
+    whole = staged(shingles.whole(found), "copy_shingles")
     close = _close(pairs, whole, t)
     left = whole.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
     right = whole.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
@@ -178,21 +138,11 @@ def groups(rows: DataFrame, t: float = SIMILARITY, near: DataFrame | None = None
     (a, b) of rows that another method takes for near copies: those that are join their
     groups, and are not tried again.
     """
-    shingled = with_shingles(rows.select("row", "text"), "text").select("row", "shingles")
-    classes = _classes(shingled)
-    low = F.lit((1 << 56) - 1).cast("long")
-    key = lambda s: F.shiftleft(F.get(classes, _counter(s)).cast("long"), 56).bitwiseOR(
-        F.xxhash64(s).bitwiseAND(low)
-    )
-    sized = shingled.withColumn("n", F.size("shingles")).withColumn("keys", F.sort_array(F.transform("shingles", key)))
     # Two hashes tell equal sets: one of 64 bits would take some of very many for equal.
-    ordered = F.sort_array("shingles")
     same_set = ["set", "set2"]
-    sets = sized.select(
-        "row", "n", F.xxhash64(ordered).alias("set"), F.xxhash64(F.lit("second"), ordered).alias("set2"),
-        F.slice("keys", F.lit(1), _prefix_size(F.col("n"), t)).alias("prefix"),
-    )
-    sets = staged(sets, "shingle_sets")
+    classes = shingles.rarity(rows)
+    sets = staged(shingles.sets(rows, classes, t), "shingle_sets")
+    classes.destroy()
     # Equal sets are one, the first of them; copies are reduced before the shuffle.
     same = staged(sets.groupBy(*same_set).agg(F.min("row").alias("first")), "same_sets")
     first = sets.join(same.select(F.col("first").alias("row")), "row", "left_semi")
