@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ferrywright.llm import shingles
 from ferrywright.llm.common import components, staged
-from ferrywright.llm.shingles import PARITY
+from ferrywright.llm.shingles import PARITY, SHORT_PARITY, parity_names
 from ferrywright.session import discard
 
 SIMILARITY = 0.8
@@ -42,21 +42,36 @@ def _prefix_size(n: Column, t: float) -> Column:
     return n - F.ceil(F.lit(t) * n - F.lit(1e-9)).cast("int") + 1
 
 
-def _across(placed: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b) of rows of two groups that have enough rare shingles in common to be near copies.
+def _differ(maps: list[tuple[Column, Column]]) -> Column:
+    """How many shingles two sets differ in at least, by their parity bitmaps."""
+    return sum(F.bit_count(x.bitwiseXOR(y)) for x, y in maps)
 
-    Up to the lesser of both last rare shingles all that they have in common is counted; the
-    text whose last one that is has only its other shingles left. Every common shingle of a
-    pair is at places that leave room for the others before and behind it.
+
+def _met(placed: DataFrame, t: float) -> DataFrame:
+    """A row (a, b, least) for each rare shingle that two rows of two groups have in common, if they may be near copies.
+
+    Every common shingle of a pair is at places that leave room for the others before and
+    behind it. The parity bitmaps rule out all rows of a pair or none, so that texts that only
+    have a frequent passage in common make no rows.
     """
     n, m = F.col("me.n"), F.col("o.n")
     need = F.ceil(F.lit(t / (1 + t)) * (n + m) - F.lit(1e-9))
     length = F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9
     before, behind = F.least("me.at", "o.at"), F.least(n - F.col("me.at"), m - F.col("o.at"))
     across = (F.col("me.token") == F.col("o.token")) & (F.col("me.root") < F.col("o.root")) & length & (before + behind >= need)
-    found = placed.alias("me").join(placed.alias("o"), across)
+    differ = _differ([(F.col(f"me.{p}"), F.col(f"o.{p}")) for p in parity_names(SHORT_PARITY)])
+    found = placed.alias("me").join(placed.alias("o"), across & (differ <= n + m - 2 * need))
     least = need - F.greatest(n - _prefix_size(n, t), m - _prefix_size(m, t))
-    found = found.select(F.col("me.row").alias("a"), F.col("o.row").alias("b"), least.alias("least"))
+    return found.select(F.col("me.row").alias("a"), F.col("o.row").alias("b"), least.alias("least"))
+
+
+def _across(placed: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of rows of two groups that have enough rare shingles in common to be near copies.
+
+    Up to the lesser of both last rare shingles all that they have in common is counted; the
+    text whose last one that is has only its other shingles left.
+    """
+    found = _met(placed, t)
     return found.groupBy("a", "b", "least").agg(F.count("*").alias("common")).filter("common >= least").select("a", "b")
 
 
@@ -79,9 +94,9 @@ def _likely(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 def _close(pairs: DataFrame, whole: DataFrame, t: float) -> DataFrame:
     """Those of the pairs (a, b) that a parity bitmap of the shingles does not rule out: it bounds their difference."""
-    made = whole.select("row", "n", *[f"p{k}" for k in range(PARITY)])
+    made = whole.select("row", "n", *parity_names(PARITY))
     sides = [made.select(F.col("row").alias(c), *[F.col(m).alias(f"{c}_{m}") for m in made.columns[1:]]) for c in "ab"]
-    differ = sum(F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(PARITY))
+    differ = _differ([(F.col(f"a_{p}"), F.col(f"b_{p}")) for p in parity_names(PARITY)])
     both = F.col("a_n") + F.col("b_n")
     possible = differ <= both - 2 * F.ceil(F.lit(t / (1 + t)) * both - F.lit(1e-9))
     return staged(pairs.join(sides[0], "a").join(sides[1], "b").filter(possible).select("a", "b"), "close_pairs")
@@ -172,7 +187,8 @@ def groups(rows: DataFrame, t: float = SIMILARITY, near: DataFrame | None = None
     placed = shared.select("token", "row", "n", "at").join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
     placed = placed.withColumn("root", F.coalesce("root", "row"))
     several = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    placed = staged(placed.join(several.select("token"), "token", "left_semi"), "open_tokens")
+    placed = placed.join(several.select("token"), "token", "left_semi")
+    placed = staged(placed.join(sets.select("row", *parity_names(SHORT_PARITY)), "row"), "open_tokens")
     more = None
     if not placed.isEmpty():
         more = _verified(_across(placed, t), rows, sets, t, counted=True)

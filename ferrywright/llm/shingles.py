@@ -23,8 +23,9 @@ COUNTERS = 1 << 21
 BLOCK = 1 << 14
 # Bytes that are hashed at a time, but for longer words; shingles that are counted at a time.
 CHUNK = 1 << 20
-# Longs of a text's parity bitmap.
+# Longs of a text's parity bitmap, and of the shorter one that travels with rare shingles.
 PARITY = 16
+SHORT_PARITY = 8
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -183,8 +184,23 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
 
 
+def _parity(found: np.ndarray, at: np.ndarray, longs: int) -> list[pa.Array]:
+    """The parity bitmaps of the sets, a column for each long."""
+    bits, n = 64 * longs, len(at) - 1
+    of = np.repeat(np.arange(n), np.diff(at))
+    odd = np.bincount(of * bits + (found & _U(bits - 1)).astype(np.int64), minlength=n * bits) & 1
+    maps = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, longs)
+    return [pa.array(maps[:, k].copy()) for k in range(longs)]
+
+
+def parity_names(longs: int) -> list[str]:
+    return [f"p{k}" for k in range(longs)]
+
+
 def sets(rows: DataFrame, classes: Broadcast, t: float, row: str = "row", text: str = "text") -> DataFrame:
-    """Columns row, n, set, set2 (equal for equal sets) and prefix, the keys of the rarest shingles in order."""
+    """Columns row, n, set, set2 (equal for equal sets), prefix, the keys of the rarest shingles in order, and a short
+    parity bitmap."""
+    maps = parity_names(SHORT_PARITY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(classes.value, np.uint8)
@@ -199,28 +215,26 @@ def sets(rows: DataFrame, classes: Broadcast, t: float, row: str = "row", text:
             ends = np.cumsum([0, *map(len, prefixes)])
             twice = [_sum_of(_mixed(found + _U(k)), at) for k in (1, _BASE)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(at), pa.int32()), *map(pa.array, twice), _lists(np.concatenate(prefixes), ends)],
-                ["row", "n", "set", "set2", "prefix"],
-            )
+                [batch.column(0), pa.array(np.diff(at), pa.int32()), *map(pa.array, twice), _lists(np.concatenate(prefixes), ends),
+                 *_parity(found, at, SHORT_PARITY)],
+                ["row", "n", "set", "set2", "prefix", *maps],
+            )
 
-    schema = "row long, n int, set long, set2 long, prefix array<long>"
+    schema = "row long, n int, set long, set2 long, prefix array<long>, " + ", ".join(f"{m} long" for m in maps)
     return _input(rows, text, row).mapInArrow(run, schema)
 
 
 def whole(rows: DataFrame, row: str = "row", text: str = "text") -> DataFrame:
     """Columns row, n, shingles and p0, p1 and so on, the parity bitmap of the shingles."""
-    bits, maps = 64 * PARITY, [f"p{k}" for k in range(PARITY)]
+    maps = parity_names(PARITY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             found, at = _sets(batch.column(1))
-            of = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            odd = np.bincount(of * bits + (found & _U(bits - 1)).astype(np.int64), minlength=batch.num_rows * bits) & 1
-            parity = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, PARITY)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(at), pa.int32()), _lists(found, at), *[pa.array(parity[:, k].copy()) for k in range(PARITY)]],
+                [batch.column(0), pa.array(np.diff(at), pa.int32()), _lists(found, at), *_parity(found, at, PARITY)],
                 ["row", "n", "shingles", *maps],
             )
 

@@ -9,7 +9,7 @@ import re
 import pytest
 import xxhash
 
-from ferrywright.llm import line_frequency, line_join, near_copies, packing, pseudonyms, secrets, simhash_trie
+from ferrywright.llm import line_frequency, line_join, near_copies, packing, pseudonyms, secrets, shingles, simhash_trie
 
 SCHEMA = "doc_id long, text string, source string, extra int, fp int, row int"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
@@ -198,6 +198,48 @@ def test_half_alike_texts_do_not_carry_their_sets(spark, monkeypatch):
     assert rows.get("close_pairs", rows["tried_pairs"]) <= 5
 
 
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    passage, met = [f"s{i}" for i in range(89)], []
+    texts = [" ".join([*passage, *[f"u{k}z{i}" for i in range(15)]]) for k in range(40)]
+    texts += [" ".join(texts[3].split()[1:])]
+    plain = near_copies._met
+    monkeypatch.setattr(near_copies, "_met", lambda placed, t: met.append(plain(placed, t).count()) or plain(placed, t))
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    root = {r.row: r.root for r in near_copies.groups(df).collect()}
+    assert root[3] == root[40] and len(set(root.values())) == 40
+    # Almost 5,000 with no bitmaps: 780 pairs have six shingles of the passage in common that are among their rarest.
+    assert sum(met) < 200
+
+
+def test_shingles_of_many_texts_are_not_rare(spark):
+    texts = [" ".join([*[f"s{i}" for i in range(9)], *[f"u{k}x{i}" for i in range(1000)]]) for k in range(150)]
+    df = spark.createDataFrame(list(enumerate([*texts, None, "", "one two"])), "row long, text string").repartition(3)
+    sets = {r.row: r for r in shingles.sets(df, shingles.rarity(df), 0.8).collect()}
+    keys = [k for r in sets.values() for k in r.prefix]
+    assert len(keys) == len(set(keys)) and max(keys) < 1 << 56
+    assert (sets[0].n, sets[150].n, sets[151].n, sets[152].n) == (1005, 0, 0, 1)
+    assert sets[150].set == sets[151].set and sets[0].set != sets[1].set
+
+
+def test_runs_like_brute_force(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(shingles, "CHUNK", 50)
+    rng, words = random.Random(1), ["a", "b", "ab", "ba", "word", "\u00e9", "x" * 200, "the"]
+    texts = [rng.choice(["", " \t"]) + rng.choice([" ", "\n  "]).join(rng.choices(words, k=rng.randint(0, 30))) + "\n" for _ in range(200)]
+    found, at = shingles._sets(pa.array(["cut off\n", *texts]).slice(1))
+    want, got = {}, {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        for run in {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} - {()}:
+            want.setdefault(run, set()).add(i)
+        for h in found[at[i] : at[i + 1]].tolist():
+            got.setdefault(h, set()).add(i)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+
+
 def test_short_lines_like_brute_force(spark, always_shuffle):
     import random
 
