@@ -10,7 +10,8 @@ Of the pairs of a line the likeliest is verified first, the others if it fails.
 
 In a group of many similar lines almost all are close to the first one that has the same
 rare word. Such pairs of a line and the first or the previous one are tried before any
-other; only lines that none of them settles meet all earlier lines. So a group of copies
+other; only lines that none of them settles meet all earlier lines, by words of more
+lines than three. So a group of copies
 costs about its size, not its square, and no pair is left out.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrywright.llm.common import SPACES, fresh, numbered, settled, staged, words_of
+from ferrywright.llm.common import NOT_SPACE, SPACES, fresh, numbered, settled, staged, words_of
 from ferrywright.session import discard
 
 SIMILARITY = 0.8
@@ -33,15 +34,17 @@ COUNTERS = 1 << 16
 LONG_LINE = 40
 # Broadcast no more lines than this when candidates are looked up.
 MOST_BROADCAST = 500_000
+# What the filters of two rows with a common word read.
+FILTERED = ["n", "at", "bits", "more"]
 
 
-def document_lines(rows: DataFrame, row: str, id_col: str, text: str) -> DataFrame:
-    """Columns id, row, line_no and codes, those of the different words of each line that has words."""
+def _lines(rows: DataFrame, row: str, id_col: str, text: str) -> DataFrame:
+    """Columns id, row, line_no and line of each line that has words."""
     lines = rows.select(
-        F.col(id_col).alias("id"), F.col(row).alias("row"), F.posexplode(F.split(F.col(text).cast("string"), "\n"))
+        F.col(id_col).alias("id"), F.col(row).alias("row"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line_no", "line")
     )
-    lines = lines.withColumn("codes", line_codes(F.col("col")))
-    return lines.filter(F.size("codes") > 0).select("id", "row", F.col("pos").alias("line_no"), "codes")
+    # Told from the line, because a condition on its words would have them made twice.
+    return lines.filter(F.col("line").rlike(NOT_SPACE))
 
 
 def _code(word: Column) -> Column:
@@ -54,24 +57,24 @@ def _counter(code: Column) -> Column:
     return code.bitwiseAND(F.lit(COUNTERS - 1).cast("long")).cast("int")
 
 
-def line_codes(line: Column) -> Column:
+def _codes(line: Column) -> Column:
     """The codes of the different words of a line; numbers are compared faster than words."""
     return F.array_distinct(F.transform(words_of(line), _code))
 
 
 def word_classes(rows: DataFrame, text: str) -> Column:
-    """An array with the class of rarity of each counter of all words, as a literal of fixed size."""
+    """An array with the class of rarity of each counter of all words, above a code's bits, as a literal of fixed size."""
     words = rows.select(F.explode(F.split(F.col(text).cast("string"), SPACES)).alias("w")).filter("w <> ''")
     counts = words.groupBy(_counter(_code(F.col("w"))).alias("c")).agg(F.count("*").alias("n"))
     known = dict(counts.collect())  # at most COUNTERS rows, whatever the input
     usual = sorted(known.values())[len(known) // 2] if known else 1
     classes = (max(0, math.ceil(math.log2(known.get(c, 1) / (2 * usual)))) for c in range(COUNTERS))
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
+    return F.split(F.lit(",".join(str(c << 56) for c in classes)), ",").cast("array<long>")
 
 
 def _key(code: Column, classes: Column) -> Column:
-    """A word's number; smaller numbers are rarer words."""
-    return F.shiftleft(F.get(classes, _counter(code)).cast("long"), 56).bitwiseOR(code)
+    """A word's number; smaller numbers are rarer words. It is never null, so that arrays of it are sorted as plain numbers."""
+    return F.coalesce(F.get(classes, _counter(code)), F.lit(0).cast("long")).bitwiseOR(code)
 
 
 def _prefix_size(n: Column, t: float) -> Column:
@@ -82,13 +85,13 @@ def _least_overlap(n: Column, m: Column, t: float) -> Column:
     return F.ceil(F.lit(t / (1 + t)) * (n + m) - F.lit(1e-9))
 
 
-def _possible(a: str, b: str, t: float) -> Column:
-    """Length, positional and parity filters for two rows with a common word."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+def _possible(a: dict[str, Column], b: dict[str, Column], t: float) -> Column:
+    """Length, positional and parity filters for two rows with a common word, from their n, at, bits and more."""
+    n, m = a["n"], b["n"]
     need = _least_overlap(n, m, t)
     length = (F.least(n, m) >= F.lit(t) * F.greatest(n, m) - 1e-9)
-    place = 1 + F.least(n - F.col(f"{a}.at") - 1, m - F.col(f"{b}.at") - 1) >= need
-    flips, more = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("bits", "more"))
+    place = 1 + F.least(n - a["at"] - 1, m - b["at"] - 1) >= need
+    flips, more = (a[c].bitwiseXOR(b[c]) for c in ("bits", "more"))
     # Both halves of a long line's bitmap make, as one, the bitmap of a short line.
     halves = F.bit_count(flips) + F.bit_count(more)
     differ = F.when(F.least(n, m) > LONG_LINE, halves).otherwise(F.bit_count(flips.bitwiseXOR(more)))
@@ -130,9 +133,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, t: float)
     per_row = ends.groupBy("row").agg(F.collect_list("line_no").alias("nos"))
     docs = rows.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text"))
     found = docs.join(F.broadcast(per_row) if small else per_row, "row")
-    lines = found.select("row", F.explode("nos").alias("line_no"), F.split("text", "\n").alias("all"))
+    # Texts are split before the numbers are unfolded, once each.
+    found = found.select("row", "nos", F.split("text", "\n").alias("all"))
+    lines = F.transform("nos", lambda i: F.struct(i.alias("line_no"), F.get(F.col("all"), i).alias("line")))
+    lines = found.select("row", F.explode(lines).alias("l")).select("row", "l.*")
     # Pairs carry numbers of eight bytes, not the words.
-    hashed = F.array_distinct(F.transform(words_of(F.get("all", F.col("line_no"))), lambda w: F.xxhash64(w)))
+    hashed = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
     words = staged(lines.select("row", "line_no", hashed.alias("words")), "words")
     likely = staged(_likely(pairs, words, t), "likely_pairs")
     other = F.struct("row2", "line_no2")
@@ -151,15 +157,15 @@ def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIM
 
     Lines are ordered by id, then by row, then by their place; where `row` is the id, it is the whole order.
     """
-    lines = document_lines(rows, row, id_col, text)
     classes = word_classes(rows, text)
-    sized = lines.withColumn("keys", F.sort_array(F.transform("codes", lambda c: _key(c, classes)))).withColumn("n", F.size("keys"))
+    keyed = _lines(rows, row, id_col, text).withColumn("codes", _codes(F.col("line")))
+    keyed = keyed.withColumn("keys", F.sort_array(F.transform("codes", lambda c: _key(c, classes)))).withColumn("n", F.size("keys"))
     one, low = F.lit(1).cast("long"), F.lit(63).cast("long")
     flips = lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(low).cast("int")))
     parity = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), flips)
     half = F.filter("keys", lambda k: k.bitwiseAND(F.lit(64).cast("long")) != 0)
     order = ["row", "line_no"] if row == id_col else ["id", "row", "line_no"]
-    sets = sized.select(
+    sets = keyed.select(
         *order, "n",
         F.xxhash64("keys").alias("set"),
         parity(F.col("keys")).alias("bits"),
@@ -171,40 +177,60 @@ def kept_lines(rows: DataFrame, row: str, id_col: str, text: str, t: float = SIM
     first = staged(first.drop("place", "set").withColumn("bits", F.col("bits").bitwiseXOR(F.col("more"))), "line_sets")
     # A set matches other sets only if it could match one of a word more: sets of one to three words only equal ones.
     wide = first.filter(F.col("n") >= F.lit(t) * (F.col("n") + 1) - 1e-9)
-    settled_lines = _settled_early(wide, rows, row, text, order, t)
+    seen = staged(_seen(wide, order, t), "seen_words")
+    settled_lines = _settled_early(seen, rows, row, text, t)
     small = settled_lines.count() <= MOST_BROADCAST
     early = settled_lines.withColumn("early", F.lit(True))
-    marked = wide.join(F.broadcast(early) if small else early, ["row", "line_no"], "left").withColumn("open", F.col("early").isNull())
-    tokens = marked.select(*order, "n", "bits", "more", "open", F.posexplode("prefix").alias("at", "token"))
+    tokens = seen.filter("often").select("token", *order, "n", "at", "bits", "more")
+    tokens = tokens.join(F.broadcast(early) if small else early, ["row", "line_no"], "left").withColumn("open", F.col("early").isNull())
+    tokens = tokens.drop("early")
     earlier = F.struct(*[F.col(f"o.{c}") for c in order]) < F.struct(*[F.col(f"me.{c}") for c in order])
     # Said of both sides, so that both read the same shuffle: the words are equal, so it says that `me` is open.
     is_open = F.col("me.open") | (F.col("o.open") & (F.col("me.token") != F.col("o.token")))
     same = F.col("me.token") == F.col("o.token")
-    pairs = tokens.alias("me").join(tokens.alias("o"), same & is_open & earlier & _possible("me", "o", t))
+    me, other = ({c: F.col(f"{k}.{c}") for c in FILTERED} for k in ("me", "o"))
+    pairs = tokens.alias("me").join(tokens.alias("o"), same & is_open & earlier & _possible(me, other, t))
     names = [F.col(f"me.{c}") for c in ("row", "line_no")] + [F.col(f"o.{c}").alias(f"{c}2") for c in ("row", "line_no")]
     pairs = staged(pairs.select(*names).distinct(), "pairs")
     later = _verified(pairs, rows, row, text, t)
     kept = staged(first.select("row", "line_no").join(settled_lines.union(later), ["row", "line_no"], "left_anti"), "kept_lines")
-    discard(first, settled_lines, pairs, later)
+    discard(first, seen, settled_lines, pairs, later)
     return kept
 
 
-def _settled_early(first: DataFrame, rows: DataFrame, row: str, text: str, order: list[str], t: float) -> DataFrame:
-    """Columns (row, line_no) of lines that match the first or the previous line with one of their prefix words.
+def _seen(first: DataFrame, order: list[str], t: float) -> DataFrame:
+    """The prefix words of lines that are of use: `often`, in four lines or more, or with a line that may match.
 
-    Copies with words of their own share only later words of the prefix, so all of it is tried.
+    Such a line is the first or the previous one with the word, as head_row, head_line_no,
+    last_row and last_line_no, null where the filters rule it out. Of a word in up to three
+    lines these are all pairs.
     """
     tokens = first.select(*order, "n", "bits", "more", F.posexplode("prefix").alias("at", "token"))
     by_token = W.partitionBy("token").orderBy(*order)
     # Plain columns, because a struct would be made ahead of the shuffle, and travel beside them.
-    parts = ["row", "line_no", "n", "bits", "more", "at"]
-    others = [f.over(by_token).alias(f"{k}_{c}") for c in parts for k, f in (("head", F.first(c)), ("last", F.lag(c)))]
-    seen = tokens.select("token", *order, *parts[2:], *others).filter("last_n is not null")
-    head, last = (F.struct(*[F.col(f"{k}_{c}").alias(c) for c in parts]) for k in ("head", "last"))
-    near = seen.select(F.struct(*parts).alias("me"), F.explode(F.array(head, last)).alias("o"))
-    near = near.filter(_possible("me", "o", t))
-    names = [F.col(f"me.{c}") for c in ("row", "line_no")] + [F.col(f"o.{c}").alias(f"{c}2") for c in ("row", "line_no")]
-    pairs = staged(near.select(*names).distinct(), "near_pairs")
+    ends = ["row", "line_no"]
+    others = [f.over(by_token).alias(f"{k}_{c}") for c in [*ends, *FILTERED] for k, f in (("head", F.first(c)), ("last", F.lag(c)))]
+    whole = by_token.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    found = tokens.select("token", *order, *FILTERED, *others, (F.count("*").over(whole) > 3).alias("often"))
+    me = {c: F.col(c) for c in FILTERED}
+    for k in ("head", "last"):
+        # The first line with a word has no other one.
+        possible = F.col("last_n").isNotNull() & _possible(me, {c: F.col(f"{k}_{c}") for c in FILTERED}, t)
+        found = found.withColumn(f"{k}_possible", possible)
+    made = [F.when(F.col(f"{k}_possible"), F.col(f"{k}_{c}")).alias(f"{k}_{c}") for k in ("head", "last") for c in ends]
+    return found.filter("often or head_possible or last_possible").select("token", *order, *FILTERED, "often", *made)
+
+
+def _settled_early(seen: DataFrame, rows: DataFrame, row: str, text: str, t: float) -> DataFrame:
+    """Columns (row, line_no) of lines that match the first or the previous line with one of their prefix words.
+
+    Copies with words of their own share only later words of the prefix, so all of it is tried.
+    """
+    near = [
+        seen.filter(f"{k}_row is not null").select("row", "line_no", F.col(f"{k}_row").alias("row2"), F.col(f"{k}_line_no").alias("line_no2"))
+        for k in ("head", "last")
+    ]
+    pairs = staged(near[0].union(near[1]).distinct(), "near_pairs")
     out = _verified(pairs, rows, row, text, t)
     discard(pairs)
     return out
@@ -228,7 +254,7 @@ def _reviewed(docs: DataFrame, id_col: str, text: str, t: float) -> tuple[DataFr
 def _removed(text: Column, kept: Column) -> Column:
     """The numbers of removed lines of a text, in order."""
     compared = F.transform(
-        F.split(text, "\n"), lambda line, i: F.when(F.size(words_of(line)) > 0, i)
+        F.split(text, "\n"), lambda line, i: F.when(line.rlike(NOT_SPACE), i)
     )
     numbers = F.filter(compared, lambda i: i.isNotNull())
     return F.coalesce(F.array_except(numbers, F.coalesce(kept, F.array().cast("array<int>"))), F.array().cast("array<int>"))

@@ -185,6 +185,21 @@ def test_unlike_long_lines_make_no_pairs(spark, monkeypatch):
     assert rows["near_pairs"] + rows["pairs"] <= 5
 
 
+def test_words_of_lines_are_made_once(spark, monkeypatch):
+    plain, plans = line_join.staged, {}
+
+    def seen(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(line_join, "staged", seen)
+    docs = [(0, "a b c d e\n\n \t\na b c d e f"), (1, "one two\nthe other line of it"), (2, None)]
+    got = {r.doc_id: r.removed for r in line_join.line_matches(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: "3", 1: "", 2: ""}
+    # A condition on the words was moved below them, and made them a second time.
+    assert plans["line_sets"].count("octet_length") == 1
+
+
 def test_half_alike_texts_do_not_carry_their_sets(spark, monkeypatch):
     texts = []
     for k in range(20):
