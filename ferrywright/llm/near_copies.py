@@ -83,7 +83,8 @@ def _likely(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """
     sides = [sets.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"rare_{c}")) for c in "ab"]
     x, y = F.col("rare_a"), F.col("rare_b")
-    end = F.least(F.element_at(x, -1), F.element_at(y, -1))
+    # A text without words, which another method may name, has no last one: null, and nothing in common.
+    end = F.least(F.try_element_at(x, F.lit(-1)), F.try_element_at(y, F.lit(-1)))
     rest = F.least(*[F.col(f"n_{c}") - F.size(F.filter(f"rare_{c}", lambda k: k <= end)) for c in "ab"])
     # Shingles that share a key count as one in the intersection.
     twice = F.greatest(*[F.size(v) - F.size(F.array_distinct(v)) for v in (x, y)])
@@ -151,7 +152,8 @@ def groups(rows: DataFrame, t: float = SIMILARITY, near: DataFrame | None = None
 
     The root is a row of the group. Texts without words are one group. `near` may have pairs
     (a, b) of rows that another method takes for near copies: those that are join their
-    groups, and are not tried again.
+    groups, and are not tried again. All other pairs are tried as without it, so that links
+    `near` lacks are found here.
     """
     # Two hashes tell equal sets: one of 64 bits would take some of very many for equal.
     same_set = ["set", "set2"]

@@ -274,8 +274,9 @@ def keep_first(
 
     The trie's links come first and are verified: sets of five-word shingles with a Jaccard
     similarity of at least `t`. Texts so similar may differ in up to a quarter of the bits,
-    which the trie cannot follow without comparing all with all, so `near_copies` adds the
-    links between texts that differ in more than `max_bits` bits.
+    which the trie cannot follow without comparing all with all, and its forest leaves out
+    links that others stand for. So `near_copies` tries all other pairs, whatever their bits:
+    every link of that similarity is found, as a comparison of all texts with all would do.
     Of rows with equal ids the first in the table stays; a null id comes after all others.
     """
     docs = settled(docs)

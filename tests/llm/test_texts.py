@@ -483,3 +483,21 @@ def test_keep_first_verifies_what_the_trie_links(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash_trie.keep_first(docs).collect()) == [0, 2, 4, 5]
     (near,) = named
     assert near.count() == 2
+
+
+def test_keep_first_takes_links_to_texts_without_words(spark):
+    # The fingerprints of the two short texts have two bits, that of a text without words has none.
+    texts = ["", "a31 t153183 y z", "a47 t153183 y z", "a text of some other words altogether"]
+    assert [simhash_trie.fingerprint(t.encode()).bit_count() for t in texts[:3]] == [0, 2, 2]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, texts[1].upper()])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_trie.keep_first(docs).collect()) == [0, 1, 2, 3]
+
+
+def test_links_that_are_not_named_are_found(spark):
+    # Two near copies that are named with other texts only, as ends of a star.
+    words = [f"w{k}" for k in range(60)]
+    texts = ["", " ".join(words), " ".join([*words[:-1], "end"]), "some other text of six words"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    near = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "a long, b long")
+    root = {r.row: r.root for r in near_copies.groups(rows, near=near).collect()}
+    assert root[1] == root[2] and len(set(root.values())) == 3
